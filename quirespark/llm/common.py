@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for a context, so that their Python finds it."""
+    context = spark.sparkContext
+    if getattr(context, "_quirespark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="quirespark-")) / "quirespark_source.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._quirespark_shipped = True
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: T.StructType | str
 ) -> DataFrame:
@@ -57,6 +73,7 @@ def map_batches(
                 elif out is not None:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, media, packing, sql, token_counts
+from . import bpe_codec, exact_dedup, media, packing, simhash_dedup, sql, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(_documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(_documents(spark, sf_dir)))
 
 
-_ALL = (op1_token_counts, op3_exact_dedup, op7_best_fit_packing, op9_bpe_round_trip, op10_media_columns)
+_ALL = (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op7_best_fit_packing, op9_bpe_round_trip, op10_media_columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
