@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, media, packing, simhash_dedup, sql, token_counts
+from . import bpe_codec, exact_dedup, language_id, media, packing, simhash_dedup, sql, token_counts, toxicity
+from .common import id_remainder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
@@ -25,10 +30,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = id_remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs.where(~held_out), _labels(spark, sf_dir))
+    return toxicity.score(docs, model, held_out=held_out)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = id_remainder("doc_id", 4) == 2
+    return language_id.identify(docs, language_id.fit(docs.where(~held_out)), held_out=held_out)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(_documents(spark, sf_dir))
 
@@ -37,7 +55,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(_documents(spark, sf_dir)))
 
 
-_ALL = (op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op7_best_fit_packing, op9_bpe_round_trip, op10_media_columns)
+_ALL = (
+    op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op7_best_fit_packing, op8_language_id,
+    op9_bpe_round_trip, op10_media_columns,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
