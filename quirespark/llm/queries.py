@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, language_id, media, packing, simhash_dedup, sql, token_counts, toxicity
+from . import bpe_codec, class_lm, exact_dedup, language_id, media, packing, simhash_dedup, sql, token_counts, toxicity
 from .common import id_remainder
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, held_out=held_out)
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_documents(spark, sf_dir), held_out=id_remainder("doc_id", 7) == 2)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op7_best_fit_packing, op8_language_id,
+    op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op6_class_lm, op7_best_fit_packing, op8_language_id,
     op9_bpe_round_trip, op10_media_columns,
 )
 
