@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, class_lm, exact_dedup, language_id, media, packing, simhash_dedup, sql, token_counts, toxicity
+from . import bpe_codec, class_lm, exact_dedup, language_id, license_scan, media, packing, simhash_dedup, sql, token_counts, toxicity
 from .common import id_remainder
 
 
@@ -30,6 +31,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: they are filed by number, a thousand to a directory and twenty to each of
+    its own, where every twentieth is the licence file, every thousandth that of the directory above."""
+    number = F.col("doc_id")
+    top, below = F.floor(number / 1000).cast("string"), F.floor(number / 20).cast("string")
+    path = (
+        F.when(number % 1000 == 0, F.concat(F.lit("shelf/"), top, F.lit("/LICENSE")))
+        .when(number % 20 == 0, F.concat(F.lit("shelf/"), top, F.lit("/"), below, F.lit("/LICENSE")))
+        .otherwise(F.concat(F.lit("shelf/"), top, F.lit("/"), below, F.lit("/"), number.cast("string"), F.lit(".txt")))
+    )
+    return license_scan.scan(_documents(spark, sf_dir).withColumn("path", path))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = id_remainder("doc_id", 4) == 2
@@ -60,7 +74,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op6_class_lm, op7_best_fit_packing, op8_language_id,
+    op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_toxicity, op6_class_lm,
+    op7_best_fit_packing, op8_language_id,
     op9_bpe_round_trip, op10_media_columns,
 )
 

@@ -1,5 +1,7 @@
 """DuckDB SQL for the rows of the registered queries, where SQL can express them."""
 
+from . import license_scan
+
 OP3_EXACT_DEDUP = r"""
 WITH digests AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -14,4 +16,12 @@ FROM digests
 WINDOW same AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op3_exact_dedup": OP3_EXACT_DEDUP}
+OP4_LICENSE_SCAN = license_scan.oracle_sql("""
+  SELECT doc_id, text, 'shelf/' || (doc_id // 1000) || CASE
+    WHEN doc_id % 1000 = 0 THEN '/LICENSE'
+    WHEN doc_id % 20 = 0 THEN '/' || (doc_id // 20) || '/LICENSE'
+    ELSE '/' || (doc_id // 20) || '/' || doc_id || '.txt' END AS path
+  FROM documents
+""")
+
+ORACLES = {"op3_exact_dedup": OP3_EXACT_DEDUP, "op4_license_scan": OP4_LICENSE_SCAN}
