@@ -33,8 +33,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/quirespark/{uuid.uuid4().hex}/{label}"
+    """A fresh path below the shared folder, which the driver deletes when it ends."""
+    folder = f"{shared_root(spark)}/quirespark/{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{label}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

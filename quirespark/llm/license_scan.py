@@ -114,23 +114,25 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(one_of))
     segments = F.when(F.col("path").rlike(LICENCE_FILE), F.concat(lines, F.array("text"))).otherwise(lines)
     near = rows.where(F.col("path").isNotNull() & F.col("text").rlike(one_of))
-    cut = materialize(near.select("path", F.explode(segments).alias("segment")).distinct(), "segments")
+    cut = near.select("path", F.explode(segments).alias("segment")).distinct().withColumn("number", F.monotonically_increasing_id())
+    cut = materialize(cut, "segments")
 
-    # Few segments are left; their terms are counted and weighed.
+    # Few segments are left; their terms are counted and weighed.  Rows carry a segment's number, not its text.
     weights = spark.createDataFrame(sorted(space.weight.items()), "term string, weight double")
     vectors = spark.createDataFrame(
         [(t, number, name, v) for number, name, vector in space.vectors for t, v in vector.items()],
         "term string, template int, license string, value double",
     )
     counted = (
-        cut.select("path", "segment", F.explode(terms_of(F.col("segment"))).alias("term")).where("term <> ''")
-        .groupBy("path", "segment", "term").agg(F.count(F.lit(1)).alias("n"))
+        cut.select("number", F.explode(terms_of(F.col("segment"))).alias("term")).where("term <> ''")
+        .groupBy("number", "term").agg(F.count(F.lit(1)).alias("n"))
         .join(F.broadcast(weights), "term", "left")  # as long as the templates
-        .select("path", "segment", "term", (F.col("n") * F.coalesce("weight", F.lit(space.unseen))).alias("w"))
+        .select("number", "term", (F.col("n") * F.coalesce("weight", F.lit(space.unseen))).alias("w"))
     )
-    lengths = counted.groupBy("path", "segment").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = counted.join(F.broadcast(vectors), "term").groupBy("path", "segment", "template", "license").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
-    cosines = dots.join(lengths, ["path", "segment"]).select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    lengths = counted.groupBy("number").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = counted.join(F.broadcast(vectors), "term").groupBy("number", "template", "license").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
+    placed = cut.select("number", "path")
+    cosines = dots.join(lengths, "number").join(placed, "number").select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
     own = materialize(cosines.where(F.col("score") >= threshold).groupBy("path").agg(best.alias("own")), "own")
 
