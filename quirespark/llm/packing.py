@@ -28,7 +28,7 @@ from .common import id_and_text, map_batches, materialize, texts_of
 CAPACITY = 1024
 END_ID = 2
 #: (number of groups, share of the capacity from which on a piece is large)
-SCHEMES = ((96, 1 / 8), (160, 1 / 4), (240, 1 / 4))
+SCHEMES = ((160, 1 / 2), (160, 0.45), (96, 1 / 4), (160, 1 / 4))
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
