@@ -198,8 +198,8 @@ def _gains(n: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np
     gain = rows.sum(axis=1) - np.diagonal(rows) + columns.sum(axis=0) - np.diagonal(columns) + inside
     after, before = n.sum(axis=1), n.sum(axis=0)
     all_right, all_left = right.sum() + own, left.sum() + own
-    # The word's own counts with other members join their margins as well.
-    return gain - (_h(after + all_right + left) - _h(after)) - (_h(before + all_left + right) - _h(before))
+    # A class's margin holds the word's counts with its members wherever the word goes.
+    return gain - (_h(after + left + all_right) - _h(after + left)) - (_h(before + right + all_left) - _h(before + right))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
