@@ -32,7 +32,7 @@ from .common import map_batches, texts_of
 DECAY, SPAN, LENGTHS = 0.7, 6, (3, 4)
 LANDMARKS = 192
 #: Bounds of the training sample, in rows.
-TOXIC_ROWS, OTHER_ROWS = 1500, 4500
+TOXIC_ROWS, OTHER_ROWS = 1200, 3600
 THRESHOLD = 0.3
 _MEMO = 400_000
 _BEGIN, _END = 27, 28  # codes 1-26 are a-z, 29-31 other letters, 0 none
@@ -173,11 +173,12 @@ class _Nystrom:
 
     def transform(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), self.matrix.shape[1]))
-        for i, f in enumerate(features(strings)):
-            known = [(self.keys[k], v) for k, v in f.items() if k in self.keys]
-            if known:
-                at, v = zip(*known, strict=True)
-                out[i] = np.array(v) @ self.matrix[list(at)]
+        for first in range(0, len(strings), 500):  # features of few strings at a time are in memory
+            for i, f in enumerate(features(strings[first : first + 500]), first):
+                known = [(self.keys[k], v) for k, v in f.items() if k in self.keys]
+                if known:
+                    at, v = zip(*known, strict=True)
+                    out[i] = np.array(v) @ self.matrix[list(at)]
         return out @ self.root
 
     def multiplied_out(self, w: np.ndarray) -> dict[int, np.ndarray]:
@@ -187,24 +188,31 @@ class _Nystrom:
         return weights
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-4, rounds: int = 60, seed: int = 3) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by averaged stochastic subgradient steps; y is 1 or -1."""
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(x.shape[1]), 0.0
-    mean_w, mean_b, seen = np.zeros_like(w), 0.0, 0
-    step = 0
-    for r in range(rounds):
-        order = rng.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // 64)):
-            step += 1
-            rate = 1 / (penalty * (step + 2000))
-            wrong = y[batch] * (x[batch] @ w + b) < 1
-            g = cost[batch] * y[batch] * wrong
-            w = (1 - rate * penalty) * w + rate * (g @ x[batch]) / len(batch)
-            b += 0.01 * rate * g.sum() / len(batch) * 0.1
-            if r >= rounds // 2:
-                mean_w, mean_b, seen = mean_w + w, mean_b + b, seen + 1
-    return mean_w / seen, mean_b / seen
+def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, in the primal, by Newton steps; y is 1 or
+    -1, ``cost`` weighs the examples.  The loss is convex and piecewise quadratic, so few steps do."""
+    full = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    ridge = np.full(full.shape[1], penalty)
+    ridge[-1] = penalty / 100  # the offset is hardly held back
+    share = cost / cost.sum()
+
+    def loss(w: np.ndarray) -> float:
+        return 0.5 * (ridge * w * w).sum() + (share * np.maximum(0, 1 - y * (full @ w)) ** 2).sum()
+
+    w = np.zeros(full.shape[1])
+    for _ in range(steps):
+        inside = 1 - y * (full @ w)
+        active = inside > 0
+        part = full[active] * share[active, None]
+        gradient = ridge * w - 2 * part.T @ (y[active] * inside[active])
+        step = np.linalg.solve(np.diag(ridge) + 2 * part.T @ full[active], gradient)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return w[:-1], float(w[-1])
 
 
 def _distinct_rows(rows: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
@@ -220,6 +228,18 @@ def _distinct_rows(rows: list[tuple[int, list[str]]]) -> list[tuple[int, list[st
     return kept
 
 
+def _altered(string: str, rng: np.random.Generator) -> list[str]:
+    """A string with a letter inserted, twice, and with one left out: insults are written so, too."""
+    if len(string) < 5:
+        return []
+    out = []
+    for _ in range(2):
+        at = int(rng.integers(1, len(string)))
+        out.append(string[:at] + chr(97 + int(rng.integers(26))) + string[at:])
+    at = int(rng.integers(1, len(string) - 1))
+    return [*out, string[:at] + string[at + 1 :]]
+
+
 def hash_of(text: str) -> int:
     return zlib.crc32(text.encode()) * 2654435761 % (1 << 32)
 
@@ -257,11 +277,16 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
         landmarks = list(dict.fromkeys(positive[: LANDMARKS // 3] + some))
         landmarks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(landmarks)]]
         space = _Nystrom(landmarks)
+        use = [found[p] ** 0.5 for p in positive]
+        for p, n in zip(positive[:400], use[:400], strict=True):
+            variants = [v for v in _altered(p, rng) if v not in against]
+            positive = positive + variants
+            use = use + [0.5 * n] * len(variants)
         strings = positive + negative
         x = space.transform(strings)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        use = np.array([found[p] for p in positive], float) ** 0.5
-        cost = np.concatenate([use / use.mean() * max(1.0, len(negative) / len(positive) / 2), np.ones(len(negative))])
+        use = np.array(use)
+        cost = np.concatenate([use / use.sum() / 2, np.full(len(negative), 1 / len(negative))])
         w, b = _machine(x, y, cost)
         model = Model(space.multiplied_out(w), b)
         if turn == 3:
@@ -275,7 +300,7 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
                 if margin[worst] > least_margin and not (into is found and in_other.get(worst, 0) > 0.2 * in_toxic[worst]):
                     into[worst] += 1
         if not found:
-            found = Counter(dict.fromkeys(positive, 1))
+            found = Counter(dict.fromkeys(positive[:3000], 1))
         against |= set(sorted(worst_other, key=lambda p: (-worst_other[p], p))[:3000])
     margins = [[float(model.margins(ps).max()) for ps in group] for group in (aside_t, aside_o)]
     z = np.array(margins[0] + margins[1])
