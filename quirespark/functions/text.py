@@ -170,8 +170,8 @@ def shown_date(display: Column, year: Column) -> Column:
 def base62(n: Column) -> Column:
     """A number that isn't negative in base 62."""
     powers = F.array(*(F.lit(62**k) for k in range(10, -1, -1)))  # 62 ** 11 exceeds 64 bits
-    # Whole-number division: the remainder is taken off before dividing, so no digit is rounded.
-    digits = F.transform(powers, lambda p: F.substr(F.lit(BASE62), (((n - n % p) / p) % 62).cast("int") + 1, F.lit(1)))
+    whole = "decimal(20,0)"  # the remainder is taken off before dividing, and no digit is rounded
+    digits = F.transform(powers, lambda p: F.substr(F.lit(BASE62), (((n - n % p).cast(whole) / p.cast(whole)).cast("long") % 62).cast("int") + 1, F.lit(1)))
     return F.when(n == 0, F.lit("0")).otherwise(F.regexp_replace(F.array_join(digits, ""), "^0+", ""))
 
 
