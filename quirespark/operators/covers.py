@@ -27,3 +27,10 @@ def best_covers(candidates: DataFrame, sizes: DataFrame, record: str = "record_p
 def without_cover(records: DataFrame, identifiers: DataFrame, record: str = "record_pk") -> DataFrame:
     """Records with identifiers but no cover yet."""
     return records.where(F.col("cover_url") == "").join(identifiers.select(record), record, "left_semi")
+
+
+def backfill(records: DataFrame, identifiers: DataFrame, sizes: DataFrame, record: str = "record_pk", base_url: str = "https://covers.example.org/b") -> DataFrame:
+    """``record, cover_url`` that records without a cover would get: a report, and the changes for an upsert."""
+    wanting = without_cover(records, identifiers, record).select(record)
+    candidates = cover_candidates(identifiers.join(wanting, record, "left_semi"), record, base_url)
+    return best_covers(candidates, sizes, record)

@@ -78,6 +78,22 @@ def records_from_queue(candidates: DataFrame) -> DataFrame:
     )
 
 
+def from_forms(entries: DataFrame) -> dict[str, DataFrame]:
+    """Filled-in forms (see ``schemas.MANUAL_ENTRY``) as tables: ``record``, and for each relation its pairs
+    of ``record_pk`` and name; relations hold several names, one a line."""
+
+    def names(column: str) -> DataFrame:
+        each = F.explode(F.split(blank_if_null(F.col(column)), "\n"))
+        return entries.select("record_pk", each.alias("n")).select("record_pk", strip_marc_punctuation(F.col("n")).alias("name")).where("name <> ''").distinct()
+
+    record = entries.select(
+        "record_pk", _clean("title").alias("title"), _clean("title_romanized").alias("title_romanized"), _clean("subtitle").alias("subtitle"),
+        strict_int(F.col("date_of_publication")).alias("date_of_publication"), blank_if_null(F.col("date_display")).alias("date_of_publication_display"),
+        _clean("place").alias("place_of_publication"), blank_if_null(F.col("language")).alias("language"), blank_if_null(F.col("notes")).alias("notes"),
+    )
+    return {"record": record} | {r: names(r) for r in ("authors", "subjects", "publishers", "locations", "isbns")}
+
+
 def with_public_ids(records: DataFrame, pk: str = "pk", prefix: str = "rec-") -> DataFrame:
     """Records with ``record_id`` and, where it is empty, ``slug``."""
     made = slug(F.col("title_romanized"), F.col("title"))

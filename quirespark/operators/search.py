@@ -75,8 +75,9 @@ def _score(frequencies: list[Column], containing: list[Column], length: Column,
 def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query: str, limit: int = DEFAULT_LIMIT, unclean: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, rank`` of documents that have every phrase in some column, best first; ties by id.
 
-    Without an index: one pass over the documents computes lengths and phrase frequencies, a second
-    small aggregate the corpus totals.  No phrases, no rows.
+    Without an index: one pass over the documents computes lengths and phrase frequencies, a few bytes
+    a document, which are dealt out once and used twice, for the hits and for the corpus totals.  No
+    phrases, no rows.
     """
     phrases = folded_phrases(docs.sparkSession, query)
     texts = indexed_text(columns, unclean)
@@ -87,14 +88,16 @@ def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query:
     )
     if not phrases:
         return measured.select(id_col, F.lit(0.0).alias("rank")).where(F.lit(False))
+    measured = measured.repartition(F.col(id_col))  # without it both uses would read and split all texts
     totals = measured.agg(
         F.count(F.lit(1)).alias("__documents"), F.avg("__length").alias("__average"), *(F.count(F.when(F.col(n) > 0, 1)).alias(f"n_{n}") for n in names)
     )  # one row
-    hits = measured
-    for n in names:
-        hits = hits.where(F.col(n) > 0)
     rank = _score([F.col(n) for n in names], [F.col(f"n_{n}") for n in names], F.col("__length"), F.col("__documents"), F.col("__average"))
-    return hits.crossJoin(F.broadcast(totals)).select(id_col, rank.alias("rank")).orderBy("rank", id_col).limit(limit)
+    hits = measured.crossJoin(F.broadcast(totals))
+    for n in names:
+        # Put so that the filter stays above the exchange, which both uses then share.
+        hits = hits.where(F.least(F.col(n).cast("long"), F.col(f"n_{n}")) > 0)
+    return hits.select(id_col, rank.alias("rank")).orderBy("rank", id_col).limit(limit)
 
 
 class SearchIndex:
@@ -136,6 +139,14 @@ class SearchIndex:
         self.lengths().join(gone, "doc", "left_anti").write.mode("overwrite").parquet(f"{out.path}/lengths")
         return out
 
+    def replace(self, docs: DataFrame, id_col: str, columns: dict[str, Column], unclean: tuple[str, ...] = ()) -> SearchIndex:
+        """A new index, beside this one, in which these documents take the place of those with their ids."""
+        new = SearchIndex(self.spark, f"{self.path}_new", self.buckets).build(docs, id_col, columns, unclean)
+        out = self.remove(docs.select(id_col))
+        new.postings().write.mode("append").partitionBy("bucket").parquet(f"{out.path}/postings")
+        new.lengths().write.mode("append").parquet(f"{out.path}/lengths")
+        return out
+
     def search(self, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
         """``doc, rank``, best first; ties by document."""
         phrases = folded_phrases(self.spark, query)

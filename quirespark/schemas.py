@@ -28,6 +28,11 @@ TITLE_PAGE_IMAGE = _table(pk="l", record_pk="l", image="s", uploaded_at="t", sta
 API_USAGE = _table(pk="l", api="s", model="s", user_pk="l", created_at="t", input_tokens="i", output_tokens="i")
 BRIDGE = _table(record_pk="l", other_pk="l")
 
+MANUAL_ENTRY = _table(
+    record_pk="l", title="s", title_romanized="s", subtitle="s", date_of_publication="s", date_display="s", place="s", language="s", notes="s",
+    authors="s", subjects="s", publishers="s", locations="s", isbns="s",
+)
+
 #: What enumerated columns may hold.
 SOURCE_CATALOGS = ("NLI", "LC", "DNB", "")
 IDENTIFIER_TYPES = ("ISBN", "LCCN", "LCC", "DDC", "NLI", "VIAF", "OCLC")

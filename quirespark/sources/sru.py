@@ -134,7 +134,13 @@ def replayed(requested: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*requested.columns, good.alias("success"), F.when(good, text).otherwise("").alias("data"), error.alias("error"))
 
 
-def cover_sizes(candidates: DataFrame, fetch: Callable[[str], int]) -> DataFrame:
+def http_size(url: str, timeout: float = 5.0) -> int:
+    """How many bytes the address answers with."""
+    with urllib.request.urlopen(url, timeout=timeout) as reply:
+        return len(reply.read())
+
+
+def cover_sizes(candidates: DataFrame, fetch: Callable[[str], int] = http_size) -> DataFrame:
     """``url, body_size`` of candidates' images, by ``fetch``, which gives the number of bytes; failures are 0."""
     from pyspark.sql.functions import pandas_udf
 

@@ -51,6 +51,15 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def stage_images(images: DataFrame, path: str) -> DataFrame:
+    """Write images (``name, content``) below ``path``, named by their content's digest, so that a task that
+    runs again writes the same files; ``name, image`` tells where each went."""
+    spark = images.sparkSession
+    named = images.select("name", "content", F.concat(F.sha2("content", 256), F.lit("."), F.lower(F.regexp_extract("name", r"([A-Za-z0-9]+)$", 1))).alias("image"))
+    named.select("image", "content").dropDuplicates(["image"]).write.mode("append").parquet(f"{path}/staged")
+    return spark.read.parquet(f"{path}/staged").select("image").distinct().join(named.select("name", "image"), "image").select("name", "image")
+
+
 def staged_images(spark: SparkSession, path: str) -> DataFrame:
     """``path, modificationTime, length, content`` of image files; content is only read where it is used."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}").option("recursiveFileLookup", "true").load(path)

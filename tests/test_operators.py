@@ -320,3 +320,35 @@ def test_schemas(spark):
     pairs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string")
     assert rows(schemas.violations(pairs, ["k", "v"])) == [(1, "a", 2)]
     assert schemas.out_of_range(pairs, "v", ("a",)).count() == 1
+
+
+def test_author_cascade(spark):
+    authors = spark.createDataFrame([(1, "Moses", ""), (2, "משה מימון", "Mosheh"), (3, "", "")], "query_id long, name string, name_romanized string")
+    steps = authority.author_steps(authors)
+    assert [r.query for r in steps.where("query_id = 1").orderBy("step_no").collect()] == ['local.personalNames all "Moses"', 'cql.any all "Moses"']
+    found = cascade.run_steps(steps, lambda now: now.where(F.col("query").startswith("cql")).withColumn("record", F.lit("r")), 5)
+    assert rows(found.select("query_id", "step_no")) == [(1, 1), (2, 2)]
+
+
+def test_cover_backfill(spark):
+    ids = spark.createDataFrame([(1, "ISBN", "1"), (2, "OCLC", "5")], "record_pk long, identifier_type string, value string")
+    records = spark.createDataFrame([(1, ""), (2, "had")], "record_pk long, cover_url string")
+    sizes = spark.createDataFrame([("b/isbn/1-M.jpg", 100), ("b/oclc/5-M.jpg", 100)], "url string, body_size long")
+    assert rows(covers.backfill(records, ids, sizes, base_url="b")) == [(1, "b/isbn/1-M.jpg")]
+
+
+def test_index_replaces_documents(spark, docs, tmp_path):
+    index = search.SearchIndex(spark, f"{tmp_path}/index", 4).build(docs, "record_id", columns())
+    changed = spark.createDataFrame([(1, "Quite different", "", ""), (99, "torah anew", "", "")], docs.schema)
+    out = index.replace(changed, "record_id", columns())
+    assert sorted(r.doc for r in out.search("torah").collect()) == [2, 7, 99] and [r.doc for r in out.search("different").collect()] == [1]
+    assert out.lengths().count() == len(TEXTS) + 1
+
+
+def test_forms(spark):
+    entry = (1, "T /", "", "s", "1999", "", "Place :", "eng", None, "Ann,\nBob", "x.", "", None, " 978 ")
+    tables = ingest.from_forms(spark.createDataFrame([entry], schemas.MANUAL_ENTRY))
+    assert (tables["record"].first().title, tables["record"].first().date_of_publication) == ("T", 1999)
+    assert rows(tables["authors"]) == [(1, "Ann"), (1, "Bob")] and rows(tables["isbns"]) == [(1, "978")] and tables["locations"].count() == 0
+    minimal = spark.createDataFrame([(2, "Only", *[None] * 12)], schemas.MANUAL_ENTRY)
+    assert ingest.from_forms(minimal)["record"].first().place_of_publication == ""

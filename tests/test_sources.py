@@ -143,3 +143,23 @@ def test_states_are_kept_across_batches(spark, tmp_path):
 @pytest.mark.parametrize("status", schemas.SCAN_STATUSES)
 def test_statuses(status):
     assert status in ("pending", "confirmed", "discarded")
+
+
+def test_demo_is_loaded_once(spark):
+    from quirespark.operators import catalog
+    from quirespark.sources import demo
+
+    once = demo.load(spark)
+    twice = demo.load(spark, once)
+    counts = {k: df.count() for k, df in once.items()}
+    assert counts == {k: df.count() for k, df in twice.items()} == {"record": 26, "author": 7, "publisher": 5, "series": 3, "series_volume": 47}
+    assert counts == {k: df.count() for k, df in demo.load(spark, twice, clear=True).items()}
+    gaps = catalog.held_and_gaps(once["series"].select("series_pk"), once["series_volume"], "series_pk")
+    assert rows(gaps.select("series_pk", "gap_count")) == [(1, 5), (2, 2), (3, 1)]
+    assert {r.language for r in once["record"].collect()} == {"heb", "eng", "ger", "yid"}
+
+
+def test_staging(spark, tmp_path):
+    images = spark.createDataFrame([("a.JPG", b"1"), ("b.png", b"2"), ("c.jpg", b"1")], "name string, content binary")
+    placed = {r.name: r.image for r in tables.stage_images(images, str(tmp_path)).collect()}
+    assert placed["a.JPG"] == placed["c.jpg"] != placed["b.png"] and placed["b.png"].endswith(".png")
