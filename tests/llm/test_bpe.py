@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import EDGES
+from edge_cases import EDGES
 from quirespark.llm import bpe, bpe_codec, packing, token_counts
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EDGES
+from edge_cases import EDGES
 from quirespark.llm import class_lm as lm
 from quirespark.llm.common import id_remainder, materialize
 
