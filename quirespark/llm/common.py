@@ -36,7 +36,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, which the driver deletes when it ends."""
     folder = f"{shared_root(spark)}/quirespark/{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # else there is nothing yet to be deleted
+    files.deleteOnExit(path)
     return f"{folder}/{label}"
 
 
