@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.text import has_hebrew, strip_marc_punctuation
+from quirespark.operators.ingest import numbered
 
 PAGE_SIZE = 25
 
@@ -79,10 +80,12 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE)
 
 
 def ranked_pages(df: DataFrame, order: list[Column], size: int = PAGE_SIZE, within: list[str] | None = None) -> DataFrame:
-    """``df`` with ``position`` and ``page``, within each group of the columns ``within``."""
-    window = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-    numbered = df.withColumn("position", F.row_number().over(window))
-    return numbered.withColumn("page", F.ceil(F.col("position") / size).cast("int"))
+    """``df`` with ``position`` and ``page``, over all rows or within each group of the columns ``within``."""
+    if within:
+        placed = df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+    else:
+        placed = numbered(df, order, "position").withColumn("position", F.col("position").cast("int"))
+    return placed.withColumn("page", F.ceil(F.col("position") / size).cast("int"))
 
 
 def related(bridge: DataFrame, records: DataFrame, newest: list[Column], record: str = "record_pk", other: str = "other_pk", most: int = 10) -> DataFrame:

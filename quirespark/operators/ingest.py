@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.durable import durable
 from quirespark.functions.text import blank_if_null, date_display, record_id, slug, strict_int, strip_marc_punctuation, trimmed, year_of
 
 #: Which field of a candidate becomes which type of identifier.
@@ -28,8 +29,8 @@ def get_or_create(dimension: DataFrame, incoming: DataFrame, key: str, pk: str =
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with dense numbers from 1 in the order given: each range of the sorted rows is numbered on
-    its own and moved up by the sizes of the ranges before."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    its own and moved up by the sizes of the ranges before.  No task sorts more than a range."""
+    ranged = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -78,15 +78,13 @@ _OPENING = "split_part(text, chr(10), 1)"
 @query(f"""
   SELECT doc_id, title, CAST(row_number() OVER (ORDER BY regexp_matches(title, '[^\\x00-\\x7F]') DESC, title, doc_id) AS INTEGER) AS position,
          CAST(ceil(row_number() OVER (ORDER BY regexp_matches(title, '[^\\x00-\\x7F]') DESC, title, doc_id) / 25.0) AS INTEGER) AS page
-  FROM (SELECT doc_id, {_OPENING} AS title FROM documents)
-  QUALIFY row_number() OVER (ORDER BY regexp_matches(title, '[^\\x00-\\x7F]') DESC, title, doc_id) <= 50""")
+  FROM (SELECT doc_id, {_OPENING} AS title FROM documents)""")
 def title_script_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages of titles, those in the other script first.  No document is in Hebrew: letters beyond
-    ASCII stand for it."""
+    """All titles with their pages, those in the other script first.  No document is in Hebrew: letters
+    beyond ASCII stand for it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     order = [*catalog.script_order("title", F.col("title").rlike(r"[^\x00-\x7F]")), F.col("doc_id")]
-    first = docs.orderBy(*order).limit(2 * catalog.PAGE_SIZE)
-    return catalog.ranked_pages(first, order).select("doc_id", "title", "position", "page")
+    return catalog.ranked_pages(docs, order).select("doc_id", "title", "position", "page")
 
 
 @query("""SELECT CAST(CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS VARCHAR) || 's' AS decade, count(*) AS record_count FROM orders
