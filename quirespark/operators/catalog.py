@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.durable import durable
 from quirespark.functions.text import has_hebrew, strip_marc_punctuation
 from quirespark.operators.ingest import numbered
+from quirespark.operators.joins import join_counted
 
 PAGE_SIZE = 25
 
@@ -91,14 +93,17 @@ def ranked_pages(df: DataFrame, order: list[Column], size: int = PAGE_SIZE, with
 def related(bridge: DataFrame, records: DataFrame, newest: list[Column], record: str = "record_pk", other: str = "other_pk", most: int = 10) -> DataFrame:
     """For each record the ``most`` newest other records that share a member with it: ``record, related, position``.
 
-    ``newest`` orders by columns of ``records``, of the related record.
+    ``newest`` orders by ``related`` and columns of ``records``, of the related record.  Only the newest
+    ``most + 1`` records of a member can be among them, so no member pairs all of its records.
     """
-    left = bridge.select(F.col(record), F.col(other))
-    right = bridge.select(F.col(record).alias("related"), F.col(other))
-    pairs = left.join(right, other).where(F.col(record) != F.col("related")).select(record, "related").distinct()
-    detailed = pairs.join(records.withColumnRenamed(record, "related"), "related")
-    window = Window.partitionBy(record).orderBy(*newest)
-    return detailed.withColumn("position", F.row_number().over(window)).where(F.col("position") <= most).select(record, "related", "position")
+    named = bridge.select(F.col(record).alias("related"), F.col(other)).distinct()
+    detailed = named.join(records.withColumnRenamed(record, "related"), "related")
+    first = detailed.withColumn("__n", F.row_number().over(Window.partitionBy(other).orderBy(*newest))).where(F.col("__n") <= most + 1).drop("__n")
+    sizes = bridge.groupBy(other).agg(F.count(F.lit(1)).alias("__size"))
+    pairs = join_counted(bridge.select(record, other), durable(first.join(sizes, other)), other, bridge.count(), "__size")
+    distinct = pairs.where(F.col(record) != F.col("related")).drop(other, "__size").repartition(record).distinct()
+    ranked = distinct.withColumn("position", F.row_number().over(Window.partitionBy(record).orderBy(*newest)))
+    return ranked.where(F.col("position") <= most).select(record, "related", "position")
 
 
 def siblings(volumes: DataFrame, series: str = "series_pk", record: str = "record_pk", number: str = "volume_number") -> DataFrame:

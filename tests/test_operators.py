@@ -352,3 +352,19 @@ def test_forms(spark):
     assert rows(tables["authors"]) == [(1, "Ann"), (1, "Bob")] and rows(tables["isbns"]) == [(1, "978")] and tables["locations"].count() == 0
     minimal = spark.createDataFrame([(2, "Only", *[None] * 12)], schemas.MANUAL_ENTRY)
     assert ingest.from_forms(minimal)["record"].first().place_of_publication == ""
+
+
+def test_related_of_a_hot_member(spark):
+    """One member has a third of all records; the rows are those of a plain self-join."""
+    pairs = [(i, 0) for i in range(0, 600, 3)] + [(i, i % 40 + 1) for i in range(600)]
+    bridge = spark.createDataFrame(pairs, "record_pk long, other_pk long")
+    records = spark.createDataFrame([(i, i % 7) for i in range(600)], "record_pk long, year long")
+    got = catalog.related(bridge, records, [F.col("year").desc(), F.col("related")], most=5)
+    members = {}
+    for r, o in pairs:
+        members.setdefault(o, set()).add(r)
+    want = []
+    for i in range(600):
+        mine = {x for o, rs in members.items() if i in rs for x in rs} - {i}
+        want += [(i, x, k + 1) for k, x in enumerate(sorted(mine, key=lambda x: (-(x % 7), x))[:5])]
+    assert rows(got) == sorted(want, key=str)
