@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialize, ship
 
 
+_SLICE = 512  # rows of a batch that is handed on
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes that bound the model, and the weight of the classes' own shares in transitions."""
@@ -39,7 +42,7 @@ class Settings:
     buckets: int = 2048  # units of rarer words
     sweeps: int = 12
     mixing: float = 20.0
-    flush: int = 300_000  # different words that a task counts before it hands them on
+    flush: int = 120_000  # different words that a task counts before it hands them on
 
 
 def words_of(text: str) -> list[bytes]:
@@ -99,8 +102,23 @@ class Lexicon:
         return self.settings.units + self.settings.buckets + 1
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """A count that at most ``most`` words reach, from a histogram with 32 steps a doubling: no task ever
+    sorts or merges the words of all others."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).collect()  # < 2,048 rows
+    reached, least = 0, 1 << 62
+    for row in sorted(histogram, key=lambda r: -r["step"]):
+        reached += row["words"]
+        if reached > most:
+            break
+        least = row["least"]
+    return least
+
+
 def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
-    top = counts.orderBy(F.desc("c"), "word").limit(settings.looked_up).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    often = counts.where(F.col("c") >= F.lit(_least_count(counts, settings.looked_up)))
+    top = often.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words = top["word"].to_pylist()
     n = len(words)
     own = min(n, settings.units)
@@ -118,29 +136,29 @@ def _encode(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
         get, first, buckets = lex.index.get, lex.settings.looked_up, lex.settings.buckets
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sequences, rare_words, rare_counts, sizes = [], [], [], []
-            for value in batch.column("text"):
-                words = words_of(value.as_py())
-                numbers = list(map(get, words))
-                rare: Counter[bytes] = Counter()
-                if None in numbers:
-                    for i, k in enumerate(numbers):
-                        if k is None:
-                            rare[words[i]] += 1
-                            numbers[i] = first + bucket_of(words[i], buckets)
-                numbers.append(lex.end)
-                sequences.append(np.array(numbers, "<i4").tobytes())
-                sizes.append(len(numbers))
-                rare_words.append(list(rare))
-                rare_counts.append(list(rare.values()))
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(sequences, pa.binary()),
-                 pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "n_tokens", "numbers", "rare", "rare_n"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):  # small batches go back, whatever comes in
+                batch = whole.slice(at, _SLICE)
+                sequences, rare_words, rare_counts, sizes = [], [], [], []
+                for value in batch.column("text"):
+                    words = words_of(value.as_py())
+                    numbers = list(map(get, words))
+                    rare: Counter[bytes] = Counter()
+                    if None in numbers:
+                        for i, k in enumerate(numbers):
+                            if k is None:
+                                rare[words[i]] += 1
+                                numbers[i] = first + bucket_of(words[i], buckets)
+                    numbers.append(lex.end)
+                    sequences.append(np.array(numbers, "<i4").tobytes())
+                    sizes.append(len(numbers))
+                    rare_words.append(list(rare))
+                    rare_counts.append(list(rare.values()))
+                yield pa.record_batch(
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(sequences, pa.binary()),
+                     pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int32()))],
+                    ["doc_id", "held_out", "n_tokens", "numbers", "rare", "rare_n"],
+                )
 
     return run
 
