@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a row group that a task holds in memory while it writes.
+ROW_GROUP = 16 << 20
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
@@ -46,7 +50,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df``, written to the shared folder and read again: what follows never recomputes it, also
     when executors are lost, and sees the same rows each time."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

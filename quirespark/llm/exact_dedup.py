@@ -13,10 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, id_and_text, materialize, scratch_path
+from quirespark.operators.joins import join_counted
 
-#: A digest is joined by broadcast if it has more than one in so many rows; there are fewer such digests.
-HOT_SHARE = 512
+from .common import ASCII_SPACE, id_and_text, materialize, scratch_path
 
 
 def normalised(text: Column) -> Column:
@@ -28,18 +27,24 @@ class DigestIndex:
     """Digests of all texts ingested so far, each with the id of the document that stays."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
-        """Open table ``name``, or create it, empty, at ``path`` (below the shared folder if not given)."""
+        """Open table ``name``, whose files are at ``path`` (below the shared folder if not given).
+
+        A catalogue that doesn't know the table gets it, over the files that are there, if any: an index
+        outlives a session by its path, name and number of buckets.
+        """
         self.spark = spark
         self.name = name or f"quirespark_digests_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or scratch_path(spark, "digests")
-        if not spark.catalog.tableExists(self.name):
-            empty = spark.createDataFrame([], "digest binary, keep_id long")
-            self._write(empty, "overwrite")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{self.name}` (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        )
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        writer = rows.write.format("parquet").mode(mode).bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.option("path", self.path).saveAsTable(self.name)
+    def _append(self, rows: DataFrame) -> None:
+        """A task for each bucket, so that a batch adds one sorted file to it."""
+        dealt = rows.repartition(self.buckets, "digest")
+        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -49,7 +54,7 @@ class DigestIndex:
 
         ``keep_id`` is the smallest id among equal texts of the batch, or the one that the index had for
         the text before; ``group_size`` counts the batch's rows with that text; ``kept`` holds for rows
-        whose id is ``keep_id`` if the text is new.  Null texts count as empty.  Repeated rows of one id
+        whose id is ``keep_id``, so that a batch that is ingested again gives what it gave.  Null texts count as empty.  Repeated rows of one id
         and text stay or go together.  A null id never stays unless its text has no other.  An empty
         batch gives no rows and appends none.  Further columns are ignored.
         """
@@ -67,23 +72,13 @@ class DigestIndex:
                 "digest",
                 F.when(F.col("known"), F.col("known_id")).otherwise(F.col("first_id")).alias("keep_id"),
                 "group_size",
-                F.coalesce("known", F.lit(False)).alias("known"),
             ),
             "resolved",
         )
         fresh = groups.hint("merge").join(self.read(), "digest", "left_anti")
-        self._write(
-            materialize(fresh.select("digest", F.col("first_id").alias("keep_id")), "fresh").repartition(self.buckets, "digest"), "append"
-        )
-        most = hashed.count() // HOT_SHARE
-        columns = ["digest", "keep_id", "group_size", "known"]
-        hot = resolved.where(F.col("group_size") > most).select(columns)  # fewer than HOT_SHARE rows
-        cold = resolved.where(F.col("group_size") <= most).select(columns)
-        is_hot = hot.select("digest")
-        rows = hashed.join(F.broadcast(hot), "digest").unionByName(
-            hashed.join(F.broadcast(is_hot), "digest", "left_anti").hint("merge").join(cold, "digest")
-        )
-        stays = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        self._append(materialize(fresh.select("digest", F.col("first_id").alias("keep_id")), "fresh"))
+        rows = join_counted(hashed, resolved, "digest", hashed.count(), "group_size")
+        stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         return rows.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

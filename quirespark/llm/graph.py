@@ -1,27 +1,13 @@
-"""Joins that withstand hot keys, and connected components of an edge table, on DataFrames."""
+"""Connected components of an edge table, on DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: A key is hot if it has more than one in so many rows, so that fewer than this many keys are.
-HOT_SHARE = 512
-
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, rows: int, n: str = "n") -> DataFrame:
-    """``left`` joined to ``right``, which has one row for each key and in ``n`` its rows in ``left``.
+from quirespark.operators.joins import join_counted
 
-    The few hot keys (at most ``HOT_SHARE``, as they share ``rows`` rows) are joined by broadcast, where
-    their rows are; all others by a shuffle that no key can unbalance.
-    """
-    most = rows // HOT_SHARE
-    hot, cold = right.where(F.col(n) > most), right.where(F.col(n) <= most)
-    return left.join(F.broadcast(hot), key).unionByName(
-        left.join(F.broadcast(hot.select(key)), key, "left_anti").hint("merge").join(cold, key)
-    )
+from .common import materialize
 
 
 def _toward_least(pairs: DataFrame, rows: int, larger_only: bool) -> DataFrame:

@@ -23,8 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.operators.joins import join_counted
+
 from .common import id_and_text, map_batches, materialize, ship, texts_of
-from .graph import components, join_counted
+from .graph import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = 32

@@ -55,6 +55,11 @@ def test_index_remembers_batches(spark, make_docs, tmp_path):
     assert (rows[1].keep_id, rows[1].kept, rows[1].group_size) == (5, False, 1)
     assert rows[8].kept and rows[9].keep_id == 9 and rows[9].kept  # "c" and "c " differ
     assert again.read().count() == 4
+    spark.sql("DROP TABLE batches")  # the catalogue forgets it; its files stay
+    third = exact_dedup.DigestIndex(spark, "batches", f"file://{tmp_path}/index", buckets=3)
+    assert third.read().count() == 4
+    rows = {r.doc_id: r.kept for r in third.ingest(make_docs([(5, "a"), (6, "b"), (7, "a")])).collect()}
+    assert rows == {5: True, 6: True, 7: False} and third.read().count() == 4
     assert again.ingest(make_docs([])).count() == 0 and again.read().count() == 4
 
 
