@@ -9,12 +9,14 @@ from .text import blank_if_null, repair_gershayim, trimmed
 
 #: What is read from a title page.
 TITLE_PAGE = "title string, subtitle string, publisher string, place string, date string, title_romanized string, author string, author_romanized string"
+#: Marks of a code block at the beginning and at the end.
+FENCE_BEFORE, FENCE_AFTER = r"^```\w*\n?", r"\n?```$"
 
 
 def unfenced(c: Column) -> Column:
     """Without the marks of a code block around it."""
     text = trimmed(blank_if_null(c))
-    inner = F.regexp_replace(F.regexp_replace(text, r"^```\w*\n?", ""), r"\n?```$", "")
+    inner = F.regexp_replace(F.regexp_replace(text, FENCE_BEFORE, ""), FENCE_AFTER, "")
     return F.when(text.startswith("```"), inner).otherwise(text)
 
 

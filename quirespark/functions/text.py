@@ -18,6 +18,9 @@ ABBREVIATIONS = (
 HEBREW = "[֐-׿]"
 COMPARED_AWAY = "[\"\\-,.:;/\\\\'()|׳״]"
 INDEXED_AWAY = r"[,;:!?@#$%^&*()\[\]{}<>=/\\|~`]"
+#: What ends a catalogue field; an unquoted value of an index, up to a boolean or the end.
+FIELD_END = r"(?U)\s+[;:/]$|,$"
+UNQUOTED_VALUE = r'(?i)(alma\.\w+)\s*=\s*(?!"[^"]*")(\S(?:[^"]*?\S)?)(?=\s+\b(?:AND|OR|NOT|PROX|SORTBY)\b|\s*$)'
 #: Fixed value: digits of base 62, lowest first.
 BASE62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,7 +47,7 @@ def has_hebrew(c: Column) -> Column:
 def strip_marc_punctuation(c: Column) -> Column:
     """Without the delimiter that ends a catalogue field, and without a final full stop unless it belongs
     to an ellipsis, an initial or an abbreviation.  Null gives the empty string."""
-    text = _right_trimmed(F.regexp_replace(trimmed(blank_if_null(c)), r"(?U)\s+[;:/]$|,$", ""))
+    text = _right_trimmed(F.regexp_replace(trimmed(blank_if_null(c)), FIELD_END, ""))
     last = F.regexp_extract(F.regexp_replace(text, r"\.$", ""), r"(?U)(\S+)\s*$", 1)
     stays = text.endswith("...") | last.rlike(r"^\p{Lu}$") | last.isin(*ABBREVIATIONS)
     return F.when(text.endswith(".") & ~stays, _right_trimmed(F.regexp_replace(text, r"\.$", ""))).otherwise(text)
@@ -87,11 +90,7 @@ def tokens(c: Column) -> Column:
 
 def quote_cql_values(c: Column) -> Column:
     """Quote the unquoted values of ``alma.*`` indexes, up to the next boolean or the end."""
-    return F.regexp_replace(
-        c,
-        r"(?i)(alma\.\w+)\s*=\s*(?!\"[^\"]*\")(\S(?:[^\"]*?\S)?)(?=\s+\b(?:AND|OR|NOT|PROX|SORTBY)\b|\s*$)",
-        '$1 = "$2"',
-    )
+    return F.regexp_replace(c, UNQUOTED_VALUE, '$1 = "$2"')
 
 
 def cql(template: str, **values: Column) -> Column:
