@@ -28,8 +28,9 @@ SHORTEST, LONGEST = 2, 4
 #: Bounds of the training sample and of the model.
 PER_LANGUAGE = 600
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
-#: A text is rejected below this calibrated probability.
-REJECT_BELOW = 0.4
+#: A text is rejected below this calibrated probability: one in two languages at once reaches it, one in none
+#: of four or more hardly.
+REJECT_BELOW = 0.3
 _MEMO = 400_000
 
 
