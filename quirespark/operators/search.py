@@ -37,9 +37,10 @@ def folded_phrases(spark: SparkSession, query: str) -> list[list[str]]:
     return [[next(terms) for _ in p] for p in phrases]
 
 
-def indexed_text(columns: dict[str, Column], unclean: tuple[str, ...] = ()) -> Column:
-    """The columns' terms as an array of arrays; all but the unclean ones lose marks first."""
-    return F.array(*(tokens(c if name in unclean else clean_for_index(c)) for name, c in columns.items()))
+def indexed_text(columns: dict[str, Column]) -> Column:
+    """The columns' terms as an array of arrays.  Marks that cleaning takes away part terms anyway, so text
+    needn't be cleaned first."""
+    return F.array(*map(tokens, columns.values()))
 
 
 def joined_names(names: DataFrame, record: str, name: str, romanized: str, alias: str) -> DataFrame:
@@ -72,7 +73,7 @@ def _score(frequencies: list[Column], containing: list[Column], length: Column,
     return -total
 
 
-def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query: str, limit: int = DEFAULT_LIMIT, unclean: tuple[str, ...] = ()) -> DataFrame:
+def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """``id_col, rank`` of documents that have every phrase in some column, best first; ties by id.
 
     Without an index: one pass over the documents computes lengths and phrase frequencies, a few bytes
@@ -80,7 +81,7 @@ def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query:
     phrases, no rows.
     """
     phrases = folded_phrases(docs.sparkSession, query)
-    texts = indexed_text(columns, unclean)
+    texts = indexed_text(columns)
     length = F.aggregate(texts, F.lit(0), lambda s, t: s + F.size(t))
     names = [f"f{i}" for i in range(len(phrases))]
     measured = docs.select(F.col(id_col), texts.alias("__texts"), length.alias("__length")).select(
@@ -109,9 +110,9 @@ class SearchIndex:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def build(self, docs: DataFrame, id_col: str, columns: dict[str, Column], unclean: tuple[str, ...] = ()) -> SearchIndex:
+    def build(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> SearchIndex:
         """Write (or write anew) the index of all documents."""
-        texts = docs.select(F.col(id_col).alias("doc"), indexed_text(columns, unclean).alias("texts"))
+        texts = docs.select(F.col(id_col).alias("doc"), indexed_text(columns).alias("texts"))
         terms = texts.select("doc", F.posexplode("texts").alias("column", "terms")).select("doc", "column", F.posexplode("terms").alias("position", "term"))
         postings = terms.groupBy("term", "doc", "column").agg(F.sort_array(F.collect_list("position")).alias("positions"))
         (
@@ -139,9 +140,9 @@ class SearchIndex:
         self.lengths().join(gone, "doc", "left_anti").write.mode("overwrite").parquet(f"{out.path}/lengths")
         return out
 
-    def replace(self, docs: DataFrame, id_col: str, columns: dict[str, Column], unclean: tuple[str, ...] = ()) -> SearchIndex:
+    def replace(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> SearchIndex:
         """A new index, beside this one, in which these documents take the place of those with their ids."""
-        new = SearchIndex(self.spark, f"{self.path}_new", self.buckets).build(docs, id_col, columns, unclean)
+        new = SearchIndex(self.spark, f"{self.path}_new", self.buckets).build(docs, id_col, columns)
         out = self.remove(docs.select(id_col))
         new.postings().write.mode("append").partitionBy("bucket").parquet(f"{out.path}/postings")
         new.lengths().write.mode("append").parquet(f"{out.path}/lengths")

@@ -113,10 +113,10 @@ def sqlite_hits(query):
 @pytest.mark.parametrize("query", ["torah", "Torah, moses", "cafe", "old-book", "old-book torah", "moses", "התורה", "unknown", "torah unknown", "lee long"])
 def test_search_ranks_as_sqlite_does(spark, docs, tmp_path, query):
     want = sorted(sqlite_hits(query))
-    got = search.scan_search(docs, "record_id", columns(), query, unclean=("identifiers",)).collect()
+    got = search.scan_search(docs, "record_id", columns(), query).collect()
     assert sorted((r.record_id, round(r["rank"], 6)) for r in got) == want
     assert [r["rank"] for r in got] == sorted(r["rank"] for r in got)
-    index = search.SearchIndex(spark, f"{tmp_path}/index", 4).build(docs, "record_id", columns(), ("identifiers",))
+    index = search.SearchIndex(spark, f"{tmp_path}/index", 4).build(docs, "record_id", columns())
     assert sorted((r.doc, round(r["rank"], 6)) for r in index.search(query).collect()) == want
 
 
