@@ -3,8 +3,11 @@
 Words are cut into hashed runs of 2 to 4 characters, ends marked.  A text's vector is the mean of its
 subwords' embeddings; a linear layer with softmax gives the languages.  Both are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows (and slices of them, for short texts); a
-temperature fitted on rows set aside calibrates the probabilities, and a text is rejected if none of
-them reaches a threshold.
+temperature fitted on documents set aside calibrates the probabilities.
+
+A text is rejected by the share of its subwords that no training text of any language holds, so that the
+number of languages doesn't matter and a text in several of them stays.  What share a language's own texts
+reach is measured on its training documents, each against all the others.
 
 For scoring, embeddings and layer are multiplied out to one number per subword and language, so that a
 text's logits are means over its words, which are memoised.
@@ -28,9 +31,12 @@ SHORTEST, LONGEST = 2, 4
 #: Bounds of the training sample and of the model.
 PER_LANGUAGE = 600
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
-#: A text is rejected below this calibrated probability: one in two languages at once reaches it, one in none
-#: of four or more hardly.
-REJECT_BELOW = 0.3
+#: Subwords are remembered by this many values, so that hardly one passes for another.
+FINE = 1 << 24
+#: A language's limit of unseen subwords: so many times what all but a share of its own documents keep to, and at least this.
+MARGIN, BEYOND, LEAST = 2.0, 0.005, 0.02
+#: Short texts may be beyond the limit by so many standard deviations, a word being about so many subwords.
+DEVIATIONS, A_WORD = 2.0, 8.0
 _MEMO = 400_000
 
 
@@ -39,8 +45,8 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed subwords of lower-case words, one after another, and how many each word has.
+def fine_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed subwords, below ``FINE``, of lower-case words, one after another, and how many each word has.
 
     Whatever isn't a letter parts a word; each part has its ends marked.
     """
@@ -71,7 +77,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if size >= SHORTEST:
             found = rolling[whole]
             found = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            hashes.append((found >> np.uint64(40)) % np.uint64(BUCKETS))
+            hashes.append(found >> np.uint64(40))
             owners.append(of[: len(whole)][whole])
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
@@ -80,14 +86,35 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.bincount(owners, minlength=len(words))
 
 
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same, as buckets."""
+    ids, counts = fine_subwords(words)
+    return ids % BUCKETS, counts
+
+
 @dataclass
 class Model:
-    """Logits of each subword bucket, the layer's bias, the languages and the temperature."""
+    """Logits of each subword bucket, the layer's bias, the languages and the temperature; a bit for each
+    subword that training saw, and the languages' limits of unseen ones (without them nothing is unseen)."""
 
     languages: list[str]
     table: np.ndarray  # BUCKETS x languages
     bias: np.ndarray
     temperature: float = 1.0
+    seen: np.ndarray | None = None
+    limits: np.ndarray | None = None
+
+    def unseen(self, fine: np.ndarray) -> np.ndarray:
+        if self.seen is None:
+            return np.zeros(len(fine), bool)
+        return (self.seen[fine >> 3] >> (7 - (fine & 7))) & 1 == 0
+
+    def familiar(self, best: np.ndarray, unseen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether texts, likeliest in languages ``best``, keep to these languages' limits."""
+        if self.limits is None:
+            return np.ones(len(best), bool)
+        limit, n = self.limits[best], np.maximum(counts, 1)
+        return unseen / n <= limit + DEVIATIONS * np.sqrt(limit * (1 - limit) * A_WORD / n)
 
     def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
         logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
@@ -109,12 +136,23 @@ def _examples(text: str, slices: int = 2) -> list[tuple[np.ndarray, np.ndarray]]
     return [(ids, n) for ids, n in found if len(ids)]
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent over (language, bucket ids, counts); every fifth example is set aside
-    for the temperature."""
+def familiarity(documents: list[tuple[int, np.ndarray, np.ndarray]], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each subword of (language, fine ids, counts), and each language's limit of unseen ones."""
+    held = np.zeros(FINE, np.uint8)  # by no document, by one, by more
+    for _, ids, _ in documents:
+        held[ids] = np.minimum(held[ids] + 1, 2)
+    shares = [[] for _ in range(languages)]
+    for language, ids, counts in documents:
+        shares[language].append(counts[held[ids] < 2].sum() / counts.sum())  # unseen but for the document itself
+    limits = [min(1.0, max(LEAST, MARGIN * float(np.quantile(s, 1 - BEYOND)))) if s else 1.0 for s in shares]
+    return np.packbits(held > 0), np.array(limits)
+
+
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], set_aside: list[bool], seed: int = 7) -> Model:
+    """Stochastic gradient descent over (language, bucket ids, counts); those ``set_aside`` give the temperature."""
     rng = np.random.default_rng(seed)
-    fit = [e for i, e in enumerate(examples) if i % 5] or examples
-    aside = [e for i, e in enumerate(examples) if not i % 5]
+    fit = [e for e, out in zip(examples, set_aside, strict=True) if not out] or examples
+    aside = [e for e, out in zip(examples, set_aside, strict=True) if out]
     embeddings = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     touched = np.zeros(BUCKETS, bool)
     layer, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
@@ -155,7 +193,8 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[st
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """A model of the languages in ``label_col``, from about ``per_language`` rows of each, picked by a
-    hash of the id.  Rows without label or text don't count.  ``docs`` must hold training rows only."""
+    hash of the id.  Rows without label or text don't count.  ``docs`` must hold training rows only.  Every
+    fifth text, by its hash, is set aside with all its slices and copies for the temperature."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}  # a row for each language
     languages = sorted(counts)
@@ -165,25 +204,38 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     limit = F.lit(0)
     for language in languages:
         limit = F.when(F.col(label_col) == language, F.lit(int((1 << 30) * min(1.0, per_language / counts[language])))).otherwise(limit)
-    sample = labelled.where(place < limit).select(F.col(label_col).alias("label"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = labelled.where(place < limit).select(
+        F.col(label_col).alias("label"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+        (F.pmod(F.xxhash64(text_col), F.lit(5)) == 0).alias("aside"),
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for label, doc, text in zip(*(batch.column(c).to_pylist() for c in ("label", "doc_id", "text")), strict=True):
-            out += [(label, doc, k, ids.tolist(), n.tolist()) for k, (ids, n) in enumerate(_examples(text))]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["label", "doc_id", "k", "ids", "counts"])
-
-    rows = map_batches(sample, run, "label string, doc_id long, k int, ids array<int>, counts array<int>").toArrow().sort_by(
-        [("doc_id", "ascending"), ("k", "ascending")]
-    )
+        for label, doc, text, aside in zip(*(batch.column(c).to_pylist() for c in ("label", "doc_id", "text", "aside")), strict=True):
+            for k, (ids, n) in enumerate(_examples(text)):
+                fine, fine_n = (x.tolist() for x in np.unique(fine_subwords(text.lower().split())[0], return_counts=True)) if k == 0 else ([], [])
+                out.append((label, doc, aside, k, ids.tolist(), n.tolist(), fine, fine_n))
+        columns = list(zip(*out, strict=True)) or [[]] * 8
+        numbers = pa.list_(pa.int32())
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), numbers, numbers, numbers, numbers)
+        names = ["label", "doc_id", "aside", "k", "ids", "counts", "fine", "fine_n"]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    schema = "label string, doc_id long, aside boolean, k int, ids array<int>, counts array<int>, fine array<int>, fine_n array<int>"
+    rows = map_batches(sample, run, schema).toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
     number = {language: i for i, language in enumerate(languages)}
     examples = [
         (number[r.as_py()], i.values.to_numpy(), n.values.to_numpy())
         for r, i, n in zip(rows["label"], rows["ids"], rows["counts"], strict=True)
     ]
-    return train(examples, languages)
+    model = train(examples, languages, rows["aside"].to_pylist())
+    whole = [
+        (number[r.as_py()], i.values.to_numpy(), n.values.to_numpy())
+        for r, k, i, n in zip(rows["label"], rows["k"], rows["fine"], rows["fine_n"], strict=True)
+        if k.as_py() == 0 and len(i)
+    ]
+    model.seen, model.limits = familiarity(whole, len(languages))
+    return model
 
 
 class Scorer:
@@ -191,19 +243,19 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.width = len(model.languages) + 1
+        self.width = len(model.languages) + 2
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.sums = np.zeros((1 << 12, self.width), np.float32)  # logits and number of subwords
+        self.sums = np.zeros((1 << 12, self.width), np.float32)  # logits, number of unseen subwords and of all
 
     def _learn(self, words: list[str]) -> None:
-        ids, counts = subwords(words)
+        fine, counts = fine_subwords(words)
+        ids = fine % BUCKETS
         owner = np.repeat(np.arange(len(words)), counts)
-        new = np.stack(
-            [np.bincount(owner, self.model.table[ids, k], len(words)) for k in range(self.width - 1)] + [counts], axis=1
-        )
+        logits = [np.bincount(owner, self.model.table[ids, k], len(words)) for k in range(self.width - 2)]
+        new = np.stack([*logits, np.bincount(owner, self.model.unseen(fine), len(words)), counts], axis=1)
         if len(self.index) + len(words) > _MEMO:
             self._clear()
         at = len(self.index)
@@ -228,13 +280,15 @@ class Scorer:
             total += self.sums[found].sum(axis=0, dtype=np.float64)
         return total
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Likeliest languages, their probabilities, and whether the texts are in languages of the model."""
         sums = np.array([self.sum_of(t) for t in texts]).reshape(-1, self.width)
         counts = sums[:, -1]
-        p = self.model.probabilities(sums[:, :-1], counts)
+        p = self.model.probabilities(sums[:, :-2], counts)
         best = p.argmax(axis=1)
         names = [self.model.languages[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
-        return names, np.where(counts > 0, p.max(axis=1), 0.0)
+        known = (counts > 0) & self.model.familiar(best, sums[:, -2], counts)
+        return names, np.where(counts > 0, p.max(axis=1), 0.0), known
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -250,7 +304,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = cell.get("scorer") or cell.setdefault("scorer", Scorer(shared.value))
-        names, scores = scorer.predict(texts_of(batch))
+        names, scores, _ = scorer.predict(texts_of(batch))
         return pa.record_batch(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
             ["doc_id", "held_out", "lang_pred", "score"],
@@ -264,15 +318,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text isn't rejected: it has a letter and some language
-    reaches ``reject_below``.  A narrow map: texts aren't shuffled."""
+def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text isn't rejected: it has a letter and hardly more subwords
+    unseen in training than documents of its likeliest language have.  A narrow map: texts aren't shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cell: dict[str, Scorer] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = cell.get("scorer") or cell.setdefault("scorer", Scorer(shared.value))
-        names, scores = scorer.predict(texts_of(batch, text_col))
-        return batch.filter(pa.array([n != UNKNOWN and s >= reject_below for n, s in zip(names, scores, strict=True)]))
+        _, _, known = scorer.predict(texts_of(batch, text_col))
+        return batch.filter(pa.array(known))
 
     return map_batches(docs, run, docs.schema)

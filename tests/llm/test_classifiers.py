@@ -68,6 +68,30 @@ def test_rejection_keeps_known_languages(corpus, make_docs):
     assert language_id.accepted(strange, model).count() == 0
 
 
+def test_unlearned_languages_and_gibberish_are_rejected(corpus, make_docs):
+    """Whatever the number of languages; texts in several learned ones stay."""
+    docs, langs, _ = corpus
+    rng = random.Random(9)
+    for learned in (["xa", "yo"], ["xa"], list(SYLLABLES)):
+        model = language_id.fit(docs.where(F.col("lang").isin(learned)))
+        foreign = [(i, words(rng, lang, 40)) for i, lang in enumerate(x for x in SYLLABLES if x not in learned)]
+        noise = [(100 + i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(3, 9))) for _ in range(12))) for i in range(20)]
+        assert language_id.accepted(make_docs(foreign + noise), model).count() == 0
+        mixed = [(i, " ".join(words(rng, lang, 20) for lang in learned)) for i in range(20)]
+        assert language_id.accepted(make_docs(mixed), model).count() == 20
+
+
+def test_copies_and_slices_are_set_aside_together(corpus, make_docs, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, words(rng, "xa", 40)) for i in range(60)]
+    given = {}
+    monkeypatch.setattr(language_id, "train", lambda examples, languages, *rest: given.update(n=len(examples), aside=rest) or language_id.Model(languages, None, None))
+    language_id.fit(make_docs([*rows, *((1000 + i, t) for i, t in rows)], {i: "xa" for k in (0, 1000) for i in range(k, k + 60)}))
+    aside = given["aside"][0]
+    assert given["n"] == len(aside) == 360 and 0 < sum(aside) < 360
+    assert all(len(set(aside[i : i + 3])) == 1 for i in range(0, 360, 3)) and aside[:180] == aside[180:]
+
+
 def test_subwords_of_parts():
     ids, counts = language_id.subwords(["ab", "a1b", "12", "é"])
     assert counts.tolist() == [6, 6, 0, 3]
