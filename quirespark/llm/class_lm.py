@@ -3,9 +3,9 @@
 A word's probability is that of its class after the previous word's class times that of the word within
 its class.  Exchange clustering makes the classes: the most frequent words start in classes by rank and
 each moves, again and again, to the class where the likelihood of the class bigrams grows most; then all
-other units are put where it grows most given those classes.  A *unit* is a frequent word, or all rarer
-words whose last three letters fall into the same bucket, so that a word that training never saw has a
-class, too.  Counts of all words, seen or not, are exact and cover all training documents, however many
+other units are put where it grows most given those classes, in parallel.  A *unit* is a word of the lexicon,
+or all other words whose last three letters fall into the same bucket, so that a word that training never saw
+has a class, too.  Counts of all words, seen or not, are exact and cover all training documents, however many
 different words there are; only tables of bounded size (units, classes) come to the driver.
 
 Smoothing: class transitions are mixed with the classes' own shares; within a class, an absolute discount
@@ -37,7 +37,7 @@ class Settings:
 
     classes: int = 32
     clustered: int = 2048  # words that move one by one
-    units: int = 16384  # words that are units of their own
+    units: int = 16384  # without effect: every looked-up word is a unit of its own
     looked_up: int = 131072  # words whose counts all executors hold; other words' counts are joined
     buckets: int = 2048  # units of rarer words
     sweeps: int = 12
@@ -99,34 +99,36 @@ class Lexicon:
 
     @property
     def n_units(self) -> int:
-        return self.settings.units + self.settings.buckets + 1
+        return self.settings.looked_up + self.settings.buckets + 1
 
 
-def _least_count(counts: DataFrame, most: int) -> int:
-    """A count that at most ``most`` words reach, from a histogram with 32 steps a doubling: no task ever
+def _most_frequent(counts: DataFrame, most: int) -> Column:
+    """Which words the lexicon takes, at most ``most``: those that reach a count, from a histogram with 32
+    steps a doubling, and of the step below it as many, by a hash, as there is room for.  No task ever
     sorts or merges the words of all others."""
     step = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    place = F.pmod(F.xxhash64("word"), F.lit(4096))
     histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).collect()  # < 2,048 rows
     reached, least = 0, 1 << 62
     for row in sorted(histogram, key=lambda r: -r["step"]):
+        if reached + row["words"] > most:
+            below = step == F.lit(row["step"])
+            upto, places = 0, counts.where(below).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("words")).collect()  # <= 4,096 rows
+            held = {r["place"]: r["words"] for r in places}
+            while reached + held.get(upto, 0) <= most:
+                reached += held.get(upto, 0)
+                upto += 1
+            return (F.col("c") >= F.lit(least)) | (below & (place < F.lit(upto)))
         reached += row["words"]
-        if reached > most:
-            break
         least = row["least"]
-    return least
+    return F.col("c") >= F.lit(least)
 
 
 def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
-    often = counts.where(F.col("c") >= F.lit(_least_count(counts, settings.looked_up)))
+    often = counts.where(_most_frequent(counts, settings.looked_up))
     top = often.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words = top["word"].to_pylist()
-    n = len(words)
-    own = min(n, settings.units)
-    unit = np.empty(settings.looked_up + settings.buckets + 1, np.int32)
-    unit[:n] = [i if i < own else settings.units + bucket_of(w, settings.buckets) for i, w in enumerate(words)]
-    unit[n : settings.looked_up] = 0
-    unit[settings.looked_up : -1] = settings.units + np.arange(settings.buckets)
-    unit[-1] = settings.units + settings.buckets
+    unit = np.arange(settings.looked_up + settings.buckets + 1, dtype=np.int32)
     return Lexicon({w: i for i, w in enumerate(words)}, np.array(top["c"].to_pylist(), np.float64), unit, settings)
 
 
@@ -196,6 +198,33 @@ def _collected(sums: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     return out.reshape(shape)
 
 
+def _sparse_sum_over(encoded: DataFrame, shared, table, most: int = 1 << 21) -> DataFrame:
+    """The same for keys without bound: a task adds up at most ``most`` keys before it hands them on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.record_batch([pa.array(keys[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], ["key", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                column = batch.column("numbers").slice(at, 256)
+                if len(column):
+                    waiting.append(table(shared.value, np.concatenate([np.frombuffer(v.as_buffer(), "<i4") for v in column])))
+                    size += len(waiting[-1])
+                    if size >= most:
+                        yield from out()
+                        waiting, size = [], 0
+        if size:
+            yield from out()
+
+    rows = encoded.select("numbers").mapInArrow(run, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
 # --- Clustering -----------------------------------------------------------------------------------
 
 
@@ -262,6 +291,25 @@ def assign(n: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
     return out
 
 
+def _assigned(around: DataFrame, n: np.ndarray, k: int) -> DataFrame:
+    """``unit, class`` from ``key, n`` (unit x 2k + class after, or k + class before): units in parallel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                beside = np.zeros((batch.num_rows, 2 * k))
+                for i, pairs in enumerate(batch.column("pairs").to_pylist()):
+                    for pair in pairs:
+                        beside[i, pair["place"]] = pair["n"]
+                yield pa.record_batch([batch.column("unit"), pa.array(assign(n, beside[:, :k], beside[:, k:]))], ["unit", "class"])
+
+    width = F.lit(2 * k)
+    pair = F.struct((F.col("key") % width).alias("place"), F.col("n").alias("n"))
+    units = around.groupBy(F.floor(F.col("key") / width).alias("unit")).agg(F.collect_list(pair).alias("pairs"))  # 2k pairs at most
+    return units.mapInArrow(run, "unit long, class long")
+
+
 # --- Model ----------------------------------------------------------------------------------------
 
 
@@ -314,10 +362,10 @@ def fit(encoded: DataFrame, counts: DataFrame, shared, settings: Settings) -> Mo
         before = word[1:] & ~end[1:] & top[:-1]
         return np.concatenate([units[:-1][after] * (2 * k) + member[flat[1:][after]], units[1:][before] * (2 * k) + k + member[flat[:-1][before]]])
 
-    around = _collected(_sum_over(train, shared, beside, u * 2 * k), (u, 2 * k))
-    unit_class = np.empty(u, np.int64)
+    found = _assigned(_sparse_sum_over(train, shared, beside), n, k).toArrow()  # a row for each unit
+    unit_class = np.full(u, int(n.sum(axis=1).argmax()))  # units that never stand beside a clustered word
     unit_class[:m] = member
-    unit_class[m:-1] = assign(n, around[m:-1, :k], around[m:-1, k:])
+    unit_class[found["unit"].to_numpy()] = found["class"].to_numpy()
     unit_class[-1] = k
 
     def steps(lex: Lexicon, flat: np.ndarray) -> np.ndarray:

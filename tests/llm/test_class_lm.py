@@ -103,6 +103,28 @@ def test_scores_are_the_models_probabilities(spark, make_docs, rows):
         assert abs(scored[i] - total) < 1e-6
 
 
+def test_all_looked_up_words_have_classes_of_their_own(spark, make_docs):
+    """Rarer nouns and verbs with the same last letters go to the classes of nouns and verbs; the lexicon is full."""
+    rng = random.Random(12)
+    frequent = {"n": [f"n{i}" for i in range(10)], "v": [f"v{i}" for i in range(10)]}
+    rarer = {x: [f"{x}{i}end" for i in range(20)] for x in "nv"}
+    made = []
+    for i in range(400):
+        pairs = [(rng.choice(frequent["n"]), rng.choice(frequent["v"])) for _ in range(10)]
+        pairs += [(rng.choice(rarer["n"]), rng.choice(frequent["v"])), (rng.choice(frequent["n"]), rng.choice(rarer["v"]))]
+        made.append((i, " ".join(f"{a} {b}" for a, b in pairs)))
+    made += [(1000 + i, f"once{i}") for i in range(50)]
+    settings = lm.Settings(classes=2, clustered=20, units=24, looked_up=80, buckets=4)
+    docs = make_docs(made).select("doc_id", "text", F.lit(False).alias("held_out"))
+    counts = materialize(lm.word_counts(docs, settings.flush), "words")
+    lex = lm.lexicon(counts, settings)
+    assert 75 <= len(lex.index) <= 80  # 60 words occur often, 50 once
+    shared = spark.sparkContext.broadcast(lex)
+    model = lm.fit(materialize(docs.mapInArrow(lm._encode(shared), lm._ENCODED), "encoded"), counts, shared, settings)
+    of = {x: {model.unit_class[lex.unit[lex.index[w.encode()]]] for w in frequent[x] + rarer[x]} for x in "nv"}
+    assert len(of["n"]) == len(of["v"]) == 1 and of["n"] != of["v"]
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(2)
     n = 20
