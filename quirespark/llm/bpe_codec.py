@@ -2,15 +2,19 @@
 
 A rolling hash over the last bytes marks cuts, so that a passage that documents share is cut at the same
 places in each and its chunks are encoded once (per worker, in a bounded memo).  Chunks are encoded
-without regard to what surrounds them; each join is then repaired: the text around it is encoded again
-in a window that grows until, on both sides, it agrees with the ids that are held already.
+without regard to what surrounds them; each join is then repaired: the text around it, between places
+where a pre-token begins whatever the context, is encoded again, and on both sides must agree exactly with
+the ids that are held already.  A chunk without such places is carried on to the next cut, so that the work
+stays in proportion to the text, also where it has no white space.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +66,26 @@ def _character_start(data: bytes, at: int) -> int:
     return at
 
 
+#: A place where a pre-token begins whatever stands around it, and where nothing before depends on what
+#: follows: white space after another character, or a full stop or comma after an ideograph or kana.  Of
+#: letters beyond ASCII only those count whose class no Unicode version has changed.
+_SAFE = re.compile(
+    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xed][\x80-\xbf][\x80-\xbf])"
+    rb"|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=\xe3\x80[\x81-\xbf])|(?<=\xf0[\x9f\xa0][\x80-\xbf][\x80-\xbf]))(?=[ \t\n\r])"
+    rb"|(?:(?<=[\xe5-\xe8][\x80-\xbf][\x80-\xbf])|(?<=\xe3\x81[\x81-\xbf])|(?<=\xe3\x82[\x80-\x93\xa1-\xbf])"
+    rb"|(?<=\xe3\x83[\x80-\xba]))(?=\xe3\x80[\x81\x82])"
+)
+
+
+@dataclass(slots=True)
+class Chunk:
+    """Ids of a chunk that stood alone; (byte, id) numbers of its first two and last two safe places."""
+
+    ids: array
+    head: tuple[tuple[int, int], ...]
+    tail: tuple[tuple[int, int], ...]
+
+
 class ChunkCodec:
     """Encodes and decodes with one vocabulary, like the tokenizers library with the same file."""
 
@@ -69,84 +93,97 @@ class ChunkCodec:
         self.specials = bpe.special_strings(path)
         self.pieces = bpe.vocabulary_bytes(path)
         self.core = bpe.core(path).encode_ordinary
-        self.memo: dict[bytes, array] = {}
-        self.memo_bytes, self.used, self.reused, self.encoded = memo_bytes, 0, 0, 0
-
-    def chunk_ids(self, chunk: bytes) -> array:
-        """Ids of a chunk as if it stood alone, from the memo if another document had it before."""
-        ids = self.memo.get(chunk)
-        if ids is not None:
-            self.reused += 1
-            return ids
+        self.memo: dict[bytes, Chunk] = {}
+        self.memo_bytes, self.used, self.reused, self.encoded, self.unsettled = memo_bytes, 0, 0, 0, 0
+
+    def _chunk(self, data: bytes, places: list[int]) -> Chunk:
+        """Encode a chunk, whose safe places are given, and keep it for other documents."""
         self.encoded += 1
-        ids = array("I", self.core(chunk.decode()))
-        size = len(chunk) + 4 * len(ids) + 250
-        self.used += size
-        if self.used > self.memo_bytes:
-            self.memo.clear()
-            self.used = size
-        self.memo[chunk] = ids
-        return ids
+        ids = array("I", self.core(data.decode()))
+        head = tuple((p, self._index_from_start(ids, p)) for p in places[:2])
+        tail = tuple((p, self._index_from_end(ids, len(data) - p)) for p in places[-2:])
+        chunk = Chunk(ids, head, tail)
+        size = len(data) + 4 * len(ids) + 600
+        if 4 * size <= self.memo_bytes:
+            self.used += size
+            if self.used > self.memo_bytes:
+                self.memo.clear()
+                self.used = size
+            self.memo[data] = chunk
+        return chunk
 
     def encode_plain(self, text: str) -> list[int]:
-        """Ids of a text in which no special string is to be found."""
+        """Ids of a text in which no special string is to be found, in time in proportion to its length.
+
+        A chunk without two safe places is carried on to the next cut, so that every join has some on
+        both sides; a text without any is one chunk.
+        """
         data = text.encode()
         cuts = cut_points(data)
         out: list[int] = []
-        for begin, end in zip(cuts, cuts[1:], strict=False):
-            ids = self.chunk_ids(data[begin:end])
-            if out:
-                self._repair(data, out, begin, end, ids)
+        last: tuple[Chunk, int] | None = None  # the chunk before, and where it begins
+        begin, places = 0, []
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            chunk = None
+            if begin == at:
+                places = []
+                chunk = self.memo.get(data[begin:end])
+            if chunk:
+                self.reused += 1
             else:
-                out.extend(ids)
+                places += [m.start() - begin for m in _SAFE.finditer(data, max(at, begin + 1), end)]
+                if len(places) < 2:
+                    if end < len(data):
+                        continue
+                    if last:  # the end: it is encoded with what is before, up to the last chunk's safe places
+                        chunk = Chunk(array("I"), (), ())
+                chunk = chunk or self._chunk(data[begin:end], places)
+            if last is None:
+                out.extend(chunk.ids)
+            elif not self._join(data, out, *last, chunk, begin, end):
+                self.unsettled += 1
+                return self.core(text)
+            last, begin = (chunk, begin), end
         return out
 
-    def _repair(self, data: bytes, out: list[int], begin: int, end: int, ids: array) -> None:
-        """Join ``ids`` of the chunk ``data[begin:end]`` to ``out``, the ids of ``data[:begin]``.
+    def _join(self, data: bytes, out: list[int], left: Chunk, left_begin: int, right: Chunk, begin: int, end: int) -> bool:
+        """Join the ids of ``right``, which stands at ``data[begin:end]``, to ``out``, those of ``data[:begin]``.
 
-        The window around the join goes from one safe space to another (see ``_safe_before``), where
-        pre-tokens begin whatever the context.  It is encoded again with one more unit on each side; if
-        the ids of those outer units agree with the ids held, so do all beyond them, else (and where
-        there is no safe space) the window grows, up to the text's start and the chunk's end.
+        The window around the join goes from the last but one safe place of ``left`` to the second of
+        ``right``.  It is encoded again, and what it gives for the outer unit on each side must be
+        exactly the ids held; then so are all beyond.  False if they aren't.
         """
-        skip = 1
-        while True:
-            inner_left = _safe_before(data, begin - 1, 0, skip)
-            left = _safe_before(data, inner_left - 1, 0, 1) if inner_left else 0
-            inner_right = _safe_after(data, begin + 1, end, skip)
-            right = _safe_after(data, inner_right + 1, end, 1) if inner_right < end else end
-            keep = self._index_from_end(out, begin - left)
-            drop = self._index_from_start(ids, right - begin)
-            if keep is not None and drop is not None:
-                middle = self.core(data[left:right].decode())
-                old_left = self._index_from_end(out, begin - inner_left)
-                old_right = self._index_from_start(ids, inner_right - begin)
-                if old_left is not None and old_right is not None:
-                    before, after = out[keep:old_left], list(ids[old_right:drop])
-                    if middle[: len(before)] == before and middle[len(middle) - len(after) :] == after:
-                        del out[keep:]
-                        out.extend(middle)
-                        out.extend(ids[drop:])
-                        return
-            if left == 0 and right == end:  # the window is all there is
-                out[:] = self.core(data[:end].decode())
-                return
-            skip *= 2
-
-    def _index_from_end(self, ids: list[int], size: int) -> int | None:
-        """Where the ids of the last ``size`` bytes begin; None if no token begins there."""
+        (outer, outer_id), (inner, inner_id) = left.tail
+        kept = left.ids[outer_id:inner_id].tolist()
+        if len(right.head) == 2:
+            (first, first_id), (second, second_id) = right.head
+            after, stop = right.ids[first_id:second_id].tolist(), begin + second
+        else:
+            after, second_id, stop = [], len(right.ids), end
+        middle = self.core(data[left_begin + outer : stop].decode())
+        if middle[: len(kept)] != kept or middle[len(middle) - len(after) :] != after:
+            return False
+        del out[len(out) - (len(left.ids) - outer_id) :]
+        out.extend(middle)
+        out.extend(right.ids[second_id:])
+        return True
+
+    def _index_from_end(self, ids: array, size: int) -> int:
+        """How many ids come before the last ``size`` bytes, which begin with an id."""
         k = len(ids)
         while size > 0:
             k -= 1
             size -= len(self.pieces[ids[k]])
-        return k if size == 0 else None
+        assert size == 0, "a pre-token spans a safe place"
+        return k
 
-    def _index_from_start(self, ids: array, size: int) -> int | None:
+    def _index_from_start(self, ids: array, size: int) -> int:
         k = 0
         while size > 0:
             size -= len(self.pieces[ids[k]])
             k += 1
-        return k if size == 0 else None
+        assert size == 0, "a pre-token spans a safe place"
+        return k
 
     def encode(self, text: str) -> list[int]:
         parts = bpe.split_special(text, self.specials)
@@ -162,32 +199,6 @@ class ChunkCodec:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _is_safe(data: bytes, at: int) -> bool:
-    return 0 < at < len(data) - 1 and 32 < data[at - 1] < 127 and 32 < data[at + 1] < 127
-
-
-def _safe_before(data: bytes, at: int, least: int, count: int) -> int:
-    """The ``count``-th safe space before ``at``, or ``least``.  A space is safe if printable ASCII stands
-    on both sides: there a pre-token begins, and which ones come before doesn't depend on what follows."""
-    while (at := data.rfind(b" ", least, max(at, least))) >= 0:
-        if _is_safe(data, at):
-            count -= 1
-            if not count:
-                return at
-    return least
-
-
-def _safe_after(data: bytes, at: int, most: int, count: int) -> int:
-    """The ``count``-th safe space from ``at`` whose neighbours lie before ``most`` too, or ``most``."""
-    at -= 1
-    while (at := data.find(b" ", at + 1, max(most - 1, 0))) >= 0:
-        if _is_safe(data, at):
-            count -= 1
-            if not count:
-                return at
-    return most
-
-
 @functools.lru_cache(maxsize=2)
 def _worker(path: str) -> tuple[ChunkCodec, list[str]]:
     codec = ChunkCodec(path)

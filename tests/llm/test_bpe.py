@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -210,3 +211,36 @@ def test_ranks_are_dense_though_one_length_is_hot(spark):
     for r in packing.ranked(pieces, 5000, share=100).collect():
         ranks[r.length].append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in ranks.values())
+
+
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("cyrillic", " ".join("".join(random.Random(k).choices("абвгдежзик", k=6)) for k in range(40_000))),
+        ("ideographs", "".join(chr(0x5000 + (k * 7919) % 0x3000) + ("。" if k % 31 == 0 else "") for k in range(170_000))),
+        ("unbroken", "".join(random.Random(4).choices("abcdefghij", k=500_000))),
+        ("white space", " \n" * 150_000 + "x"),
+        ("ending unbroken", "some words and then " * 400 + "".join(random.Random(5).choices("xyz", k=300_000))),
+    ],
+)
+def test_time_grows_with_the_text_whatever_its_script(name, text):
+    def seconds(encode):
+        begin = time.process_time()
+        encode()
+        return time.process_time() - begin
+
+    codec = bpe_codec.ChunkCodec(PATH)
+    assert codec.encode(text) == ids_of(text)
+    assert codec.unsettled == 0
+    library = min(seconds(lambda: ids_of(text)) for _ in range(2))
+    assert seconds(lambda: bpe_codec.ChunkCodec(PATH).encode(text)) < 5 * library + 0.2
+
+
+def test_safe_places_part_texts_without_trace():
+    core = bpe.core(PATH).encode_ordinary
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choices(PIECES + ["слово", "。", "字", "か", "、", "ä", "ſ", "'", "re"], k=60))
+        data = text.encode()
+        for place in {m.start() for m in bpe_codec._SAFE.finditer(data)} - {0}:
+            assert core(data[:place].decode()) + core(data[place:].decode()) == core(text)
