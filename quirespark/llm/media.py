@@ -11,6 +11,7 @@ import functools
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 WIDTH = 64
 _SIDE, _LOW = 32, 8
+_LARGEST = (1 << 31) - 1  # bytes of one image, about as many as a row of a table can hold
+_TOGETHER = 1 << 20  # samples, with those that fill up shorter images, that are unfiltered at once
 
 
 class BadImage(ValueError):
@@ -33,79 +36,114 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def filter_rows(rows: np.ndarray, kind: int) -> np.ndarray:
-    """Rows of one-byte samples under PNG filter ``kind``, for the writer."""
-    x = rows.astype(np.int16)
-    left = np.pad(x, ((0, 0), (1, 0)))[:, :-1]
-    up = np.pad(x, ((1, 0), (0, 0)))[:-1]
-    corner = np.pad(x, ((1, 0), (1, 0)))[:-1, :-1]
-    if kind == 4:
-        p = left + up - corner
-        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-        guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-    else:
-        guess = (0 * x, left, up, (left + up) // 2)[kind]
-    return ((x - guess) & 255).astype(np.uint8)
+def filter_rows(rows: np.ndarray, kind: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Rows of one-byte samples under PNG filter ``kind``, for the writer.
+
+    ``first`` are numbers of rows with nothing above them (the first alone, if not given), so that
+    several images can be filtered together.
+    """
+    if not kind:
+        return rows
+    left, up = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, 1:] = rows[:, :-1]
+    up[1:] = rows[:-1]
+    up[[0] if first is None else first] = 0
+    if kind < 3:
+        return rows - (left, up)[kind - 1]
+    if kind == 3:
+        return rows - ((left & up) + ((left ^ up) >> 1))  # half their sum, without a carry
+    corner = np.zeros_like(rows)
+    corner[:, 1:] = up[:, :-1]
+    # Distances of left + up - corner from the three; the least wins, left before up before corner.
+    high, low = np.maximum(left, up), np.minimum(left, up)
+    to_left, to_up = np.maximum(up, corner) - np.minimum(up, corner), np.maximum(left, corner) - np.minimum(left, corner)
+    outside = (corner >= high) | (corner <= low)  # then left or up is nearest, the corner being on the far side
+    nearer = np.where(to_left <= to_up, left, up)
+    to_corner = np.abs(to_left.astype(np.int16) - to_up)  # the distances have different signs within
+    guess = np.where(outside | (np.minimum(to_left, to_up) <= to_corner), nearer, corner)
+    return rows - guess
+
+
+def unfilter_many(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Undo the filters of several images of one width; each has a filter byte before each row's samples.
+
+    A sample needs those to its left, above, and above to the left, so all samples of one anti-diagonal
+    of all images are undone at once.
+    """
+    if any(raw[:, 0].max(initial=0) > 4 for raw in images):
+        raise BadImage("unknown filter")
+    if not any(raw[:, 0].any() for raw in images):
+        return [raw[:, 1:] for raw in images]
+    width, height = images[0].shape[1] - 1, max(len(raw) for raw in images)
+    steps, count = height + width - 1, len(images)
+    x = np.arange(width)
+    stored = np.zeros((steps + 2, count, width + 1), np.int16)  # two steps and a column of zeros before all others
+    kinds = np.zeros((steps, count, width), np.uint8)
+    for i, raw in enumerate(images):
+        at = np.arange(len(raw))[:, None] + x
+        stored[at + 2, i, x + 1] = raw[:, 1:]
+        kinds[at, i, x] = raw[:, :1]
+    for t in range(steps):
+        here, kind = stored[t + 2, :, 1:], kinds[t]
+        left, up, corner = stored[t + 1, :, :-1], stored[t + 1, :, 1:], stored[t, :, :-1]
+        total = left + up
+        p = total - corner
+        to_left, to_up, to_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        here += np.where(kind < 3, np.where(kind == 1, left, np.where(kind == 2, up, 0)), np.where(kind == 3, total >> 1, paeth))
+        here &= 255
+    return [stored[np.arange(len(raw))[:, None] + x + 2, i, x + 1].astype(np.uint8) for i, raw in enumerate(images)]
 
 
 def unfilter(raw: np.ndarray) -> np.ndarray:
-    """Undo the filters: ``raw`` has a filter byte before each row's samples.
+    """The same for one image."""
+    return unfilter_many([raw])[0]
 
-    Runs of rows under None, Sub or Up are undone at once by (cumulative) sums modulo 256; Average and
-    Paeth depend on the sample before and go sample by sample.
-    """
-    kinds, rows = raw[:, 0], raw[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
-        raise BadImage("unknown filter")
-    if not kinds.any():
-        return rows
-    cuts = np.flatnonzero(np.diff(kinds)) + 1
-    for begin, end in zip([0, *cuts], [*cuts, len(kinds)], strict=True):
-        above = rows[begin - 1] if begin else np.zeros(rows.shape[1], np.uint8)
-        block, kind = rows[begin:end], kinds[begin]
-        if kind == 1:
-            np.cumsum(block, axis=1, dtype=np.uint8, out=block)
-        elif kind == 2:
-            block[0] += above
-            np.cumsum(block, axis=0, dtype=np.uint8, out=block)
-        elif kind > 2:
-            for row in block:
-                left = corner = 0
-                for i in range(len(row)):
-                    up = int(above[i])
-                    if kind == 3:
-                        guess = (left + up) // 2
-                    else:
-                        p = left + up - corner
-                        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                        guess = left if a <= b and a <= c else up if b <= c else corner
-                    left, corner = (int(row[i]) + guess) & 255, up
-                    row[i] = left
-                above = row
-    return rows
-
-
-def write_png(payload: bytes, width: int = WIDTH, filters: int | None = 0, level: int = 6) -> bytes:
-    """A greyscale image of ``payload``, whose length is a positive multiple of ``width``.
+
+def write_pngs(payloads: list[bytes], width: int = WIDTH, filters: int | None = None, level: int = 6) -> list[bytes]:
+    """A greyscale image of each of ``payloads``, whose lengths are positive multiples of ``width``.
 
     ``filters`` is a PNG filter for all rows; None picks for each row the one with the smallest sum of
-    absolute differences.  Text compresses best unfiltered, so 0 is the default.
+    absolute differences, the first of equal ones.
     """
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width)
+    heights = [len(p) // width for p in payloads]
+    ends = np.cumsum(heights)
+    first = ends - heights
     if filters is None:
-        options = np.stack([filter_rows(rows, k) for k in range(5)])
-        kinds = np.abs(options.view(np.int8).astype(np.int32)).sum(axis=2).argmin(axis=0)
-        rows = options[kinds, np.arange(len(rows))]
+        kinds, least, best = np.zeros(len(rows), np.uint8), None, rows
+        for kind in range(5):
+            option = filter_rows(rows, kind, first)
+            cost = np.abs(option.view(np.int8)).view(np.uint8).sum(axis=1, dtype=np.int32)  # -128 stays 128
+            if least is None:
+                least = cost
+            else:
+                better = cost < least
+                kinds[better], least = kind, np.minimum(least, cost)
+                best = np.where(better[:, None], option, best)
+        rows = best
     else:
-        kinds = np.full(len(rows), filters)
-        rows = filter_rows(rows, filters) if filters else rows
-    raw = np.concatenate([kinds.astype(np.uint8)[:, None], rows], axis=1)
-    header = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + _chunk(b"IEND", b"")
+        kinds, rows = np.full(len(rows), filters, np.uint8), filter_rows(rows, filters, first)
+    raw = np.concatenate([kinds[:, None], rows], axis=1)
+    images = []
+    for at, end in zip(first.tolist(), ends.tolist(), strict=True):
+        header = struct.pack(">IIBBBBB", width, end - at, 8, 0, 0, 0, 0)
+        images.append(
+            SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw[at:end].data, level)) + _chunk(b"IEND", b"")
+        )
+    return images
 
 
-def read_png(data: bytes) -> np.ndarray:
-    """The samples of an 8-bit greyscale image; ``BadImage`` if any part of it fails a test."""
+def write_png(payload: bytes, width: int = WIDTH, filters: int | None = None, level: int = 6) -> bytes:
+    """The same for one payload."""
+    return write_pngs([payload], width, filters, level)[0]
+
+
+def inflated(data: bytes) -> np.ndarray:
+    """The rows of an 8-bit greyscale image, still filtered; ``BadImage`` if any part of it fails a test.
+
+    No more is inflated than the header announces, and of that no more than ``_LARGEST`` bytes.
+    """
     if data[:8] != SIGNATURE:
         raise BadImage("no signature")
     at, header, body, ended = 8, None, [], False
@@ -119,6 +157,8 @@ def read_png(data: bytes) -> np.ndarray:
         if (kind == b"IHDR") != (header is None):
             raise BadImage("a header is missing or repeated")
         if kind == b"IHDR":
+            if size != 13:
+                raise BadImage("a header of the wrong length")
             header = struct.unpack(">IIBBBBB", content)
         elif kind == b"IDAT":
             body.append(content)
@@ -129,14 +169,25 @@ def read_png(data: bytes) -> np.ndarray:
         at += 12 + size
     if not ended or header is None or header[2:] != (8, 0, 0, 0, 0):
         raise BadImage("no end, or not 8-bit greyscale without interlace")
+    width, height = header[:2]
+    expected = height * (width + 1)
+    if not width or not height or expected > _LARGEST:
+        raise BadImage("empty, or larger than this reader takes")
+    stream = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))  # tests its Adler-32 sum
+        raw = stream.decompress(b"".join(body), expected + 1)
+        if len(raw) == expected and not stream.eof:
+            raw += stream.decompress(stream.unconsumed_tail, 1)  # nothing but the Adler-32 sum is left
     except zlib.error as error:
         raise BadImage(str(error)) from error
-    width, height = header[:2]
-    if len(raw) != height * (width + 1):
+    if len(raw) != expected or not stream.eof or stream.unused_data:
         raise BadImage("wrong size")
-    return unfilter(np.frombuffer(raw, np.uint8).reshape(height, width + 1))
+    return np.frombuffer(raw, np.uint8).reshape(height, width + 1)
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """The samples of an 8-bit greyscale image; ``BadImage`` if any part of it fails a test."""
+    return unfilter(inflated(data))
 
 
 @functools.lru_cache(maxsize=1)
@@ -169,6 +220,24 @@ def padded(text: bytes, width: int = WIDTH) -> bytes:
     return text + bytes(-len(text) % width if text else width)
 
 
+def _groups(column: pa.Array) -> Iterator[list[int]]:
+    """Numbers of the images that aren't null, of one width and about one height together."""
+    shapes: dict[int, tuple[int, int]] = {}
+    for i, value in enumerate(column):
+        if value.is_valid:  # width and height of a well-formed header; all others are one group
+            head = value.as_buffer()[16:24]
+            shapes[i] = struct.unpack(">II", head) if len(head) == 8 else (0, 0)
+    group: list[int] = []
+    for i in sorted(shapes, key=lambda k: (*shapes[k], k)):
+        width, height = shapes[i]
+        if group and (width != shapes[group[0]][0] or (len(group) + 1) * (height + width) * width > _TOGETHER):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 SCHEMA = "doc_id long, n_bytes long, media binary"
 _FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
@@ -176,7 +245,7 @@ _FEATURES = (
 )
 
 
-def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filters: int | None = 0) -> DataFrame:
+def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filters: int | None = None) -> DataFrame:
     """``doc_id, n_bytes, media``: every whole text (null: empty) as an image in a binary column.
 
     One row for each input row, repeated ones too; null ids stay null; an empty table gives no rows;
@@ -184,11 +253,17 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, images = [], []
+        sizes, images, waiting, size = [], [], [], 0
         for text in texts_of(batch):
             data = text.encode()
             sizes.append(len(data))
-            images.append(write_png(padded(data), filters=filters))
+            waiting.append(padded(data))
+            size += len(waiting[-1])
+            if size >= _TOGETHER:
+                images += write_pngs(waiting, filters=filters)
+                waiting, size = [], 0
+        if waiting:
+            images += write_pngs(waiting, filters=filters)
         return pa.record_batch(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"]
         )
@@ -203,18 +278,16 @@ def media_features(media: DataFrame) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for value in batch.column("media"):
-            data = value.as_py()
-            if data is None:
-                rows.append((None,) * 6)
-                continue
-            image = read_png(data)
-            payload = image.tobytes()
-            rows.append(
-                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data),
-                 hashlib.sha256(data).hexdigest(), cosine_hash(image))
-            )
+        column = batch.column("media")
+        rows: list[tuple] = [(None,) * 6] * len(column)
+        for numbers in _groups(column):
+            images = unfilter_many([inflated(column[i].as_py()) for i in numbers])
+            for i, image in zip(numbers, images, strict=True):
+                payload, data = image.tobytes(), column[i].as_py()
+                rows[i] = (
+                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data),
+                    hashlib.sha256(data).hexdigest(), cosine_hash(image),
+                )
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         names = [f.split()[0] for f in _FEATURES.split(", ")]

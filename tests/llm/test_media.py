@@ -72,3 +72,49 @@ def test_null_and_empty(spark, make_docs):
     assert media.media_features(media.to_media(make_docs([]))).count() == 0
     rows = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
     assert media.media_features(rows).first().feature is None
+
+
+def test_images_of_any_heights_are_unfiltered_together():
+    rng = np.random.default_rng(4)
+    whole, stored = [], []
+    for height in (1, 2, 3, 40, 200):
+        rows = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        kinds = rng.integers(0, 5, height).astype(np.uint8)
+        options = np.stack([media.filter_rows(rows, k) for k in range(5)])
+        whole.append(rows)
+        stored.append(np.concatenate([kinds[:, None], options[kinds, np.arange(height)]], axis=1))
+    assert all((a == b).all() for a, b in zip(media.unfilter_many(stored), whole, strict=True))
+
+
+def test_text_is_stored_under_all_filters():
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(4000)) + "\x00" * 640 + "ab" * 640
+    kinds = media.inflated(media.write_png(media.padded(text.encode())))[:, 0]
+    assert set(kinds.tolist()) == {0, 1, 2, 3, 4}
+
+
+def test_bad_headers_and_bombs():
+    def image(header, rows):
+        return media.SIGNATURE + media._chunk(b"IHDR", header) + media._chunk(b"IDAT", zlib.compress(rows)) + media._chunk(b"IEND", b"")
+
+    header = media.write_png(bytes(64))[16:29]
+    assert media.read_png(image(header, bytes(65))).tobytes() == bytes(64)
+    for bad, rows in ((header[:5], bytes(65)), (header + b"x", bytes(65)), (header, bytes(64)), (header, bytes(50_000_000)),
+                      (bytes(8) + header[8:], b""), (b"\xff" * 8 + header[8:], bytes(65)), (header[:8] + b"\x10" + header[9:], bytes(65))):
+        with pytest.raises(media.BadImage):
+            media.read_png(image(bad, rows))
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_filters_are_those_of_the_format(kind):
+    rows = np.random.default_rng(6).integers(0, 256, (30, 16), dtype=np.uint8)
+    rows[10:20] //= 60  # many ties
+    x = np.pad(rows.astype(int), ((1, 0), (1, 0)))
+    want = np.zeros_like(rows)
+    for r in range(30):
+        for c in range(16):
+            left, up, corner = int(x[r + 1, c]), int(x[r, c + 1]), int(x[r, c])
+            p = left + up - corner
+            paeth = min((left, up, corner), key=lambda v: abs(p - v))
+            want[r, c] = (int(rows[r, c]) - (0, left, up, (left + up) // 2, paeth)[kind]) & 255
+    assert (media.filter_rows(rows, kind) == want).all()
