@@ -24,12 +24,15 @@ ROW_GROUP = 16 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (a local session, as in tests) a temporary folder takes its place and the
-    setting is filled in for the rest of the session.
+    Where it is unset in a local session, as in tests, a temporary folder takes its place and the
+    setting is filled in for the rest of the session.  On a cluster there is no such folder that all
+    see, so that there the setting must be given.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("quirespark.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quirespark-")
         spark.conf.set("quirespark.shared.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -102,6 +105,22 @@ def id_remainder(id_col: str | Column, mod: int) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % F.lit(mod)
 
 
+#: Bytes of a list of rows to be left out that are broadcast; a longer one is joined by sort and merge.
+DROP_LIST = 32 << 20
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, mark: Column, row_bytes: int = 64) -> DataFrame:
+    """The rows of ``docs`` but for those whose id (nulls being equal) and ``mark`` are a row of ``dropped``.
+
+    ``dropped`` has columns ``doc_id, mark``.  It is written down and counted; one that is short goes
+    to where the rows are, so that texts aren't shuffled, any other is joined by sort and merge.
+    """
+    listed = materialize(dropped.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "dropped")
+    small = listed.count() * row_bytes <= DROP_LIST
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+    return docs.join(F.broadcast(listed) if small else listed.hint("merge"), on, "left_anti")
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The column's values one by one, without a list of them all."""
     for value in batch.column(batch.schema.get_field_index(name)):

@@ -28,7 +28,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark).ingest(_documents(spark, sf_dir))
+    index = exact_dedup.DigestIndex(spark)
+    verdict = index.ingest(_documents(spark, sf_dir))
+    index.close()
+    return verdict
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

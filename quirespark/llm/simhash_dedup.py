@@ -5,8 +5,8 @@ that differ in d bits lie within Manhattan distance d in that grid, under any me
 The range join for distance 4 deals the segments into G groups: 4 steps touch at most 4 groups, so two
 such points agree in all coordinates of some G - 4 groups, and each choice of G - 4 groups makes a grid
 cell to meet in.  Within a cell, points are sorted by their total of set bits (the embedding with one
-segment), only those within 4 of each other are candidates, and each is verified by its differing bits.
-No link is lost for any G.
+segment), only those within 4 of each other are compared; those within Manhattan distance 4 over all 32
+segments are candidates, and each is verified by its differing bits.  No link is lost for any G.
 
 What is joined is distinct fingerprints, never documents, and a cell gives a spanning forest of its
 links, never all of its pairs.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quirespark.operators.joins import join_counted
 
-from .common import id_and_text, map_batches, materialize, ship, texts_of
+from .common import id_and_text, map_batches, materialize, ship, texts_of, without
 from .graph import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -60,18 +60,37 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` for each row: the fingerprint of its whole text as a signed 64-bit number."""
+    """``doc_id, mark, fp`` for each row: a hash of its whole text, and the text's fingerprint as a signed
+    64-bit number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t, words, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
-        return pa.record_batch([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    marked = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    return map_batches(marked, run, "doc_id long, mark long, fp long")
 
 
 # --- Grid join ------------------------------------------------------------------------------------
 
 
+def unary(prints: np.ndarray) -> np.ndarray:
+    """The embedding with each segment's count in unary (0: 00, 1: 01, 2: 11), so that points are as far
+    apart, by Manhattan distance, as these numbers differ in bits."""
+    even = np.uint64(0x5555555555555555)
+    low, high = prints & even, (prints >> np.uint64(1)) & even
+    return low | high | ((low & high) << np.uint64(1))
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which fingerprints differ in few bits: candidates by the lower bound, then the differing bits."""
+    out = np.bitwise_count(unary(a) ^ unary(b)) <= DISTANCE
+    at = np.flatnonzero(out)
+    x, y = (v if v.ndim == 0 else v[at] for v in (a, b))
+    out[at] = np.bitwise_count(x ^ y) <= DISTANCE
+    return out
+
+
 def group_masks(groups: int) -> list[int]:
     """For each group of segments, a mask over the packed embedding (two bits a segment)."""
     masks = [0] * groups
@@ -119,13 +138,13 @@ def cell_forest(prints: np.ndarray) -> list[tuple[int, int]]:
         here = queue.pop()
         total = here.bit_count()
         low, high = np.searchsorted(totals, [total - DISTANCE, total + DISTANCE + 1])
-        near = np.flatnonzero(np.bitwise_count(rest[low:high] ^ np.uint64(here)) <= DISTANCE)
-        if len(near):
-            near += low
-            reached = rest[near].tolist()
+        linked = np.flatnonzero(near(rest[low:high], np.asarray(here, np.uint64)))
+        if len(linked):
+            linked += low
+            reached = rest[linked].tolist()
             found += [(here, r) for r in reached]
             queue += reached
-            rest, totals = np.delete(rest, near), np.delete(totals, near)
+            rest, totals = np.delete(rest, linked), np.delete(totals, linked)
     return found
 
 
@@ -144,8 +163,8 @@ def _cell_links(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
                 break
             continue
         a, b = p[:-step][both], p[step:][both]
-        near = np.bitwise_count(a ^ b) <= DISTANCE
-        links.append(np.stack([a[near], b[near]], axis=1))
+        linked = near(a, b)
+        links.append(np.stack([a[linked], b[linked]], axis=1))
     for at, size in zip(starts[sizes > _RUN], sizes[sizes > _RUN], strict=True):
         group = prints[at : at + size]
         if forest := cell_forest(group[np.concatenate([[True], group[1:] != group[:-1]])]):
@@ -200,14 +219,8 @@ def links(prints: DataFrame, count: int, groups: int | None = None, limit: int =
 # --- Groups ---------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row.
-
-    ``component_id`` is the smallest id that links reach, a document's own included.  Null texts count as
-    empty and have fingerprint zero, which links like any other.  Repeated rows give repeated results;
-    null ids stay null and are nobody's component unless a component has no other; an empty table gives
-    no rows; further columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``doc_id, mark, fp, root, component_id`` for each row, and how many there are."""
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     distinct = materialize(
         prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct"
@@ -218,13 +231,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = materialize(linked, "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = join_counted(linked, least, "root", count, "members").select("fp", "component_id", "n")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return join_counted(prints, materialize(named, "named"), "fp", rows).select("doc_id", shown.alias("fingerprint"), "component_id")
+    named = join_counted(linked, least, "root", count, "members").select("fp", "root", "component_id", "n")
+    return join_counted(prints, materialize(named, "named"), "fp", rows).drop("n"), rows
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row.
+
+    ``component_id`` is the smallest id that links reach, a document's own included.  Null texts count as
+    empty and have fingerprint zero, which links like any other.  Repeated rows give repeated results;
+    null ids stay null and are nobody's component unless a component has no other; an empty table gives
+    no rows; further columns are ignored.
+    """
+    grouped, _ = _grouped(docs, id_col, text_col)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their component."""
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs``, all columns, whose id is the smallest of their component.
+
+    Where several texts of a component have that id, or none has an id, the one with the smallest hash
+    stays, so that of each component one text is left.  Repeated rows of one id and text stay or go
+    together; a null text is an empty one; an empty table gives no rows; columns may have any names.
+    """
+    grouped, rows = _grouped(docs, id_col, text_col)
+    grouped = materialize(grouped, "grouped")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keepers = grouped.where(first).groupBy("root").agg(F.min("mark").alias("keep_mark"), F.count(F.lit(1)).alias("n"))
+    others = join_counted(grouped.where(first), materialize(keepers, "keepers"), "root", rows).where("mark <> keep_mark")
+    dropped = grouped.where(~first).select("doc_id", "mark").unionByName(others.select("doc_id", "mark"))
+    return without(docs, dropped, id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), row_bytes=32)

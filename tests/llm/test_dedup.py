@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from edge_cases import EDGES
-from quirespark.llm import exact_dedup, graph, simhash_dedup
+from quirespark.llm import common, exact_dedup, graph, simhash_dedup
 
 
 def sha_of(text):
@@ -188,3 +188,59 @@ def test_near_dedup_keeps_one_of_each_group(make_docs):
     docs = make_docs([(3, base), (4, base + " more"), (5, base), (6, "something else entirely here now")])
     assert sorted(r.doc_id for r in simhash_dedup.deduplicate(docs).collect()) == [3, 6]
     assert simhash_dedup.near_duplicates(make_docs([])).count() == 0
+
+
+# --- Rows that stay, whatever the ids -------------------------------------------------------------
+
+ODD_IDS = [(3, "a"), (5, "a"), (5, "b"), (None, "a"), (None, "z"), (None, "z"), (None, "y"), (7, "b"), (7, "c"), (7, "c"),
+           (8, None), (9, ""), (None, " "), (None, None), (4, "a  b"), (2, "a\tb"), (2, "a")]
+
+
+def exact_survivors(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[sha_of(t)].append(i)
+    keep = {s: min((i for i in ids if i is not None), default=None) for s, ids in groups.items()}
+    return sorted(((str(i), str(t)) for i, t in rows if i == keep[sha_of(t)]))
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_verdicts_are_on_ids_and_texts(make_docs, monkeypatch, limit):
+    monkeypatch.setattr(common, "DROP_LIST", limit)  # 0: no list is short
+    kept = exact_dedup.deduplicate(make_docs(ODD_IDS))
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == exact_survivors(ODD_IDS)
+    assert exact_dedup.deduplicate(make_docs([])).count() == 0
+
+
+def test_near_verdicts_are_on_ids_and_texts(make_docs, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(400))
+    other = " ".join(f"v{i}" for i in range(400))
+    rows = [(3, base), (3, base + " more"), (None, base), (None, other), (None, other + " x"), (None, other), (3, "far from all"),
+            (6, "far from all"), (1, None), (1, ""), (2, " "), (8, base)]
+    prints = [simhash_dedup.fingerprint(t or "") for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and (prints[3] ^ prints[4]).bit_count() <= 4
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(common, "DROP_LIST", limit)
+        kept = [(r.doc_id, r.text) for r in simhash_dedup.deduplicate(make_docs(rows)).collect()]
+        assert len([k for k in kept if k in rows[:2]]) == 1  # one text of id 3
+        assert len({t for i, t in kept if i is None}) == 1 and {t for i, t in kept if i is None} <= {other, other + " x"}
+        assert (3, "far from all") in kept and {(1, None), (1, "")} <= set(kept)
+        assert not {(6, "far from all"), (2, " "), (8, base), (None, base)} & set(kept)
+    assert simhash_dedup.deduplicate(make_docs([])).count() == 0
+
+
+def test_nothing_is_left_in_the_catalogue(spark, make_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = make_docs([(1, "a"), (2, "a")])
+    kept, = exact_dedup.deduplicate(docs).collect()
+    assert kept.doc_id == 1 and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_manhattan_distance_is_a_lower_bound():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    b = a ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (2000, 6), dtype=np.uint64), axis=1)
+    counts = [[[(int(x) >> (2 * s) & 3).bit_count() for s in range(32)] for x in v] for v in (a, b)]
+    manhattan = np.abs(np.array(counts[0]) - np.array(counts[1])).sum(axis=1)
+    assert (np.bitwise_count(simhash_dedup.unary(a) ^ simhash_dedup.unary(b)) == manhattan).all()
+    assert (simhash_dedup.near(a, b) == (np.bitwise_count(a ^ b) <= 4)).all()
