@@ -1,10 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Each line of a file, and the whole of a licence file, is a vector over terms (runs of a-z and 0-9 in
-lower case), weighted by how rarely documents hold a term.  Terms that no template has lengthen a vector
-as an unseen term would.  The nearest template, from ``threshold`` on, is the segment's licence; the
-nearest segment gives the file's.  A directory has the licence of its licence file; a file without a
-notice of its own takes that of the nearest directory above it that has one.
+A file's segments are its lines, runs of two to four lines, as wrapped headers are, and the sentences of
+these; a licence file as a whole is one, too.  Each is a vector over terms (runs of a-z and 0-9 in lower
+case, so that comment marks are no matter), weighted by how rarely documents hold a term; a term that
+fewer than one in ``RAREST`` hold weighs as if so many did, so that verdicts don't move with the number of
+documents.  Terms that no template has lengthen a vector as the rarest would.  The nearest template, from
+``threshold`` on, is the segment's licence; the nearest segment gives the file's.  A directory has the
+licence of its licence file; a file without a notice of its own takes that of the nearest directory above
+it that has one.
 
 All of it is DataFrame operations.  By the Cauchy-Schwarz inequality a segment can reach the threshold
 only if it holds one of a template's weightier terms, so all others are passed over by a regular
@@ -13,35 +16,110 @@ expression in the scan, without loss.
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.operators.joins import join_counted
 
 from .common import materialize
 
-#: Wordings by which files state a licence.
-TEMPLATES = (
+#: Wordings by which files state a licence, titles of licence texts, and identifiers.
+NOTICES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", "ISC License"),
     ("ISC", "Released under the ISC License"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Proprietary", "All rights reserved"),
     ("Proprietary", "Copyright. All rights reserved"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-THRESHOLD = 0.75
+IDENTIFIERS = (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0",
+    "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense",
+)
+#: Licence texts, for licence files as a whole.
+_REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+    " following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
+    " following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT"
+    " LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE"
+    " COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"
+    " (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS"
+    " INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE"
+    " OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = (
+    ("BSD-2-Clause", _REDISTRIBUTION + _DISCLAIMER),
+    (
+        "BSD-3-Clause",
+        _REDISTRIBUTION + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission." + _DISCLAIMER,
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR"
+        " DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO"
+        " EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING"
+        " FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN"
+        " CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+        " (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,"
+        " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is"
+        " furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included"
+        " in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR"
+        " IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF"
+        " CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE"
+        " SOFTWARE.",
+    ),
+)
+
+
+def _identifier_notices(names=IDENTIFIERS) -> tuple[tuple[str, str], ...]:
+    """Header lines with a licence's identifier; those of the GNU licences may say "only" or "or later"."""
+    suffixes = lambda n: ("", "-only", "-or-later") if "GPL" in n else ("",)
+    return tuple((n, f"SPDX-License-Identifier: {n}{s}") for n in names for s in suffixes(n))
+
+
+#: Templates for segments, then those for licence files as a whole.
+TEMPLATES = (NOTICES + _identifier_notices(), TEXTS)
+THRESHOLD = 0.8
+RAREST = 1000
+WINDOW = 4  # lines of the longest run
+SENTENCE_END = "[.;!?]+ +"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,40 +135,75 @@ def _terms(text: str) -> list[str]:
 
 
 class Space:
-    """Terms' weights, and the templates' vectors of length 1."""
+    """Terms' weights, and the templates' vectors of length 1, with their numbers."""
 
     def __init__(self, frequency: dict[str, int], documents: int, templates=TEMPLATES):
-        weigh = lambda n: math.log((1 + documents) / (1 + n)) + 1
+        weigh = lambda n: 1 - math.log(max((1 + n) / (1 + documents), 1 / RAREST))
         self.unseen = weigh(0)
-        self.weight = {t: weigh(frequency.get(t, 0)) for _, text in templates for t in _terms(text)}
-        self.vectors = []
-        for number, (name, text) in enumerate(templates):
-            terms = _terms(text)
-            vector = {t: terms.count(t) * self.weight[t] for t in terms}
-            length = math.sqrt(sum(v * v for v in vector.values()))
-            self.vectors.append((number, name, {t: v / length for t, v in vector.items()}))
-
-    def needed(self, threshold: float) -> list[str]:
-        """Terms of which a segment holds at least one if it is as near as ``threshold`` to a template."""
+        self.weight = {t: weigh(frequency.get(t, 0)) for kind in templates for _, text in kind for t in _terms(text)}
+        self.vectors: list[list[tuple[int, str, dict[str, float]]]] = []
+        number = 0
+        for kind in templates:
+            self.vectors.append([])
+            for name, text in kind:
+                terms = _terms(text)
+                vector = {t: terms.count(t) * self.weight[t] for t in terms}
+                length = math.sqrt(sum(v * v for v in vector.values()))
+                self.vectors[-1].append((number, name, {t: v / length for t, v in vector.items()}))
+                number += 1
+
+    def needed(self, threshold: float, kind: int) -> str:
+        """A pattern for terms of which a segment holds at least one if it is as near as ``threshold`` to a
+        template of a kind (0: notices, 1: texts)."""
         found = set()
-        for _, _, vector in self.vectors:
+        for _, _, vector in self.vectors[kind]:
             light = 0.0
             for term, value in sorted(vector.items(), key=lambda x: (x[1], x[0])):
                 light += value * value
                 if light >= threshold * threshold * (1 - 1e-9):
                     found.add(term)
-        return sorted(found)
+        first = lambda term: term[0]
+        one_of = "|".join(f"{c}({'|'.join(t[1:] for t in terms)})" for c, terms in groupby(sorted(found), first))
+        return f"(?i)(^|[^a-z0-9])({one_of})($|[^a-z0-9])"
 
 
 def document_frequency(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, int], int]:
     """In how many rows each template term occurs, over all of them, and how many rows there are."""
-    wanted = sorted({t for _, text in templates for t in _terms(text)})
+    wanted = sorted({t for kind in templates for _, text in kind for t in _terms(text)})
     held = F.array_intersect(terms_of(F.col("text")), F.array(*map(F.lit, wanted)))
     rows = files.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()  # a row a term
     counts = {r["term"]: r["count"] for r in rows}
     return counts, counts.pop("", 0)
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows, as long as the templates, made by the JVM from one literal."""
+    listed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(listed))
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, where functions of array elements within ``body`` don't compute ``value`` again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def segments_of(text: Column, notice: str) -> Column:
+    """Runs of one to four lines, and their sentences, that match ``notice``; there may be repeats."""
+
+    def runs(both: Column) -> Column:
+        lines, matched = both["lines"], both["matched"]
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array_contains(F.slice(matched, i, WINDOW), True))
+        several = lambda i: F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda n: F.array_join(F.slice(lines, i, n), " "))
+        return F.flatten(F.transform(starts, several))
+
+    def marked(lines: Column) -> Column:
+        return F.struct(lines.alias("lines"), F.transform(lines, lambda line: line.rlike(notice)).alias("matched"))
+
+    with_sentences = lambda found: F.concat(found, F.flatten(F.transform(found, lambda run: F.split(run, SENTENCE_END))))
+    every = _with(_with(_with(F.split(text, "\n"), marked), runs), with_sentences)
+    return F.filter(F.array_distinct(every), lambda segment: segment.rlike(notice))
+
+
 def _directory(path: Column) -> Column:
     """What stands before the last slash; null at the top."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
@@ -111,17 +224,21 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
         F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     space = Space(*document_frequency(rows, templates), templates)
-    one_of = "(?i)(^|[^a-z0-9])(" + "|".join(space.needed(threshold)) + ")($|[^a-z0-9])"
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(one_of))
-    segments = F.when(F.col("path").rlike(LICENCE_FILE), F.concat(lines, F.array("text"))).otherwise(lines)
-    near = rows.where(F.col("path").isNotNull() & F.col("text").rlike(one_of))
+    notice, whole = space.needed(threshold, 0), space.needed(threshold, 1)
+    noticed, licensed_as_a_whole = F.col("text").rlike(notice), F.col("path").rlike(LICENCE_FILE) & F.col("text").rlike(whole)
+    segments = F.array_union(
+        F.when(F.col("noticed"), segments_of(F.col("text"), notice)).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("path").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")),
+    )
+    near = rows.where(F.col("path").isNotNull()).withColumn("noticed", noticed).where(F.col("noticed") | licensed_as_a_whole)
     cut = near.select("path", F.explode(segments).alias("segment")).distinct().withColumn("number", F.monotonically_increasing_id())
     cut = materialize(cut, "segments")
 
     # Few segments are left; their terms are counted and weighed.  Rows carry a segment's number, not its text.
-    weights = spark.createDataFrame(sorted(space.weight.items()), "term string, weight double")
-    vectors = spark.createDataFrame(
-        [(t, number, name, v) for number, name, vector in space.vectors for t, v in vector.items()],
+    weights = _table(spark, [{"term": t, "weight": w} for t, w in sorted(space.weight.items())], "term string, weight double")
+    vectors = _table(
+        spark,
+        [{"term": t, "template": number, "license": name, "value": v} for kind in space.vectors for number, name, vector in kind for t, v in vector.items()],
         "term string, template int, license string, value double",
     )
     counted = (
@@ -170,7 +287,8 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
 
 def oracle_sql(files: str, threshold: float = THRESHOLD, templates=TEMPLATES) -> str:
     """DuckDB SQL for the rows of ``scan`` over ``files``, a query of ``doc_id, path, text``."""
-    quoted = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    both = [row for kind in templates for row in kind]
+    quoted = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(both))
     terms = lambda x: f"regexp_split_to_array(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')"
     file_like = LICENCE_FILE
     return f"""
@@ -187,15 +305,20 @@ frequency AS (
   FROM (SELECT unnest(list_distinct({terms("coalesce(text, '')")})) AS term FROM files) JOIN wanted USING (term) GROUP BY term
 ),
 weights AS (
-  SELECT term, ln((1 + documents) / (1 + coalesce(n, 0))) + 1 AS weight FROM wanted LEFT JOIN frequency USING (term), total
+  SELECT term, 1 - ln(greatest((1 + coalesce(n, 0)) / (1 + documents), 1 / {RAREST})) AS weight FROM wanted LEFT JOIN frequency USING (term), total
 ),
 vectors AS (
   SELECT template, license, term, n * weight / sqrt(sum((n * weight) ** 2) OVER (PARTITION BY template)) AS value
   FROM template_terms JOIN weights USING (term)
 ),
+lines AS (SELECT path, string_split(coalesce(text, ''), chr(10)) AS lines FROM files WHERE path IS NOT NULL),
+starts AS (SELECT path, lines, unnest(range(1, len(lines) + 1)) AS i FROM lines),
+runs AS (
+  SELECT DISTINCT path, array_to_string(lines[i:i + n - 1], ' ') AS run FROM starts, range(1, {WINDOW + 1}) AS sizes(n)
+),
 segments AS (
   SELECT DISTINCT path, segment FROM (
-    SELECT path, unnest(string_split(coalesce(text, ''), chr(10))) AS segment FROM files WHERE path IS NOT NULL
+    SELECT path, unnest(list_prepend(run, regexp_split_to_array(run, '{SENTENCE_END}'))) AS segment FROM runs
     UNION ALL
     SELECT path, coalesce(text, '') FROM files WHERE regexp_matches(path, '{file_like}')
   )
@@ -205,7 +328,7 @@ counted AS (
   FROM (SELECT path, segment, unnest({terms("segment")}) AS term FROM segments) WHERE term <> '' GROUP BY ALL
 ),
 weighed AS (
-  SELECT path, segment, term, n * coalesce(weight, ln((1 + documents) / 1.0) + 1) AS w
+  SELECT path, segment, term, n * coalesce(weight, 1 - ln(greatest(1 / (1 + documents), 1 / {RAREST}))) AS w
   FROM counted LEFT JOIN weights USING (term), total
 ),
 lengths AS (SELECT path, segment, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL),

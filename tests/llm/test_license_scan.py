@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -54,9 +56,56 @@ def test_empty_table(files):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+GPL = "licensed under the GNU General Public License,"
+HEADERS = [
+    ("# This work is licensed under the GNU General Public License,\n# version 2.\nimport x", "GPL-2.0"),
+    ("// This work is licensed under the GNU General\n// Public License, version 3.\nint x;", "GPL-3.0"),
+    ("/* This work is licensed\n * under the GNU General Public\n * License, version 2.\n */", "GPL-2.0"),
+    ("Copyright 2020 X. Licensed under the Apache License, Version 2.0; you may not use this file except in compliance", "Apache-2.0"),
+    ('" * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file', "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("# SPDX-License-Identifier: Zlib", None),
+    ("All rights reserved.", "Proprietary"),
+    ("Copyright 2021 Someone. All rights reserved.", "Proprietary"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "LGPL-3.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n", "Apache-2.0"),
+    ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
+    ("words about a license and the public, but no notice", None),
+    ("she had all the rights of a citizen and reserved a table", None),
+]
+
+
+@pytest.mark.parametrize("documents", [20, 20_000])
+def test_headers_whatever_the_number_of_documents(spark, documents):
+    """Headers in files of their own, with other files of plain words around them."""
+    rows = [(k, f"d{k}/code.c", text) for k, (text, _) in enumerate(HEADERS)]
+    plain = "under the license of this work general version public all rights".split()
+    rows += [(100 + k, f"e/{k}.txt", f"some words {plain[k % len(plain)] if k % 7 == 0 else ''} here") for k in range(documents)]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("doc_id < 100").collect()
+    assert {r.doc_id: r.license for r in found} == {k: name for k, (_, name) in enumerate(HEADERS)}
+
+
+@pytest.mark.parametrize("name, text", license_scan.TEXTS)
+def test_licence_files_as_a_whole(spark, name, text):
+    wrapped = "Copyright (c) 2019 The Authors\n\n" + "\n".join(text[k : k + 70] for k in range(0, len(text), 70))
+    rows = [(1, "a/LICENSE", wrapped), (2, "a/b/x.py", "x = 1"), (3, "c/notes.txt", "words")]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert (found[1].license, found[1].origin) == (name, "notice") and found[1].score > 0.9
+    assert (found[2].license, found[2].inherited_from) == (name, "a") and found[3].license is None
+
+
+def test_repeated_ids_and_tied_licences(spark):
+    rows = [(1, "a/x.c", "MIT License"), (1, "b/y.c", "ISC License"), (1, "b/y.c", "ISC License"), (2, "c/LICENSE", "MIT License\n\n\n\nISC License")]
+    found = sorted((r.doc_id, r.path, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert found == [(1, "a/x.c", "MIT"), (1, "b/y.c", "ISC"), (1, "b/y.c", "ISC"), (2, "c/LICENSE", "ISC")]
+
+
 def test_terms_passed_over_can_not_reach_the_threshold():
     space = license_scan.Space({"the": 900, "under": 500, "license": 30}, 1000)
-    needed = set(space.needed(0.75))
-    for _, _, vector in space.vectors:
-        rest = sum(v * v for t, v in vector.items() if t not in needed)
-        assert rest < 0.75**2
+    for kind in (0, 1):
+        needed = re.compile(space.needed(0.8, kind))
+        for _, _, vector in space.vectors[kind]:
+            rest = sum(v * v for t, v in vector.items() if not needed.search(t))
+            assert rest < 0.8**2
