@@ -37,7 +37,7 @@ FINE = 1 << 24
 MARGIN, BEYOND, LEAST = 2.0, 0.005, 0.02
 #: Short texts may be beyond the limit by so many standard deviations, a word being about so many subwords.
 DEVIATIONS, A_WORD = 2.0, 8.0
-_MEMO = 400_000
+_MEMO, _SLICE = 400_000, 100_000  # words remembered, and looked up at once
 
 
 @functools.lru_cache(maxsize=1)
@@ -193,8 +193,11 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[st
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """A model of the languages in ``label_col``, from about ``per_language`` rows of each, picked by a
-    hash of the id.  Rows without label or text don't count.  ``docs`` must hold training rows only.  Every
-    fifth text, by its hash, is set aside with all its slices and copies for the temperature."""
+    hash of the id.  ``docs`` must hold training rows only.
+
+    Rows without label or text don't count; repeated rows give as many examples, in the order of their ids;
+    a text under two labels is an example of both; without any row all texts are of an unknown language.
+    Every fifth text, by its hash, is set aside with all its slices and copies for the temperature."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}  # a row for each language
     languages = sorted(counts)
@@ -267,8 +270,8 @@ class Scorer:
     def sum_of(self, text: str) -> np.ndarray:
         total = np.zeros(self.width)
         words = text.lower().split()
-        for at in range(0, len(words), 100_000):
-            part = words[at : at + 100_000]
+        for at in range(0, len(words), _SLICE):
+            part = words[at : at + _SLICE]
             found = list(map(self.index.get, part))
             if None in found:
                 missing = list(dict.fromkeys(w for w, i in zip(part, found, strict=True) if i is None))

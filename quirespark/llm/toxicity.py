@@ -4,7 +4,7 @@ The kernel counts the letter subsequences of length 3 and 4 that two strings sha
 weighted by 0.7 to the power of its span, spans of up to 6 letters: gaps and inserted letters weaken a
 match but don't undo it.  It is scaled by each string's length.  Strings are the parts of a sentence: its
 words, in lower case and with word ends marked, without accents and without whatever isn't a letter
-("i.d*i-o t" spelt out is one string).  A sentence, and so a text, is as toxic as its worst part.
+("i.d*i-o t" spelt out is one string), and what stands between punctuation marks within words.  A sentence, and so a text, is as toxic as its worst part.
 
 Labels belong to whole texts, so training is by multiple instances: parts that occur in toxic texts much
 more than in others begin as toxic; the machine is trained on them against parts of other texts; then
@@ -27,18 +27,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import map_batches, materialize, texts_of
 
 DECAY, SPAN, LENGTHS = 0.7, 6, (3, 4)
-LANDMARKS = 256
-#: Bounds of the training sample, in rows.
-TOXIC_ROWS, OTHER_ROWS = 1200, 3600
 THRESHOLD = 0.3
-_MEMO = 400_000
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Bounds of the training sample and of the examples drawn from it, and the machine's penalty.
+
+    Chosen by four folds of training rows alone; rows held out had no part in it.
+    """
+
+    toxic_rows: int = 1200  # rows of the sample, about
+    other_rows: int = 3600
+    landmarks: int = 256
+    positives: int = 3000  # different parts of toxic texts that are examples in one turn
+    usual: int = 1500  # the most frequent parts of other texts
+    unusual: int = 4500  # further parts of other texts, at random
+    worst: int = 3000  # parts of other texts that come nearest in one turn
+    altered: int = 60  # examples that get variants with letters inserted or left out
+    turns: int = 4
+    penalty: float = 5e-5
+
+
+_MEMO, _SLICE = 400_000, 100_000  # tokens remembered, and looked up at once
 _BEGIN, _END = 27, 28  # codes 1-26 are a-z, 29-31 other letters, 0 none
-_ALONE = -1e9  # the mark of a single letter, never a score
+_ALONE, _NONE = -1e9, -2e9  # marks of a single letter and of none, never scores
 _RUN = re.compile(r"(.)\1{2,}")
 _SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){2,}[^\W\d_](?![\w])")
+_MARKS = re.compile(r"[^\w@$]+|_+")
 #: Digits and signs that stand for the letters they look like, in tokens with letters.
 _LOOKS = str.maketrans("0134@$57", "oieaasst")
 
@@ -72,21 +91,17 @@ def codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
-def _length_scales(longest: int = 4096) -> np.ndarray:
-    """1 / norm of a string of each length, its ends included, were all its subsequences different."""
-    squares = np.zeros(longest)
-    for n in LENGTHS:
-        for pattern in _PATTERNS[n]:
-            occurrences = np.maximum(np.arange(longest) - pattern[-1], 0)
-            squares += occurrences * DECAY ** (2 * (pattern[-1] + 1))
-    return 1 / np.sqrt(np.maximum(squares, 1e-12))
-
-
-_SCALES = _length_scales()
+#: For each span, the weights' squares of all its patterns together.
+_SQUARES = Counter()
+for _n in LENGTHS:
+    for _pattern in _PATTERNS[_n]:
+        _SQUARES[_pattern[-1]] += DECAY ** (2 * (_pattern[-1] + 1))
 
 
 def scale(sizes: np.ndarray) -> np.ndarray:
-    return _SCALES[np.minimum(sizes, len(_SCALES) - 1)]
+    """1 / norm of strings of these lengths, ends included, were all their subsequences different."""
+    squares = sum(weight * np.maximum(sizes - last, 0) for last, weight in _SQUARES.items())
+    return 1 / np.sqrt(np.maximum(squares, 1e-12))
 
 
 def _occurrences(flat: np.ndarray) -> list[tuple[int, float, np.ndarray]]:
@@ -191,7 +206,7 @@ class _Nystrom:
         return weights
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 2e-4, steps: int = 40) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float, steps: int = 40) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, in the primal, by Newton steps; y is 1 or
     -1, ``cost`` weighs the examples.  The loss is convex and piecewise quadratic, so few steps do."""
     full = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -247,7 +262,7 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode()) * 2654435761 % (1 << 32)
 
 
-def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
+def train(rows: list[tuple[int, list[str]]], settings: Settings = Settings(), seed: int = 5) -> Model:
     """A model from (label, distinct parts) of texts.  Without both labels, one that knows of nothing."""
     rng = np.random.default_rng(seed)
     rows = _distinct_rows(rows)
@@ -270,19 +285,19 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
     telling = dict(found)
     usual = [p for p in sorted(in_other) if len(p) > 1]
     by_use = sorted(usual, key=lambda p: (-in_other[p], p))
-    against = set(by_use[:1500]) | {usual[i] for i in rng.permutation(len(usual))[:4500]}
+    against = set(by_use[: settings.usual]) | {usual[i] for i in rng.permutation(len(usual))[: settings.unusual]}
     model = nothing
-    for turn in range(4):
-        positive = sorted(found, key=lambda p: (-found[p], p))[:3000]
+    for turn in range(settings.turns):
+        positive = sorted(found, key=lambda p: (-found[p], p))[: settings.positives]
         negative = sorted(against - found.keys())
         if not negative:
             return nothing
-        some = [positive[i] for i in rng.permutation(len(positive))[: LANDMARKS // 4]]
-        landmarks = list(dict.fromkeys(positive[: LANDMARKS // 3] + some))
-        landmarks += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(landmarks)]]
+        some = [positive[i] for i in rng.permutation(len(positive))[: settings.landmarks // 4]]
+        landmarks = list(dict.fromkeys(positive[: settings.landmarks // 3] + some))
+        landmarks += [negative[i] for i in rng.permutation(len(negative))[: settings.landmarks - len(landmarks)]]
         space = _Nystrom(landmarks)
         use = [found[p] ** 0.5 for p in positive]
-        for p, n in zip(positive[:60], use[:60], strict=True):
+        for p, n in zip(positive[: settings.altered], use[: settings.altered], strict=True):
             variants = [v for v in _altered(p, rng) if v not in against]
             positive = positive + variants
             use = use + [0.3 * n] * len(variants)
@@ -291,9 +306,9 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         use = np.array(use)
         cost = np.concatenate([use / use.sum() / 2, np.full(len(negative), 1 / len(negative))])
-        w, b = _machine(x, y, cost)
+        w, b = _machine(x, y, cost, settings.penalty)
         model = Model(space.multiplied_out(w), b)
-        if turn == 3:
+        if turn == settings.turns - 1:
             break
         found, worst_other = Counter(telling), Counter()  # what tells by itself stays
         for parts, into, least_margin in ((fit_t, found, 0.0), (fit_o, worst_other, -1.0)):
@@ -304,8 +319,8 @@ def train(rows: list[tuple[int, list[str]]], seed: int = 5) -> Model:
                 if margin[worst] > least_margin and not (into is found and in_other.get(worst, 0) > 0.2 * in_toxic[worst]):
                     into[worst] += 1
         if not found:
-            found = Counter(dict.fromkeys(positive[:3000], 1))
-        against |= set(sorted(worst_other, key=lambda p: (-worst_other[p], p))[:3000])
+            found = Counter(dict.fromkeys(positive[: settings.positives], 1))
+        against |= set(sorted(worst_other, key=lambda p: (-worst_other[p], p))[: settings.worst])
     margins = [[float(model.margins(ps).max()) for ps in group] for group in (aside_t, aside_o)]
     z = np.array(margins[0] + margins[1])
     target = np.array([1.0] * len(margins[0]) + [0.0] * len(margins[1]))
@@ -328,17 +343,24 @@ def _logistic(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
-    """A model from about ``toxic_rows`` toxic and ``other_rows`` other labelled rows, picked by a hash of
-    the id.  ``docs`` must hold training rows only; rows without id, label or text don't count."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("__label")
-    ).dropDuplicates(["__id"])
-    counts = {r[0]: r[1] for r in marked.groupBy("__label").count().collect()}
-    share = {y: int((1 << 30) * min(1.0, most / max(counts.get(y, 0), 1))) for y, most in ((1, toxic_rows), (0, other_rows))}
+        settings: Settings = Settings()) -> Model:
+    """A model from about ``settings.toxic_rows`` toxic and ``settings.other_rows`` other labelled rows, picked
+    by a hash of the id.
+
+    ``docs`` must hold training rows only, and only their labels count.  Rows without id, label or text don't
+    count; of contradictory labels of one id, toxic counts; repeated ids give as many examples.
+    """
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
+        F.max((F.col(label_col) == 1).cast("int")).alias("__label")
+    )
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    ours = materialize(marked.join(texts.select(F.col(id_col).alias("__id")), "__id", "left_semi"), "labels")
+    counts = {r[0]: r[1] for r in ours.groupBy("__label").count().collect()}
+    bounds = ((1, settings.toxic_rows), (0, settings.other_rows))
+    share = {y: int((1 << 30) * min(1.0, most / max(counts.get(y, 0), 1))) for y, most in bounds}
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("__id")), F.lit(1 << 30))
-    picked = marked.where(place < F.when(F.col("__label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
-    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
+    picked = ours.where(place < F.when(F.col("__label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
+    sample = texts.join(F.broadcast(picked), F.col(id_col) == F.col("__id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [sorted(set(parts_of(t))) for t in texts_of(batch)]
@@ -346,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = sample.select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
     rows = map_batches(chosen, run, "id long, label int, parts array<string>").toArrow().sort_by("id")
-    return train(list(zip(rows["label"].to_pylist(), rows["parts"].to_pylist(), strict=True)))
+    return train(list(zip(rows["label"].to_pylist(), rows["parts"].to_pylist(), strict=True)), settings)
 
 
 # --- Scoring --------------------------------------------------------------------------------------
@@ -357,8 +379,14 @@ def spelt_out(text: str) -> list[str]:
     return [p for m in _SPELT.finditer(text) if len(p := part(m[0])) > 2]
 
 
+def parts_of_token(token: str) -> list[str]:
+    """The part of a token as a whole and, if punctuation stands within, those between the marks."""
+    pieces = [] if token.isalpha() else [p for p in _MARKS.split(token) if p]
+    return [part(token), *(part(p) for p in pieces if p != token)] if len(pieces) > 1 else [part(token)]
+
+
 def parts_of(text: str) -> list[str]:
-    return [p for t in text.split() if len(p := part(t)) > 1] + spelt_out(text)
+    return [p for t in text.split() for p in parts_of_token(t) if len(p) > 1] + spelt_out(text)
 
 
 class Scorer:
@@ -373,8 +401,8 @@ class Scorer:
         """That of the text's worst part; of a text without parts, that of the empty string."""
         worst, alone = self.least, 0
         tokens = text.split()
-        for at in range(0, len(tokens), 100_000):
-            mine = tokens[at : at + 100_000]
+        for at in range(0, len(tokens), _SLICE):
+            mine = tokens[at : at + _SLICE]
             found = list(map(self.memo.get, mine))
             if None in found:
                 self._learn(list(dict.fromkeys(t for t, m in zip(mine, found, strict=True) if m is None)), mine)
@@ -389,10 +417,11 @@ class Scorer:
         if len(self.memo) + len(missing) > _MEMO:
             self.memo.clear()
             missing = list(dict.fromkeys(needed))
-        strings = [part(t) for t in missing]
-        margins = self.model.margins(strings).tolist()
-        for token, string, margin in zip(missing, strings, margins, strict=True):
-            self.memo[token] = margin if len(string) > 1 else _ALONE if string else -2e9
+        strings = [parts_of_token(t) for t in missing]
+        margins = iter(self.model.margins([p for ps in strings for p in ps]).tolist())
+        for token, ps in zip(missing, strings, strict=True):
+            found = [m if len(p) > 1 else _ALONE if p else _NONE for p, m in zip(ps, margins)]  # noqa: B905
+            self.memo[token] = max(found) if len(ps[0]) > 1 else found[0]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,

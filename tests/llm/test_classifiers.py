@@ -99,6 +99,44 @@ def test_subwords_of_parts():
     assert again.tolist() == ids[:6].tolist()
 
 
+def plain_subwords(text):
+    """Runs of 2 to 4 characters of the letter runs, ends marked, by their definition."""
+    runs, run = [], []
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run.append(c)
+        elif run:
+            runs.append(["^", *run, "$"])
+            run = []
+    return [tuple(r[i : i + n]) for r in runs for n in (2, 3, 4) for i in range(len(r) - n + 1)]
+
+
+def test_scores_equal_a_plain_recomputation(corpus, edges, make_docs, monkeypatch):
+    """With a memo and slices so small that they are used up again and again."""
+    docs, _, _ = corpus
+    model = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "_MEMO", 50)
+    monkeypatch.setattr(language_id, "_SLICE", 20)
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(["", None, "12 34", "Kalo-MIREN schi,bren", "ña'qué 7sol7", *(words(rng, x, 300) for x in SYLLABLES)])]
+    got = {r.doc_id: r for r in language_id.identify(make_docs(rows), model).collect()}
+    kept = {r.doc_id for r in language_id.accepted(make_docs(rows), model).collect()}
+    for i, text in rows:
+        grams = plain_subwords(text or "")
+        if not grams:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0) and i not in kept
+            continue
+        fine = np.concatenate([language_id.fine_subwords([t])[0] for t in text.lower().split()])
+        assert len(fine) == len(grams)
+        logits = (model.table[fine % language_id.BUCKETS].astype(float).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert got[i].lang_pred == model.languages[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-4
+        limit = model.limits[int(p.argmax())]
+        slack = language_id.DEVIATIONS * (limit * (1 - limit) * language_id.A_WORD / len(fine)) ** 0.5
+        assert (i in kept) == (model.unseen(fine).mean() <= limit + slack)
+
+
 # --- Toxicity -------------------------------------------------------------------------------------
 
 
@@ -175,6 +213,40 @@ def test_insults_are_found(spark, corpus, edges, make_docs):
     assert sum(i in ids for i, y in toxic.items() if not y) > 0.97 * sum(1 - y for y in toxic.values())
 
 
+def test_scores_of_texts_equal_a_plain_recomputation(spark, corpus, make_docs, monkeypatch):
+    """A text's margin is that of its worst part; with a memo and slices that are used up again and again."""
+    docs, _, toxic = corpus
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    monkeypatch.setattr(toxicity, "_MEMO", 40)
+    monkeypatch.setattr(toxicity, "_SLICE", 15)
+    rng = random.Random(13)
+    texts = ["", None, "a", "1 2 3", "a b c", "z a t w i t", "kalo,zatwit/miren", "http://x.y/snorkfool?lo=1", "g r u m p h e a d tu " + words(rng, "yo", 90)]
+    texts += [words(rng, x, 200) + " " + " ".join(rng.choices("abc", k=5)) for x in SYLLABLES]
+    got = {r.doc_id: r for r in toxicity.score(make_docs(list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        strings = ["", *toxicity.spelt_out(text or "")]
+        for token in (text or "").split():
+            inner = [p for p in re.split(r"[^\w@$]+|_+", token) if p]
+            strings += [p for p in map(toxicity.part, [token, *(inner if len(inner) > 1 else [])]) if len(p) > 1]
+        z = max(float(model.margins([p])[0]) for p in strings)
+        want = 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+        assert abs(got[i].score - want) < 1e-4 and got[i].predicted == int(got[i].score >= 0.3)
+    assert got[5].predicted == got[6].predicted == got[7].predicted == 1
+
+
+def test_contradictory_labels_and_scales(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, settings: seen.append(rows))
+    docs = make_docs([(1, "one"), (2, "two"), (3, None), (4, "four"), (4, "four too"), (None, "none")])
+    labels = [(1, 0), (1, 1), (2, None), (2, 0), (3, 1), (4, 0), (9, 1), (None, 1)]
+    for order in (labels, labels[::-1]):
+        toxicity.fit(docs, spark.createDataFrame(order, "doc_id long, toxic int"))
+    assert [sorted(rows) for rows in seen] == [[(0, ["four"]), (0, ["four", "too"]), (0, ["two"]), (1, ["one"])]] * 2
+    sizes = np.array([0, 1, 3, 9, 100, 5000, 10_000])
+    plain = [sum(max(n - p[-1], 0) * toxicity.DECAY ** (2 * (p[-1] + 1)) for k in toxicity.LENGTHS for p in toxicity._PATTERNS[k]) for n in sizes]
+    assert np.allclose(toxicity.scale(sizes), 1 / np.sqrt(np.maximum(plain, 1e-12)))
+
+
 def test_without_both_labels_nothing_is_toxic(spark, edges):
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(edges, labels)
