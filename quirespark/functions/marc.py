@@ -42,7 +42,7 @@ def envelope(xml: Column) -> Column:
 
 def records(responses: DataFrame, xml_col: str = "data") -> DataFrame:
     """One row for each MARC record of each response: its columns, ``total_hits``, ``position``, ``marc``."""
-    found = responses.withColumn("__envelope", envelope(F.col(xml_col)))
+    found = responses.select("*", F.explode(F.array(envelope(F.col(xml_col)))).alias("__envelope"))  # parsed once, used twice
     return (
         found.select("*", F.col("__envelope.numberOfRecords").alias("total_hits"), F.posexplode("__envelope.records").alias("position", "marc"))
         .drop("__envelope")
@@ -70,62 +70,84 @@ def control(marc: Column, tag: str) -> Column:
 
 def value(marc: Column, tag: str, codes: Sequence[str]) -> Column:
     """Values of the codes in the first field of the tag."""
-    return _subfields(F.get(_fields(marc, tag), F.lit(0)), codes)
+    return _value(_fields(marc, tag), codes)
+
+
+def _value(fields: Column, codes: Sequence[str]) -> Column:
+    return _subfields(F.get(fields, F.lit(0)), codes)
 
 
 def linked(marc: Column, tag: str, codes: Sequence[str]) -> Column:
     """The same from the first field 880 that is linked to the tag and has any of the codes."""
+    return _linked(_fields(marc, "880"), tag, codes)
+
 
+def _linked(fields: Column, tag: str, codes: Sequence[str]) -> Column:
     def link(field: Column) -> Column:
         return F.get(F.filter(field["subfield"], lambda s: s["_code"] == "6"), F.lit(0))["_VALUE"]
 
-    own = F.filter(_fields(marc, "880"), lambda f: F.startswith(link(f), F.lit(f"{tag}-")))
+    own = F.filter(fields, lambda f: F.startswith(link(f), F.lit(f"{tag}-")))
     return F.get(F.filter(F.transform(own, lambda f: _subfields(f, codes)), lambda v: v.isNotNull()), F.lit(0))
 
 
 def each_first(marc: Column, tag: str, code: str) -> Column:
     """The first value of a code in every field of the tag that has one."""
-    firsts = F.transform(_fields(marc, tag), lambda f: F.get(F.filter(f["subfield"], lambda s: s["_code"] == code), F.lit(0))["_VALUE"])
+    return _each_first(_fields(marc, tag), code)
+
+
+def _each_first(fields: Column, code: str) -> Column:
+    firsts = F.transform(fields, lambda f: F.get(F.filter(f["subfield"], lambda s: s["_code"] == code), F.lit(0))["_VALUE"])
     return F.coalesce(F.filter(firsts, lambda v: v.isNotNull()), F.array().cast("array<string>"))
 
 
 def oclc_number(marc: Column) -> Column:
-    own = F.filter(each_first(marc, "035", "a"), lambda v: F.contains(v, F.lit("OCoLC")))
+    return _oclc_number(_fields(marc, "035"))
+
+
+def _oclc_number(fields: Column) -> Column:
+    own = F.filter(_each_first(fields, "a"), lambda v: F.contains(v, F.lit("OCoLC")))
     return trimmed(F.replace(F.get(own, F.lit(0)), F.lit("(OCoLC)"), F.lit("")))
 
 
+#: Tags that ``bibliographic`` reads.
+_TAGS = ("010", "020", "035", "050", "082", "100", "245", "260", "264", "490", "650", "700", "830", "880")
+
+
 def bibliographic(marc: Column) -> Column:
-    """The fields that a catalogue keeps of a record, as a struct of 18."""
-    title, author = value(marc, "245", ["a", "b"]), value(marc, "100", ["a"])
-    fixed = control(marc, "008")
+    """The fields that a catalogue keeps of a record, as a struct of 17.  Each tag's fields are found once."""
+    fields = F.struct(control(marc, "008").alias("fixed"), *(_fields(marc, tag).alias(f"f{tag}") for tag in _TAGS))
+    return F.get(F.transform(F.array(fields), _bibliographic), F.lit(0))
 
-    def alternate(tag: str, codes: Sequence[str], primary: Column) -> Column:
-        return F.coalesce(linked(marc, tag, codes), F.when(has_hebrew(primary), primary))
 
-    def either(code: str) -> Column:
-        return F.coalesce(value(marc, "260", [code]), value(marc, "264", [code]))
+def _bibliographic(fields: Column) -> Column:
+    of = {tag: fields[f"f{tag}"] for tag in _TAGS}
+    title, author = _value(of["245"], ["a", "b"]), _value(of["100"], ["a"])
+    fixed = fields["fixed"]
+
+    def alternate(tag: str, codes: Sequence[str], primary: Column) -> Column:
+        return F.coalesce(_linked(of["880"], tag, codes), F.when(has_hebrew(primary), primary))
 
-    def series(code: str) -> Column:
-        return F.coalesce(value(marc, "490", [code]), value(marc, "830", [code]))
+    def either(code: str, *tags: str) -> Column:
+        return F.coalesce(*(_value(of[tag], [code]) for tag in tags))
 
     return F.struct(
         title.alias("title"),
         alternate("245", ["a", "b"], title).alias("title_alternate"),
         author.alias("author"),
         alternate("100", ["a"], author).alias("author_alternate"),
-        either("b").alias("publisher"),
-        either("a").alias("place"),
-        F.coalesce(either("c"), F.when(F.length(fixed) >= 11, F.substring(fixed, 8, 4))).alias("date"),
+        either("b", "260", "264").alias("publisher"),
+        either("a", "260", "264").alias("place"),
+        F.coalesce(either("c", "260", "264"), F.when(F.length(fixed) >= 11, F.substring(fixed, 8, 4))).alias("date"),
         F.when(F.length(fixed) >= 38, F.substring(fixed, 36, 3)).alias("language"),
-        value(marc, "020", ["a"]).alias("isbn"),
-        each_first(marc, "700", "a").alias("additional_authors"),
-        each_first(marc, "650", "a").alias("subjects"),
-        value(marc, "010", ["a"]).alias("lccn"),
-        oclc_number(marc).alias("oclc"),
-        value(marc, "050", ["a", "b"]).alias("lc_classification"),
-        value(marc, "082", ["a"]).alias("dewey_classification"),
-        series("a").alias("series_title"),
-        series("v").alias("series_volume"),
+        _value(of["020"], ["a"]).alias("isbn"),
+        _each_first(of["700"], "a").alias("additional_authors"),
+        _each_first(of["650"], "a").alias("subjects"),
+        _value(of["010"], ["a"]).alias("lccn"),
+        _oclc_number(of["035"]).alias("oclc"),
+        _value(of["050"], ["a", "b"]).alias("lc_classification"),
+        _value(of["082"], ["a"]).alias("dewey_classification"),
+        either("a", "490", "830").alias("series_title"),
+        either("v", "490", "830").alias("series_volume"),
     )
 
 

@@ -208,7 +208,8 @@ def cover_url(kind: Column, value: Column, base_url: str = "https://covers.examp
 def slug(title_romanized: Column, title: Column) -> Column:
     """Letters, digits and underscores of any script, lower case, joined by hyphens; at most 255."""
     source = F.when(blank_if_null(title_romanized) != "", title_romanized).otherwise(blank_if_null(title))
-    kept = F.regexp_replace(F.lower(_nfkc(source)), r"(?U)[^\w\s-]", "")
+    composed = F.coalesce(_nfkc(F.when(source.rlike(r"[^\x00-\x7F]"), source)), source)  # ASCII stays as it is
+    kept = F.regexp_replace(F.lower(composed), r"(?U)[^\w\s-]", "")
     joined = F.regexp_replace(F.regexp_replace(kept, r"(?U)[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
     return F.substring(joined, 1, 255)
 
@@ -237,6 +238,38 @@ def first_words(c: Column, count: int = 12) -> Column:
     return F.when(F.size(words) > count, F.concat(F.array_join(F.slice(words, 1, count), " "), F.lit(" …"))).otherwise(F.array_join(words, " "))
 
 
+def counted(n: Column, one: str, many: str) -> Column:
+    """A number with its noun: "1 volume", "0 volumes"."""
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+#: Units of a relative time with their seconds, largest first.
+UNITS = (("year", 31_536_000), ("month", 2_592_000), ("week", 604_800), ("day", 86_400), ("hour", 3_600), ("minute", 60))
+
+
+def time_since(then: Column, now: Column) -> Column:
+    """How long ago, in the largest whole unit; "0 minutes" for less than one and for what is to come."""
+    seconds = F.greatest(now.cast("timestamp").cast("long") - then.cast("timestamp").cast("long"), F.lit(0).cast("long"))
+    shown = F.lit("0 minutes")
+    for unit, size in reversed(UNITS):
+        n = F.floor(seconds / size)
+        shown = F.when(n >= 1, counted(n, unit, unit + "s")).otherwise(shown)
+    return shown
+
+
+def escaped(c: Column) -> Column:
+    """With the signs that mean something in HTML as entities."""
+    out = F.replace(blank_if_null(c), F.lit("&"), F.lit("&amp;"))
+    for sign, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
+def bidi_span(c: Column) -> Column:
+    """The escaped text in an element that says its direction."""
+    return F.concat(F.lit('<span dir="'), direction(c), F.lit('">'), escaped(c), F.lit("</span>"))
+
+
 def repair_gershayim(c: Column) -> Column:
     """A double quote between Hebrew letters as the mark it stands for."""
     return F.regexp_replace(c, f'(?<={HEBREW})"(?={HEBREW})', _GERSHAYIM)

@@ -11,6 +11,7 @@ from quirespark.operators.ingest import numbered
 from quirespark.operators.joins import join_counted
 
 PAGE_SIZE = 25
+EARLY_ROWS = 10_000
 
 
 def facet_counts(dimension: DataFrame, bridge: DataFrame, key: str, name: str, record: str = "record_pk") -> DataFrame:
@@ -73,12 +74,27 @@ def script_order(title: str, first: Column | None = None) -> list[Column]:
 def page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """Rows of one page, from 1; beyond the last page or below 1, of the last.
 
-    Only as many rows as lead up to the page's end are ordered and kept.
+    For an early page only as many rows as lead up to its end are ordered and kept; for a late one all
+    rows are numbered range by range, and no task holds them all.
     """
     rows = df.count()
     last = max(1, -(-rows // size))
     number = last if number > last or number < 1 else number
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    before = (number - 1) * size
+    if before + size <= EARLY_ROWS:
+        return df.orderBy(*order).offset(before).limit(size)
+    placed = numbered(df, order, "__position").where((F.col("__position") > before) & (F.col("__position") <= before + size))
+    return placed.orderBy("__position").drop("__position")
+
+
+def page_number(asked: str | None, rows: int, size: int = PAGE_SIZE) -> int:
+    """The page that is shown for what was asked: what isn't a whole number gives the first, a number below
+    1 or beyond the last page the last."""
+    last = max(1, -(-rows // size))
+    if asked is None or not asked.strip().lstrip("+-").isdecimal():
+        return 1
+    number = int(asked)
+    return number if 1 <= number <= last else last
 
 
 def ranked_pages(df: DataFrame, order: list[Column], size: int = PAGE_SIZE, within: list[str] | None = None) -> DataFrame:
@@ -107,12 +123,23 @@ def related(bridge: DataFrame, records: DataFrame, newest: list[Column], record:
 
 
 def siblings(volumes: DataFrame, series: str = "series_pk", record: str = "record_pk", number: str = "volume_number") -> DataFrame:
-    """For each record in a series the series' other volumes, by number as text: ``record, sibling, volume_number``."""
+    """For each record in a series the series' other volumes: ``record, sibling, volume_number``, to be ordered by
+    number as text.
+
+    The result itself grows with the square of a series' length; for long series ``volume_positions`` says
+    the same in one row a volume.
+    """
     mine = volumes.where(F.col(record).isNotNull()).select(series, record)
     other = volumes.select(series, F.col(record).alias("sibling"), number)
     return mine.join(other, series).where(~F.col("sibling").eqNullSafe(F.col(record))).select(record, "sibling", number)
 
 
+def volume_positions(volumes: DataFrame, series: str = "series_pk", number: str = "volume_number") -> DataFrame:
+    """Every volume with its ``position`` in its series, by number as text ("1", "10", "2")."""
+    window = Window.partitionBy(series).orderBy(F.col(number), *(F.col(c) for c in volumes.columns if c not in (series, number)))
+    return volumes.withColumn("position", F.row_number().over(window))
+
+
 def gathered(bridge: DataFrame, dimension: DataFrame, key: str, name: str, alias: str, record: str = "record_pk") -> DataFrame:
     """For each record the names of its members, in order, as an array."""
     return bridge.join(dimension.select(key, name), key).groupBy(record).agg(F.sort_array(F.collect_list(name)).alias(alias))

@@ -41,14 +41,15 @@ def new_volumes(specs: DataFrame, existing: DataFrame, records: DataFrame | None
     """``series_pk, volume_number, record_pk, held`` for each volume asked for that doesn't exist yet.
 
     ``specs``: series_pk, spec; ``existing``: series_pk, volume_number; ``records``: series_pk,
-    volume_number, record_pk of records that are at hand.  A volume with a record is held.
+    volume_number, record_pk of records that are at hand, of which the smallest counts.  A volume with a
+    record is held.
     """
     asked = specs.select("series_pk", F.explode(volume_numbers(F.col("spec"))).alias("volume_number")).distinct()
     new = asked.join(existing.select("series_pk", "volume_number"), ["series_pk", "volume_number"], "left_anti")
     if records is None:
         new = new.withColumn("record_pk", F.lit(None).cast("long"))
     else:
-        new = new.join(records.select("series_pk", "volume_number", "record_pk").dropDuplicates(["series_pk", "volume_number"]), ["series_pk", "volume_number"], "left")
+        new = new.join(records.groupBy("series_pk", "volume_number").agg(F.min("record_pk").alias("record_pk")), ["series_pk", "volume_number"], "left")
     return new.withColumn("held", F.col("record_pk").isNotNull())
 
 

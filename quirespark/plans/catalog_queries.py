@@ -170,9 +170,9 @@ def series_held_gap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.held_and_gaps(orders, volumes(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%an%' ORDER BY n_nationkey LIMIT 10")
+@query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) LIKE '%n!_1%' ESCAPE '!' ORDER BY n_nationkey LIMIT 10")
 def prefix_contains_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggestions(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "AN", ["n_name"], "n_nationkey")
+    return suggestions(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "N_1", ["n_name"], "n_nationkey")
 
 
 @query("""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirespark.durable import scratch_path
 from quirespark.functions import authority_xml, json_text, marc, text
 from quirespark.operators import authority, cascade, catalog, covers, ingest, quality, series
 from quirespark.sources import sru
@@ -254,11 +252,11 @@ def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-  SELECT doc_id, {sql_text.normalized('line')} AS compared, {sql_text.heading('line')} AS heading, {sql_text.cleaned('line')} AS cleaned
-  FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)""")
+  SELECT doc_id, {sql_text.normalized('text')} AS compared, {sql_text.heading('text')} AS heading, {sql_text.cleaned('text')} AS cleaned
+  FROM documents""")
 def normalize_for_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("line")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    line = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select(
         "doc_id", text.normalize_for_comparison(line).alias("compared"), text.normalize_heading(line).alias("heading"), text.clean_for_index(line).alias("cleaned")
     )
@@ -530,8 +528,7 @@ def scan_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     status = F.when(n % 5 == 0, "discarded").when(n % 3 == 0, "confirmed").otherwise("pending")
     events = stream.select(F.floor(n / 7).alias("scan_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    name = f"scan_queue_{uuid.uuid4().hex}"
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quirespark-")
-    running = scan_queue.run_to_memory(scan_queue.latest_status(events), name, f"{root.rstrip('/')}/{name}")
-    running.awaitTermination()
-    return spark.table(name).select("scan_id", "status")
+    root = scratch_path(spark, "scan_queue")
+    scan_queue.upsert_states(events, f"{root}/states", f"{root}/progress").awaitTermination()
+    states = scan_queue.current_states(spark, f"{root}/states")
+    return states.select("scan_id", "status") if states is not None else events.where("false").select("scan_id", "status")

@@ -1,5 +1,7 @@
-"""SRU catalogues as a Spark data source; answers may be replayed from files.
+"""SRU catalogues as a Spark data source; stored answers may take a catalogue's place.
 
+The option ``queries`` is for the queries of one cataloguer, a list that the driver holds anyway; for a table of
+them ``requests`` and ``replayed`` join requests with answers.
 ``spark.read.format("sru").options(base_url=..., queries=json)`` gives a row ``query, success, data,
 error`` for each query: what goes wrong is data, never an exception, so that one catalogue's failure
 doesn't stop another's job.
@@ -8,6 +10,7 @@ doesn't stop another's job.
 from __future__ import annotations
 
 import json
+import math
 import os
 import time
 import urllib.error
@@ -73,9 +76,20 @@ def outcome(get: Callable[[], str]) -> tuple[bool, str, str]:
     return True, text, ""
 
 
+_LAST: dict[str, float] = {}
+
+
+def wait(base_url: str, delay: float, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Wait until ``delay`` seconds have gone by since this process last asked at the address."""
+    left = _LAST.get(base_url, -math.inf) + delay - now()
+    if left > 0:
+        sleep(left)
+    _LAST[base_url] = now()
+
+
 class _One(InputPartition):
-    def __init__(self, queries: list[str]):
-        self.queries = queries
+    def __init__(self, queries: list[str], sharing: int):
+        self.queries, self.sharing = queries, sharing
 
 
 class SruReader(DataSourceReader):
@@ -83,19 +97,19 @@ class SruReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        """One, as a catalogue's requests must keep their distance in time; ``partitions`` asks for more."""
+        """One, unless ``partitions`` asks for more: these then take turns, each waiting as many times longer."""
         queries = json.loads(self.options.get("queries", "[]"))
         n = max(1, min(len(queries), int(self.options.get("partitions", "1"))))
-        return [_One(queries[k::n]) for k in range(n)]
+        return [_One(queries[k::n], n) for k in range(n)]
 
-    def _get(self, query: str) -> str:
+    def _get(self, query: str, sharing: int = 1) -> str:
         o = self.options
-        if "replay" in o:  # a folder of answers, named by the query's digest
-            import hashlib
-
-            with open(os.path.join(o["replay"], hashlib.md5(query.encode()).hexdigest() + ".xml"), encoding="utf-8") as file:
-                return file.read()
-        time.sleep(float(o.get("delay", os.environ.get("SRU_REQUEST_DELAY", DELAY))))
+        if "answers" in o:  # stored ones, by query, instead of a catalogue
+            answers = json.loads(o["answers"])
+            if query not in answers:
+                raise urllib.error.URLError("no stored answer")
+            return answers[query]
+        wait(o["base_url"], sharing * float(o.get("delay", os.environ.get("SRU_REQUEST_DELAY", DELAY))))
         params = {
             "operation": "searchRetrieve", "version": o.get("version", "1.1"), "query": query,
             "maximumRecords": o.get("max_records", "20"), "recordSchema": o.get("record_schema", "marcxml"),
@@ -106,7 +120,7 @@ class SruReader(DataSourceReader):
 
     def read(self, partition: _One) -> Iterator[tuple]:
         for query in partition.queries:
-            yield (query, *outcome(lambda q=query: self._get(q)))
+            yield (query, *outcome(lambda q=query: self._get(q, partition.sharing)))
 
 
 class SruSource(DataSource):

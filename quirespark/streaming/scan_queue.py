@@ -19,7 +19,7 @@ def latest_status(events: DataFrame, key: str = "scan_id", status: str = "status
 
 
 def run_to_memory(latest: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run over what is there now, into a table in memory."""
+    """Run over what is there now, into a table in the driver's memory: for trials with few scans only."""
     query = latest.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start()
 
@@ -27,7 +27,8 @@ def run_to_memory(latest: DataFrame, name: str, checkpoint: str) -> StreamingQue
 def upsert_states(events: DataFrame, path: str, checkpoint: str, key: str = "scan_id", at: str = "ts") -> StreamingQuery:
     """Keep the states in Parquet, a new folder for each batch; ``current_states`` reads the latest.
 
-    A batch that is run again, after a failure, writes the same folder again.
+    A batch that is run again, after a failure, writes the same folder again, from the one before, which is
+    kept for that; older ones are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -35,10 +36,22 @@ def upsert_states(events: DataFrame, path: str, checkpoint: str, key: str = "sca
         before = current_states(spark, path, below=number)
         rows = batch if before is None else before.unionByName(batch)
         latest_state(rows, key, at).write.mode("overwrite").parquet(f"{path}/batch={number:020d}")
+        _forget(spark, path, below=number - 1)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _forget(spark, path: str, below: int) -> None:
+    """Delete the folders of batches before ``below``."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.partition("=")[2]) < below:
+            fs.delete(status.getPath(), True)
+
+
 def current_states(spark, path: str, below: int | None = None) -> DataFrame | None:
     """The states after the last batch (or the last before ``below``); None before the first."""
     jvm = spark._jvm

@@ -1,6 +1,5 @@
 """Sources, sinks and the stream of scan events."""
 
-import hashlib
 import json
 import urllib.error
 from datetime import datetime, timedelta
@@ -33,17 +32,29 @@ def test_outcomes_are_data():
     assert sru.outcome(fails(urllib.error.URLError("refused")))[2].startswith("HTTP error:")
 
 
-def test_data_source_replays_answers(spark, tmp_path):
+def test_data_source_replays_answers(spark):
     sru.register(spark)
-    for query, answer in (("a=1", "<x/>"), ("a=2", "down")):
-        (tmp_path / f"{hashlib.md5(query.encode()).hexdigest()}.xml").write_text(answer)
+    answers = json.dumps({"a=1": "<x/>", "a=2": "down"})
     asked = json.dumps(["a=1", "a=2", "a=3"])
-    found = {r.query: r for r in spark.read.format("sru").options(base_url="http://x", queries=asked, replay=str(tmp_path), partitions="2").load().collect()}
+    found = {r.query: r for r in spark.read.format("sru").options(base_url="http://x", queries=asked, answers=answers, partitions="2").load().collect()}
     assert found["a=1"].success and found["a=1"].data == "<x/>"
     assert found["a=2"].error == "Response does not appear to be XML" and found["a=3"].error.startswith("HTTP error")
     assert spark.read.format("sru").options(base_url="http://x").load().count() == 0
 
 
+def test_requests_keep_their_distance():
+    clock, slept = [100.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        clock[0] += seconds
+
+    for address, passed in (("u", 0), ("u", 1), ("v", 0), ("u", 7)):
+        clock[0] += passed
+        sru.wait(address, 3.0, lambda: clock[0], sleep)
+    assert slept == [2.0]
+
+
 def test_requests_and_replay(spark, monkeypatch):
     monkeypatch.setenv("SRU_LC_URL", "http://mirror")
     catalogs = sru.endpoints(spark)
