@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, ingest_queries, search_queries  # noqa: F401  registers them
+from . import catalog_queries, ingest_queries, lifecycle_queries, search_queries  # noqa: F401  registers them
 from .registry import ORACLES, QUERIES, Query
 
 
