@@ -70,13 +70,29 @@ def _character_start(data: bytes, at: int) -> int:
 #: follows: white space after another character, or a full stop or comma after an ideograph or kana.  Of
 #: letters beyond ASCII only those count whose class no Unicode version has changed.
 _SAFE = re.compile(
-    rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xed][\x80-\xbf][\x80-\xbf])"
-    rb"|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=\xe3\x80[\x81-\xbf])|(?<=\xf0[\x9f\xa0][\x80-\xbf][\x80-\xbf]))(?=[ \t\n\r])"
-    rb"|(?:(?<=[\xe5-\xe8][\x80-\xbf][\x80-\xbf])|(?<=\xe3\x81[\x81-\xbf])|(?<=\xe3\x82[\x80-\x93\xa1-\xbf])"
-    rb"|(?<=\xe3\x83[\x80-\xba]))(?=\xe3\x80[\x81\x82])"
+    rb"[ \t\n\r\xe3](?:(?<=[\x21-\x7e][ \t\n\r])|(?<=[\xc3-\xdf][\x80-\xbf][ \t\n\r])"
+    rb"|(?<=[\xe0\xe4-\xed][\x80-\xbf][\x80-\xbf][ \t\n\r])|(?<=\xe3[\x81-\xbf][\x80-\xbf][ \t\n\r])"
+    rb"|(?<=\xe3\x80[\x81-\xbf][ \t\n\r])|(?<=\xf0[\x9f\xa0][\x80-\xbf][\x80-\xbf][ \t\n\r])"
+    rb"|(?:(?<=[\xe5-\xe8][\x80-\xbf][\x80-\xbf]\xe3)|(?<=\xe3\x81[\x81-\xbf]\xe3)|(?<=\xe3\x82[\x80-\x93\xa1-\xbf]\xe3)"
+    rb"|(?<=\xe3\x83[\x80-\xba]\xe3))(?=\x80[\x81\x82]))"
 )
 
 
+def outer_places(data: bytes, begin: int, end: int) -> list[int]:
+    """The first two and the last two safe places of ``data[begin:end]``, in order; all, if there are fewer."""
+    first = _SAFE.search(data, begin, end)
+    second = _SAFE.search(data, first.end(), end) if first else None
+    if not second:
+        return [first.start()] if first else []
+    size, last = 32, []
+    while len(last) < 2:
+        size *= 2
+        last = [m.start() for m in _SAFE.finditer(data, max(second.start(), end - size), end)]
+        if end - size <= second.start():
+            break
+    return [first.start(), second.start(), *(p for p in last[-2:] if p > second.start())]
+
+
 @dataclass(slots=True)
 class Chunk:
     """Ids of a chunk that stood alone; (byte, id) numbers of its first two and last two safe places."""
@@ -92,6 +108,7 @@ class ChunkCodec:
     def __init__(self, path: str, memo_bytes: int = _MEMO_BYTES):
         self.specials = bpe.special_strings(path)
         self.pieces = bpe.vocabulary_bytes(path)
+        self.sizes = [len(self.pieces.get(i, b"")) for i in range(max(self.pieces) + 1)]
         self.core = bpe.core(path).encode_ordinary
         self.memo: dict[bytes, Chunk] = {}
         self.memo_bytes, self.used, self.reused, self.encoded, self.unsettled = memo_bytes, 0, 0, 0, 0
@@ -131,7 +148,7 @@ class ChunkCodec:
             if chunk:
                 self.reused += 1
             else:
-                places += [m.start() - begin for m in _SAFE.finditer(data, max(at, begin + 1), end)]
+                places += [p - begin for p in outer_places(data, max(at, begin + 1), end)]
                 if len(places) < 2:
                     if end < len(data):
                         continue
@@ -170,17 +187,17 @@ class ChunkCodec:
 
     def _index_from_end(self, ids: array, size: int) -> int:
         """How many ids come before the last ``size`` bytes, which begin with an id."""
-        k = len(ids)
+        k, sizes = len(ids), self.sizes
         while size > 0:
             k -= 1
-            size -= len(self.pieces[ids[k]])
+            size -= sizes[ids[k]]
         assert size == 0, "a pre-token spans a safe place"
         return k
 
     def _index_from_start(self, ids: array, size: int) -> int:
-        k = 0
+        k, sizes = 0, self.sizes
         while size > 0:
-            size -= len(self.pieces[ids[k]])
+            size -= sizes[ids[k]]
             k += 1
         assert size == 0, "a pre-token spans a safe place"
         return k
