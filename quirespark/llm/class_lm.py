@@ -37,7 +37,6 @@ class Settings:
 
     classes: int = 32
     clustered: int = 2048  # words that move one by one
-    units: int = 16384  # without effect: every looked-up word is a unit of its own
     looked_up: int = 131072  # words whose counts all executors hold; other words' counts are joined
     buckets: int = 2048  # units of rarer words
     sweeps: int = 12
@@ -180,8 +179,11 @@ def _sum_over(encoded: DataFrame, shared, table, size: int) -> DataFrame:
                 if len(column):
                     flat = np.concatenate([np.frombuffer(v.as_buffer(), "<i4") for v in column])
                     keys = table(shared.value, flat)
-                    if len(keys):
+                    if size <= 1 << 16:
                         total += np.bincount(keys, minlength=size)
+                    else:  # only the keys at hand are touched
+                        some, n = np.unique(keys, return_counts=True)
+                        total[some] += n
         keys = np.flatnonzero(total)
         for at in range(0, len(keys), 1 << 18):
             some = keys[at : at + (1 << 18)]

@@ -10,7 +10,7 @@ from edge_cases import EDGES
 from quirespark.llm import class_lm as lm
 from quirespark.llm.common import id_remainder, materialize
 
-SMALL = lm.Settings(classes=4, clustered=16, units=24, looked_up=60, buckets=8, sweeps=4, flush=50)
+SMALL = lm.Settings(classes=4, clustered=16, looked_up=60, buckets=8, sweeps=4, flush=50)
 
 
 @pytest.fixture(scope="module")
@@ -114,7 +114,7 @@ def test_all_looked_up_words_have_classes_of_their_own(spark, make_docs):
         pairs += [(rng.choice(rarer["n"]), rng.choice(frequent["v"])), (rng.choice(frequent["n"]), rng.choice(rarer["v"]))]
         made.append((i, " ".join(f"{a} {b}" for a, b in pairs)))
     made += [(1000 + i, f"once{i}") for i in range(50)]
-    settings = lm.Settings(classes=2, clustered=20, units=24, looked_up=80, buckets=4)
+    settings = lm.Settings(classes=2, clustered=20, looked_up=80, buckets=4)
     docs = make_docs(made).select("doc_id", "text", F.lit(False).alias("held_out"))
     counts = materialize(lm.word_counts(docs, settings.flush), "words")
     lex = lm.lexicon(counts, settings)
@@ -173,7 +173,7 @@ def test_model_beats_the_base_on_structured_text(make_docs):
     rng = random.Random(8)
     nouns, verbs = [f"n{i}" for i in range(60)], [f"v{i}" for i in range(60)]
     made = [(i, " ".join(w for _ in range(rng.randint(5, 30)) for w in (rng.choice(nouns), rng.choice(verbs)))) for i in range(400)]
-    settings = lm.Settings(classes=4, clustered=120, units=128, looked_up=200, buckets=8)
+    settings = lm.Settings(classes=4, clustered=120, looked_up=200, buckets=8)
     got = lm.score(make_docs(made), id_remainder("doc_id", 7) == 2, settings=settings).collect()
     unseen = [r for r in got if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) + 0.1 * sum(r.n_tokens for r in unseen)
