@@ -20,6 +20,8 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of a row group that a task holds in memory while it writes.
 ROW_GROUP = 16 << 20
+#: Rows that a worker's function works on at a time.
+ROWS_AT_ONCE = 512
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,12 +49,16 @@ def ship(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: T.StructType | str
 ) -> DataFrame:
-    """``df.mapInArrow`` for a function of one batch; batches without rows are left out."""
+    """``df.mapInArrow`` for a function of one batch; batches without rows are left out.
+
+    The function gets a share of what Spark hands over at a time, so that results, here and on their way
+    back, are small whatever the size of a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                out = fn(whole.slice(at, ROWS_AT_ONCE))
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 elif out is not None:

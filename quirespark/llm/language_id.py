@@ -37,7 +37,7 @@ FINE = 1 << 24
 MARGIN, BEYOND, LEAST = 2.0, 0.005, 0.02
 #: Short texts may be beyond the limit by so many standard deviations, a word being about so many subwords.
 DEVIATIONS, A_WORD = 2.0, 8.0
-_MEMO, _SLICE = 400_000, 100_000  # words remembered, and looked up at once
+_MEMO, _SLICE = 250_000, 10_000  # words remembered, and looked up at once
 
 
 @functools.lru_cache(maxsize=1)
@@ -231,13 +231,18 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
         (number[r.as_py()], i.values.to_numpy(), n.values.to_numpy())
         for r, i, n in zip(rows["label"], rows["ids"], rows["counts"], strict=True)
     ]
-    model = train(examples, languages, rows["aside"].to_pylist())
     whole = [
         (number[r.as_py()], i.values.to_numpy(), n.values.to_numpy())
         for r, k, i, n in zip(rows["label"], rows["k"], rows["fine"], rows["fine_n"], strict=True)
         if k.as_py() == 0 and len(i)
     ]
-    model.seen, model.limits = familiarity(whole, len(languages))
+    seen, limits = familiarity(whole, len(languages))
+    aside = rows["aside"].to_pylist()
+    del whole
+    model = train(examples, languages, aside)
+    model.seen, model.limits = seen, limits
+    del examples, rows
+    pa.default_memory_pool().release_unused()  # the driver may train other models yet
     return model
 
 

@@ -52,7 +52,7 @@ class Settings:
     penalty: float = 5e-5
 
 
-_MEMO, _SLICE = 400_000, 100_000  # tokens remembered, and looked up at once
+_MEMO, _SLICE = 250_000, 10_000  # tokens remembered, and looked up at once
 _BEGIN, _END = 27, 28  # codes 1-26 are a-z, 29-31 other letters, 0 none
 _ALONE, _NONE = -1e9, -2e9  # marks of a single letter and of none, never scores
 _RUN = re.compile(r"(.)\1{2,}")
@@ -368,7 +368,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     chosen = sample.select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
     rows = map_batches(chosen, run, "id long, label int, parts array<string>").toArrow().sort_by("id")
-    return train(list(zip(rows["label"].to_pylist(), rows["parts"].to_pylist(), strict=True)), settings)
+    known: dict[str, str] = {}  # a part that many rows have is one string
+    examples = [(y.as_py(), [known.setdefault(p, p) for p in parts.as_py()]) for y, parts in zip(rows["label"], rows["parts"], strict=True)]
+    del rows, known
+    pa.default_memory_pool().release_unused()
+    return train(examples, settings)
 
 
 # --- Scoring --------------------------------------------------------------------------------------
