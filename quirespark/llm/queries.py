@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, class_lm, exact_dedup, language_id, license_scan, media, packing, simhash_dedup, sql, token_counts, toxicity
+from . import bpe_codec, class_lm, exact_dedup, language_id, license_scan, media, packing, repeated_windows, simhash_dedup, sql, token_counts, toxicity
 from .common import id_remainder
 
 
@@ -76,10 +76,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(_documents(spark, sf_dir)))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows.removal_digests(_documents(spark, sf_dir))
+
+
 _ALL = (
     op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_toxicity, op6_class_lm,
     op7_best_fit_packing, op8_language_id,
-    op9_bpe_round_trip, op10_media_columns,
+    op9_bpe_round_trip, op10_media_columns, op11_substring_dedup,
 )
 
 
