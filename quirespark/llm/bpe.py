@@ -70,6 +70,65 @@ def core(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters of white space in a row from which on a text's stretch around them goes to the tokenizers
+#: library: the other encoder's matcher keeps a place on its stack for each and breaks off below a million.
+LONG_SPACE = 50_000
+_SPACES = re.compile(r"\s++")
+
+
+def stretches(text: str) -> list[tuple[str, bool]]:
+    """``text`` in stretches between safe spaces, and whether each holds a long run of white space."""
+    if len(text) < LONG_SPACE:
+        return [(text, False)]
+    out, at, end = [], 0, 0
+    for run in _SPACES.finditer(text):
+        if run.end() - run.start() < LONG_SPACE or run.end() <= end:
+            continue
+        begin, width = None, 256
+        while begin is None:  # the last safe space before the run, else where the last stretch ended
+            low = max(end, run.start() - width)
+            found = [m.start() for m in _SAFE_SPACE.finditer(text, low, run.start())]
+            begin = found[-1] if found else at if low == end else None
+            width *= 4
+        after = _SAFE_SPACE.search(text, run.end())
+        stop = after.start() if after else len(text)
+        if out and begin == at and out[-1][1]:
+            out[-1] = (out[-1][0] + text[at:stop], True)
+        else:
+            if begin > at:
+                out.append((text[at:begin], False))
+            out.append((text[begin:stop], True))
+        at = end = stop
+    if at < len(text):
+        out.append((text[at:], False))
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def _plain_tokenizer(path: str):
+    """The library's object for texts in which special strings are plain."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def encode_ordinary(path: str, text: str) -> list[int]:
+    """Ids of a text in which special strings are plain, whatever its white space."""
+    if len(text) < LONG_SPACE:
+        return core(path).encode_ordinary(text)
+    ids: list[int] = []
+    for stretch, long_space in stretches(text):
+        if long_space:
+            ids += _plain_tokenizer(path).encode(stretch, add_special_tokens=False).ids
+        else:
+            ids += core(path).encode_ordinary(stretch)
+    return ids
+
+
 class UnitMemo:
     """Values of a text's units, each computed once while it is in a bounded memo.
 
