@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, class_lm, exact_dedup, language_id, license_scan, media, packing, repeated_windows, simhash_dedup, sql, token_alignment, token_counts, toxicity
+from . import bpe_codec, class_lm, exact_dedup, language_id, license_scan, media, packing, repeated_windows, simhash_dedup, spelling_variants, sql, token_alignment, token_counts, toxicity
 from .common import id_remainder
 
 
@@ -84,11 +84,15 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(_documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_documents(spark, sf_dir))
+
+
 _ALL = (
     op1_token_counts, op2_simhash_near_dedup, op3_exact_dedup, op4_license_scan, op5_toxicity, op6_class_lm,
     op7_best_fit_packing, op8_language_id,
     op9_bpe_round_trip, op10_media_columns, op11_substring_dedup,
-    op12_tokenizer_alignment,
+    op12_tokenizer_alignment, op13_spelling_variants,
 )
 
 
