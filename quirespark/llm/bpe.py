@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import public_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -116,10 +117,7 @@ def _plain_tokenizer(path: str):
     return tokenizer
 
 
-def encode_ordinary(path: str, text: str) -> list[int]:
-    """Ids of a text in which special strings are plain, whatever its white space."""
-    if len(text) < LONG_SPACE:
-        return core(path).encode_ordinary(text)
+def _long_ids(path: str, text: str) -> list[int]:
     ids: list[int] = []
     for stretch, long_space in stretches(text):
         if long_space:
@@ -129,6 +127,16 @@ def encode_ordinary(path: str, text: str) -> list[int]:
     return ids
 
 
+def encode_ordinary(path: str, text: str) -> list[int]:
+    """Ids of a text in which special strings are plain, whatever its white space."""
+    return core(path).encode_ordinary(text) if len(text) < LONG_SPACE else _long_ids(path, text)
+
+
+def ids_of(path: str, text: str) -> np.ndarray:
+    """As ``encode_ordinary``, as an array."""
+    return core(path).encode_to_numpy(text, disallowed_special=()) if len(text) < LONG_SPACE else np.array(_long_ids(path, text), np.uint32)
+
+
 class UnitMemo:
     """Values of a text's units, each computed once while it is in a bounded memo.
 

@@ -109,7 +109,7 @@ class ChunkCodec:
         self.specials = bpe.special_strings(path)
         self.pieces = bpe.vocabulary_bytes(path)
         self.sizes = [len(self.pieces.get(i, b"")) for i in range(max(self.pieces) + 1)]
-        self.core = bpe.core(path).encode_ordinary
+        self.core = functools.partial(bpe.encode_ordinary, path)
         self.memo: dict[bytes, Chunk] = {}
         self.memo_bytes, self.used, self.reused, self.encoded, self.unsettled = memo_bytes, 0, 0, 0, 0
 

@@ -236,9 +236,8 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, schemes=SCHEM
 
 def encoded(text: str, path: str) -> bytes:
     """A text's ids as little-endian 32-bit numbers, special strings handled as the library does."""
-    ids = bpe.core(path).encode_to_numpy
     parts = bpe.split_special(text, bpe.special_strings(path))
-    return b"".join((np.array([p]) if isinstance(p, int) else ids(p, disallowed_special=())).astype("<u4").tobytes() for p in parts if p != "")
+    return b"".join((np.array([p]) if isinstance(p, int) else bpe.ids_of(path, p)).astype("<u4").tobytes() for p in parts if p != "")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
