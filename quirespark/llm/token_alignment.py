@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same text.
 
-Two pointers run over the cumulative byte ends of both token sequences: where both end, a group closes,
-and each pair of tokens whose byte ranges overlap is a link.  Stretches between safe spaces (see
+The cumulative byte ends of both token sequences are merged, a pointer into each: where both end, a group
+closes, and each pair of tokens whose byte ranges overlap is a link.  Stretches between safe spaces (see
 ``bpe.UnitMemo``) are tokenised and aligned alone; no token of either side spans such a place, so results
 of frequent words are kept.  A worker gathers documents into units of about a million words; of a unit
 each pair is handed on once with its number of links.  Spark counts pairs over all units, finds the
@@ -32,7 +32,9 @@ SECOND_VOCABULARY = "piece_bpe_32k.model"
 #: Words that a unit gathers before its pairs go out.
 UNIT_WORDS = 1_000_000
 #: Stretches of text whose alignment a worker keeps from one unit to the next, and new ones after which a unit ends.
-_MEMO, _NEW = 350_000, 250_000
+_MEMO, _NEW = 300_000, 250_000
+#: Documents whose new words are aligned together, and characters of them at a time.
+_AT_ONCE, _TOGETHER = 64, 1 << 18
 _PART = 1 << 20
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WORD_START = "▁"
@@ -65,29 +67,6 @@ def _pieces(path: str):
     return processor, found
 
 
-def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of ids between places where tokens of both sides end, and all pairs that overlap; both
-    sequences have the same number of bytes and no token of none."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_sizes[a[0]], b_sizes[b[0]]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append((a[first_a : i + 1], b[first_b : j + 1]))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return groups, links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + a_sizes[a[i]], end_b + b_sizes[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += a_sizes[a[i]]
-        else:
-            j += 1
-            end_b += b_sizes[b[j]]
-
-
 class _Parted(Exception):
     """A part between spaces that isn't a stretch by itself."""
 
@@ -100,11 +79,24 @@ class Aligner(dict):
         pieces = bpe.vocabulary_bytes(a_path)
         self.a_pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.processor, self.b_pieces = _pieces(b_path)
-        self.a_sizes, self.b_sizes = list(map(len, self.a_pieces)), list(map(len, self.b_pieces))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, p))) for p in (self.a_pieces, self.b_pieces))
+        self.shown = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
         self.forget()
 
-    def forget(self) -> None:
-        """Start afresh; numbers given so far are void."""
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Start afresh, but for ``kept`` stretches, in ascending order; numbers given so far are void."""
+        if kept is not None and len(kept):
+            parts, written = list(self), self.written
+            ends, links = np.array(self.ends), np.array(self.links)
+            sizes = ends[kept + 1] - ends[kept]
+            at = np.arange(int(sizes.sum())) + np.repeat(ends[kept] - (np.cumsum(sizes) - sizes), sizes)
+            self.clear()
+            self.update((parts[k], i) for i, k in enumerate(kept.tolist()))
+            self.written = [written[k] for k in kept.tolist()]
+            self.counts[: len(kept)] = self.counts[kept]
+            self.links = array("Q", links[at].tobytes())
+            self.ends = array("q", np.append(0, np.cumsum(sizes)).astype(np.int64).tobytes())
+            return
         self.clear()
         self.written: list[bytes] = []  # the groups of each stretch
         self.counts = np.zeros((1 << 16, 4), np.int64)  # tokens a, tokens b, groups, links; -1: the sides' bytes differ
@@ -114,26 +106,65 @@ class Aligner(dict):
     def __missing__(self, part: str) -> int:
         if not part or part[0].isspace() or part[-1].isspace():
             raise _Parted
-        return self.align(part)
-
-    def align(self, part: str) -> int:
-        text = f" {part}"
+        self.align([part])
+        return self[part]
+
+    def learn(self, texts: list[str]) -> None:
+        """Align all stretches of ``texts`` that aren't known yet, together."""
+        self.learn_parts(set().union(*(t.split(" ") for t in texts)))
+
+    def learn_parts(self, parts: set[str]) -> None:
+        new = sorted(p for p in parts if p not in self and p and not p[0].isspace() and not p[-1].isspace())
+        at = 0
+        while at < len(new):
+            end, size = at, 0
+            while end < len(new) and size < _TOGETHER:
+                size += len(new[end]) + 1
+                end += 1
+            self.align(new[at:end])
+            at = end
+
+    def align(self, parts: list[str]) -> None:
+        """Give numbers to parts, none of which is known and each of which, but a single one, has no white space at its ends.
+
+        Between parts both sides' tokens end, so that they are tokenised as one text.  Merging the ends of
+        both sides gives a link for each different end; a group closes at each end that they share.
+        """
+        text = " " + " ".join(parts)
         data = text.encode()
-        a, b = self.a_ids(text), self.processor.encode(part)
-        number = len(self.written)
-        if number == len(self.counts):
+        a, b = np.array(self.a_ids(text)), np.array(self.processor.encode(text[1:]))
+        if b"".join(map(self.b_pieces.__getitem__, b.tolist())) != data or b"".join(map(self.a_pieces.__getitem__, a.tolist())) != data:
+            if len(parts) == 1:
+                self._note(parts, np.full((1, 4), -1), [""], np.zeros(0, np.int64))
+            for part in parts if len(parts) > 1 else []:
+                self.align([part])
+            return
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        part_ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        ends = np.union1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        counts = np.stack([np.diff(np.searchsorted(x, part_ends), prepend=-1) for x in (a_ends, b_ends, shared, ends)], axis=1)
+        # Ids in the order they are written in, each with the mark that follows it.
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        marks = np.zeros(len(a) + len(b), np.int64)
+        marks[np.searchsorted(a_ends, shared)] = 1
+        marks[len(a) + np.searchsorted(b_ends, shared)] = 2
+        marks[len(a) + np.searchsorted(b_ends, part_ends)] = 3
+        ids = np.concatenate([a, b])[order].tolist()
+        written = "".join([x for i, m in zip(ids, marks[order].tolist(), strict=True) for x in (self.shown[i], ",|;\n"[m])])
+        self._note(parts, counts, written.split("\n")[:-1], links)
+
+    def _note(self, parts: list[str], counts: np.ndarray, written: list[str], links: np.ndarray) -> None:
+        first = len(self.written)
+        while first + len(parts) > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        if b"".join(map(self.a_pieces.__getitem__, a)) != data or b"".join(map(self.b_pieces.__getitem__, b)) != data:
-            self.counts[number] = -1
-            self.written.append(b"")
-        else:
-            groups, links = aligned(a, b, self.a_sizes, self.b_sizes)
-            self.counts[number] = len(a), len(b), len(groups), len(links)
-            self.written.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode())
-            self.links.extend([x << 32 | y for x, y in links])
-        self.ends.append(len(self.links))
-        self[part] = number
-        return number
+        self.counts[first : first + len(parts)] = counts
+        self.written += [w.encode() for w in written]
+        self.ends.frombytes((self.ends[-1] + np.cumsum(np.maximum(counts[:, 3], 0))).astype(np.int64).tobytes())
+        self.links.frombytes(links.astype(np.uint64).tobytes())
+        self.update(zip(parts, range(first, first + len(parts)), strict=True))
 
     def agrees(self, numbers: np.ndarray) -> bool:
         """Whether both sides' bytes are the text's in all these stretches."""
@@ -147,7 +178,11 @@ class Aligner(dict):
         except _Parted:
             cuts = [m.start() for m in _SAFE_SPACE.finditer(text)]
             parts = [text[begin:end] for begin, end in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True)]
-            return np.fromiter((self[p] if p in self else self.align(p) for p in parts), np.int64, len(parts))
+            self.learn_parts(set(parts))
+            for part in parts:
+                if part not in self:  # white space at an end
+                    self.align([part])
+            return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
 
 def parts_of(text: str) -> Iterator[str]:
@@ -217,8 +252,9 @@ class _Gatherer:
         kinds = [*numbers_, *texts, *blobs, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
         self.rows, self.words, self.unit = [], 0, self.unit + 1
-        if known > _MEMO:
-            aligner.forget()
+        if known > _MEMO:  # words that came once will hardly come again
+            kept = np.flatnonzero(uses > 1)
+            aligner.forget(kept if len(kept) <= _MEMO else None)
         yield pa.record_batch(columns, [x.split()[0] for x in _GATHERED.split(", ")])
 
     def add(self, row: int, doc_id: int | None, text: str) -> Iterator[pa.RecordBatch]:
@@ -227,6 +263,7 @@ class _Gatherer:
         aligner = self.aligner
         if len(parts) > 1:  # none of a text's links may count unless all of it agrees
             for part in parts:
+                aligner.learn([part])
                 if not aligner.agrees(aligner.numbers(part)):
                     parts = []
                     break
@@ -240,6 +277,8 @@ class _Gatherer:
                 self.words += len(numbers)
                 if self.full():
                     yield from self.flush()
+            if len(part) > _PART:
+                aligner.learn([part])
             numbers = aligner.numbers(part)
             if not aligner.agrees(numbers):
                 parts, numbers = [], numbers[:0]
@@ -267,9 +306,14 @@ def _gathered(docs: DataFrame, a_path: str, b_path: str, unit_words: int) -> Dat
         aligner.forget()
         unit = _Gatherer(aligner, row, unit_words)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                yield from unit.add(row, doc_id.as_py(), text.as_py())
-                row += 1
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                ids, texts = (batch.column(c).slice(at, _AT_ONCE).to_pylist() for c in ("doc_id", "text"))
+                if len(aligner.written) >= _MEMO + _NEW:
+                    yield from unit.flush()
+                aligner.learn([t for t in texts if len(t) <= _PART])
+                for doc_id, text in zip(ids, texts, strict=True):
+                    yield from unit.add(row, doc_id, text)
+                    row += 1
         yield from unit.flush()
 
     ship(docs.sparkSession)
