@@ -285,6 +285,6 @@ def _roots(links: DataFrame, rounds: int = 40) -> DataFrame:
         ahead = materialize(pointed.join(table.select(F.col("word").alias("root"), F.col("root").alias("further")), "root"), "ahead")
         if ahead.isEmpty():
             return table
-        moved = join_counted(table, ahead, "root", count).select("word", F.col("further").alias("root"))
-        table = materialize(moved.unionByName(table.join(ahead.select("root"), "root", "left_anti").select("word", "root")), "links")
+        moved = materialize(join_counted(table, ahead, "root", count).select("word", F.col("further").alias("root")), "moved")
+        table = materialize(moved.unionByName(table.join(moved.select("word"), "word", "left_anti")), "links")  # by word, as many may share a root
     raise RuntimeError(f"chains of forms did not end in {rounds} rounds")
