@@ -1,19 +1,21 @@
 """Ranked full-text search: a postings table, term and phrase queries, BM25.
 
-The index is three tables: postings (term, document, column, positions), document lengths and corpus
-totals.  Postings are written in buckets of their term, sorted by term, so that a query reads only its
-own terms' buckets and, within them, the row groups that hold the terms.
+``scan_search`` ranks in one pass over documents; ``SearchIndex`` is a written index, which queries read in part and changes
+add to.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.text import INDEXED_AWAY, clean_for_index, tokens
+from quirespark.sources.versions import Versions
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DEFAULT_LIMIT = 50
@@ -64,6 +66,11 @@ def _frequency(texts: Column, phrase: list[str]) -> Column:
     return F.aggregate(texts, F.lit(0), lambda s, t: s + count(t))
 
 
+def _saturated(frequency: Column, length: Column, average: Column) -> Column:
+    """What a frequency gives in a document of some length, of at most K1 + 1."""
+    return frequency * (K1 + 1) / (frequency + K1 * (1 - B + B * length / average))
+
+
 def _score(frequencies: list[Column], containing: list[Column], length: Column, documents: Column, average: Column) -> Column:
     """BM25, negated: lower is better."""
     total = F.lit(0.0)
@@ -102,63 +109,212 @@ def scan_search(docs: DataFrame, id_col: str, columns: dict[str, Column], query:
 
 
 class SearchIndex:
-    """A written index below ``path``."""
+    """A written index below ``path``, changed in place by whichever handle.
+
+    It consists of segments, which are never altered, and lists of documents that older segments hold in
+    vain; a version file names those that count (see ``Versions``).  A change writes a segment of the new
+    documents and a list of the old ones, so that it costs in proportion to itself; above ``SEGMENTS`` of
+    them the smaller ones are merged.
+
+    A segment has a table of documents (their lengths and terms, by document) and one of postings: a row
+    for each block of up to ``BLOCK`` documents that hold a term, in folders by a hash of the term, sorted
+    by term, for each share of the documents on its own.  Blocks of a term are numbered from those that
+    may score highest, and hold their greatest frequency and shortest document, from which follows what
+    any document in them can score at most.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+    BLOCK = 128
+    SEGMENTS = 8
+    #: Documents of a share, whose postings of one bucket are written by one task.
+    SHARE = 250_000
+    #: Listed documents up to which a list is broadcast.
+    LISTED = 500_000
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.versions = Versions(spark, self.path)
+        #: Postings of the last ``search``: all of its terms, and those in the blocks that it read.
+        self.last_read: dict[str, int] = {}
 
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+    # --- Writing ---
 
     def build(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> SearchIndex:
         """Write (or write anew) the index of all documents."""
-        texts = docs.select(F.col(id_col).alias("doc"), indexed_text(columns).alias("texts"))
-        terms = texts.select("doc", F.posexplode("texts").alias("column", "terms")).select("doc", "column", F.posexplode("terms").alias("position", "term"))
-        postings = terms.groupBy("term", "doc", "column").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        segment = self._write(self._texts(docs, id_col, columns))
+        # Numbered beyond all that was there, so that no list of before concerns it.
+        self.versions.change(lambda state: {"next": state.get("next", 0) + 1, "buckets": self.buckets, "segments": [segment | {"seq": state.get("next", 0)}], "gone": []})
+        return self
+
+    def remove(self, ids: DataFrame) -> SearchIndex:
+        """Take out the documents whose id is in the first column of ``ids``; ids that aren't there are no matter."""
+        return self._change(ids.select(F.col(ids.columns[0]).alias("doc")), None)
+
+    def replace(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> SearchIndex:
+        """Put these documents in, in the place of those with their ids, if there are any."""
+        return self._change(docs.select(F.col(id_col).alias("doc")), self._write(self._texts(docs, id_col, columns)))
+
+    def _change(self, ids: DataFrame, segment: dict | None) -> SearchIndex:
+        name = self.versions.fresh("gone")
+        ids.where("doc IS NOT NULL").distinct().write.parquet(f"{self.path}/{name}/ids")
+        listed = self.spark.read.parquet(f"{self.path}/{name}/ids")
+        count = listed.count()
+
+        def change(state: dict) -> dict:
+            seq, segments, gone = state.get("next", 0), state.get("segments", []), state.get("gone", [])
+            if count and segments:
+                # What the documents had, by segment and term, so that counts stay exact without reading postings.
+                lost = f"{name}/lost-{uuid.uuid4().hex}"
+                had = self._documents(state, [r["doc"] for r in listed.collect()] if count <= 1000 else None)
+                had = had.join(listed.hint("merge") if count > self.LISTED else F.broadcast(listed), "doc")
+                had.select("segment", "length", "terms").write.parquet(f"{self.path}/{lost}/documents")
+                had = self.spark.read.parquet(f"{self.path}/{lost}/documents")
+                had.select("segment", F.explode("terms").alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).sort("term").write.parquet(f"{self.path}/{lost}/terms")
+                sums = {r["segment"]: r for r in had.groupBy("segment").agg(F.count(F.lit(1)).alias("live"), F.sum("length").alias("tokens")).collect()}
+                segments = [s | {k: s[k] - sums[s["name"]][k] for k in ("live", "tokens")} if s["name"] in sums else s for s in segments]
+                gone = [*gone, {"seq": seq, "ids": f"{name}/ids", "lost": f"{lost}/terms", "rows": count}]
+            if segment and segment["live"]:
+                segments = [*segments, segment | {"seq": seq}]
+            return {"next": seq + 1, "buckets": state.get("buckets", self.buckets), "segments": segments, "gone": gone}
+
+        state = self.versions.change(change)
+        if max(len(state["segments"]), len(state["gone"])) > self.SEGMENTS:
+            self.merge(everything=len(state["gone"]) > self.SEGMENTS)
+        return self
+
+    def merge(self, everything: bool = False) -> SearchIndex:
+        """Write the smaller half of the segments (or all) anew as one, without what is gone.
+
+        If another handle changes the index meanwhile, all stays as that leaves it.
+        """
+        _, state = self.versions.current()
+        old = sorted(state.get("segments", []), key=lambda s: s["live"])
+        old = old if everything else old[: (len(old) + 1) // 2]
+        if old:
+            part = state | {"segments": old}
+            merged = self._write(self._documents(part), self._exploded(self._blocks(part), part)) | {"seq": max(s["seq"] for s in old)}
+            names = {s["name"] for s in old}
+            left = [*(s for s in state["segments"] if s["name"] not in names), *([merged] if merged["live"] else [])]
+            least = min((s["seq"] for s in left), default=state["next"])
+            new = state | {"segments": left, "gone": [g for g in state["gone"] if g["seq"] > least]}
+            self.versions.change(lambda now: new if now == state else None)
+        return self
+
+    def vacuum(self, older_than_seconds: float = 86_400) -> int:
+        """Delete segments and lists that no kept version names."""
+
+        def named(state: dict) -> set[str]:
+            names = [*(s["name"] for s in state.get("segments", [])), *(g[k] for g in state.get("gone", []) for k in ("ids", "lost"))]
+            return {"/".join(n.split("/")[:2]) for n in names}
+
+        return self.versions.vacuum(named, older_than_seconds)
+
+    def _texts(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> DataFrame:
+        return docs.select(F.col(id_col).alias("doc"), indexed_text(columns).alias("texts"))
+
+    def _write(self, docs: DataFrame, postings: DataFrame | None = None) -> dict:
+        """A segment of documents (``doc, texts``, or ``doc, length, terms`` with their postings)."""
+        name = self.versions.fresh("segment")
+        folder = f"{self.path}/{name}"
+        if postings is None:
+            length = F.aggregate("texts", F.lit(0), lambda s, t: s + F.size(t)).alias("length")
+            docs = docs.repartition("doc")  # both tables keep to it, so that texts are dealt instead of postings
+            terms = docs.select("doc", length, F.posexplode("texts").alias("column", "terms")).select("doc", "length", "column", F.posexplode("terms").alias("position", "term"))
+            place = F.shiftleft(F.col("column").cast("long"), 40) + F.col("position")
+            postings = terms.groupBy("doc", "length", "term").agg(F.sort_array(F.collect_list(place)).alias("positions"))
+            docs = docs.select("doc", length, F.array_distinct(F.flatten("texts")).alias("terms"))
+        docs.select("doc", "length", "terms").repartitionByRange("doc").sortWithinPartitions("doc").write.parquet(f"{folder}/documents")
+        docs = self.spark.read.parquet(f"{folder}/documents")
+        live, tokens = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        buckets = self.buckets if live > 10_000 else 1
+        shares = 1 + live // self.SHARE
+        impact = _saturated(F.size("positions"), F.col("length"), F.lit(max(tokens / max(live, 1), 1.0)))
+        order = Window.partitionBy("bucket", "share", "term").orderBy(impact.desc(), "doc")
         (
-            postings.withColumn("bucket", self._bucket(F.col("term")))
-            # Salted by document: a common term's postings don't land in one task.
-            .repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(8)))
-            .sortWithinPartitions("bucket", "term", "doc")
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+            postings.select("term", "doc", "length", "positions", _bucket(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(shares)).alias("share"))
+            .repartition("bucket", "share")  # what follows keeps to it
+            .withColumn("block", F.floor((F.row_number().over(order) - 1) / self.BLOCK).cast("int"))
+            .groupBy("bucket", "share", "term", "block")
+            .agg(
+                F.count(F.lit(1)).alias("n"), F.max(F.size("positions")).alias("most"), F.min("length").alias("shortest"),
+                F.collect_list(F.struct("doc", "length", "positions")).alias("held"),
+            )
+            .drop("share")
+            .sortWithinPartitions("bucket", "term", "block")
+            .write.option("parquet.block.size", str(16 << 20)).partitionBy("bucket").parquet(f"{folder}/postings")
         )
-        lengths = texts.select("doc", F.aggregate("texts", F.lit(0), lambda s, t: s + F.size(t)).alias("length"))
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths")
-        return self
+        return {"name": name, "live": live, "tokens": tokens, "buckets": buckets}
+
+    # --- Reading ---
+
+    def _each(self, state: dict, table: str) -> list[tuple[dict, DataFrame]]:
+        found = [(s, self.spark.read.parquet(f"{self.path}/{s['name']}/documents")) for s in state.get("segments", [])]
+        if table == "documents" or not found:
+            return found
+        kind = found[0][1].schema["doc"].dataType.simpleString()  # given, as a segment may have no postings
+        held = f"array<struct<doc: {kind}, length: int, positions: array<bigint>>>"
+        schema = f"term string, block int, n bigint, most int, shortest int, held {held}, bucket int"
+        return [(s, self.spark.read.schema(schema).parquet(f"{self.path}/{s['name']}/postings")) for s, _ in found]
+
+    def _documents(self, state: dict, only: list | None = None) -> DataFrame:
+        """``segment, doc, length, terms`` of the documents that count (of ``only`` those)."""
+        parts = [t.select(F.lit(s["seq"]).alias("seq"), F.lit(s["name"]).alias("segment"), "doc", "length", "terms") for s, t in self._each(state, "documents")]
+        found = functools.reduce(DataFrame.unionByName, parts)
+        return self._living(found if only is None else found.where(F.col("doc").isin(only)), state).drop("seq")
+
+    def _living(self, rows: DataFrame, state: dict) -> DataFrame:
+        """Rows of segments (``seq, doc``) but for those whose document a later list names."""
+        for g in state.get("gone", []):
+            if any(s["seq"] < g["seq"] for s in state["segments"]):
+                ids = self.spark.read.parquet(f"{self.path}/{g['ids']}").withColumnRenamed("doc", "__gone")
+                ids = F.broadcast(ids) if g["rows"] <= self.LISTED else ids
+                rows = rows.join(ids, (F.col("doc") == F.col("__gone")) & (F.col("seq") < g["seq"]), "left_anti")
+        return rows
+
+    def _blocks(self, state: dict, terms: list[str] | None = None) -> DataFrame:
+        """The blocks of all postings, or those of some terms, with their segment's number."""
+        parts = []
+        for s, found in self._each(state, "postings"):
+            if terms is not None:
+                found = found.where(F.col("bucket").isin(*self._buckets_of(terms, s["buckets"])) & F.col("term").isin(*terms))
+            parts.append(found.select(F.lit(s["seq"]).alias("seq"), F.lit(s["name"]).alias("segment"), "term", "block", "n", "most", "shortest", "held"))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def _buckets_of(self, terms: list[str], buckets: int) -> set[int]:
+        return set(self.spark.range(1).select(F.array(*(_bucket(F.lit(t), buckets) for t in terms))).first()[0])
+
+    def _exploded(self, blocks: DataFrame, state: dict) -> DataFrame:
+        return self._living(blocks.select("seq", "term", F.inline("held")), state).drop("seq")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        """``term, doc, length, positions``; a position is the column's number times 2^40 plus the term's place in it."""
+        _, state = self.versions.current()
+        return self._exploded(self._blocks(state), state)
 
     def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths")
-
-    def remove(self, ids: DataFrame) -> SearchIndex:
-        """A new index, beside this one, without the documents whose id is in the first column of ``ids``."""
-        gone = ids.select(F.col(ids.columns[0]).alias("doc"))
-        out = SearchIndex(self.spark, f"{self.path}_next", self.buckets)
-        self.postings().join(gone, "doc", "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(f"{out.path}/postings")
-        self.lengths().join(gone, "doc", "left_anti").write.mode("overwrite").parquet(f"{out.path}/lengths")
-        return out
-
-    def replace(self, docs: DataFrame, id_col: str, columns: dict[str, Column]) -> SearchIndex:
-        """A new index, beside this one, in which these documents take the place of those with their ids."""
-        new = SearchIndex(self.spark, f"{self.path}_new", self.buckets).build(docs, id_col, columns)
-        out = self.remove(docs.select(id_col))
-        new.postings().write.mode("append").partitionBy("bucket").parquet(f"{out.path}/postings")
-        new.lengths().write.mode("append").parquet(f"{out.path}/lengths")
-        return out
+        """``doc, length`` of all documents."""
+        return self._documents(self.versions.current()[1]).select("doc", "length")
 
     def search(self, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        """``doc, rank``, best first; ties by document."""
+        """``doc, rank``, best first; ties by document.
+
+        Where each phrase is one term, blocks that can't reach the first ``limit`` aren't read: a few of
+        each term's best blocks give a score that so many documents reach, and with it how much a block
+        must be able to give.  A phrase of several terms is counted in all postings of its terms.
+        """
         phrases = folded_phrases(self.spark, query)
-        lengths = self.lengths()
-        if not phrases:
-            return lengths.select("doc", F.lit(0.0).alias("rank")).where(F.lit(False))
+        _, state = self.versions.current()
+        self.last_read = {"postings": 0, "read": 0}
+        live, tokens = (sum(s[k] for s in state.get("segments", [])) for k in ("live", "tokens"))
+        if not phrases or not live:
+            return self.spark.createDataFrame([], "doc long, rank double")
         terms = sorted({t for p in phrases for t in p})
-        wanted = self.spark.range(1).select(F.array(*(self._bucket(F.lit(t)) for t in terms))).first()[0]
-        found = self.postings().where(F.col("bucket").isin(*set(wanted)) & F.col("term").isin(*terms))
-        by_column = found.groupBy("doc", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-        none = F.array().cast("array<int>")
+        blocks = self._blocks(state, terms)
+        average = tokens / live
+        if all(len(p) == 1 for p in phrases):
+            return self._best(blocks, state, [p[0] for p in phrases], live, average, limit)
+        found = self._exploded(blocks, state)
+        by_doc = found.groupBy("doc").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+        none = F.array().cast("array<bigint>")
 
         def begun(term: str, before: int) -> Column:
             return F.transform(F.coalesce(F.try_element_at("at", F.lit(term)), none), lambda x: x - before)
@@ -170,14 +326,69 @@ class SearchIndex:
             return F.size(starts)
 
         names = [f"f{i}" for i in range(len(phrases))]
-        counted = by_column.groupBy("doc").agg(*(F.sum(frequency(p)).alias(n) for n, p in zip(names, phrases, strict=True)))
-        containing = counted.agg(*(F.count(F.when(F.col(n) > 0, 1)).alias(f"n_{n}") for n in names))
-        totals = lengths.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average")).crossJoin(containing)
+        counted = by_doc.select("doc", "length", *(frequency(p).alias(n) for n, p in zip(names, phrases, strict=True)))
+        containing = counted.agg(*(F.count(F.when(F.col(n) > 0, 1)).alias(f"n_{n}") for n in names))  # one row
         hits = counted
         for n in names:
             hits = hits.where(F.col(n) > 0)
-        rank = _score([F.col(n) for n in names], [F.col(f"n_{n}") for n in names], F.col("length"), F.col("documents"), F.col("average"))
-        return hits.join(lengths, "doc").crossJoin(F.broadcast(totals)).select("doc", rank.alias("rank")).orderBy("rank", "doc").limit(limit)
+        rank = _score([F.col(n) for n in names], [F.col(f"n_{n}") for n in names], F.col("length"), F.lit(live), F.lit(average))
+        return hits.crossJoin(F.broadcast(containing)).select("doc", rank.alias("rank")).orderBy("rank", "doc").limit(limit)
+
+    def _best(self, blocks: DataFrame, state: dict, phrases: list[str], live: int, average: float, limit: int) -> DataFrame:
+        """The ranking by single terms, with as few blocks as the scores allow."""
+        terms = sorted(set(phrases))
+        bound = _saturated(F.col("most"), F.col("shortest"), F.lit(average))
+        sums = {r["term"]: r for r in blocks.groupBy("term").agg(F.sum("n").alias("n"), F.max("block").alias("last"), F.max(bound).alias("bound")).collect()}
+        lost = self._lost(state, terms)
+        held = {t: sums[t]["n"] - lost.get(t, 0) if t in sums else 0 for t in terms}
+        self.last_read["postings"] = sum(r["n"] for r in sums.values())
+        if not all(held.values()):
+            return blocks.select(F.inline("held")).select("doc", F.lit(0.0).alias("rank")).where(F.lit(False))
+        weight = {t: idf(live, held[t]) * phrases.count(t) for t in terms}
+        most = {t: weight[t] * sums[t]["bound"] for t in terms}
+
+        def ranked(read: DataFrame) -> DataFrame:
+            found = self._exploded(read, state).select("doc", "length", "term", F.size("positions").alias("f"))
+            by_term = [F.sum(F.when(F.col("term") == t, F.col("f")).otherwise(0)).alias(f"f{i}") for i, t in enumerate(terms)]
+            counted = found.groupBy("doc").agg(F.first("length").alias("length"), *by_term)
+            for i in range(len(terms)):
+                counted = counted.where(F.col(f"f{i}") > 0)
+            order = [terms.index(p) for p in phrases]
+            rank = _score([F.col(f"f{i}") for i in order], [F.lit(held[p]) for p in phrases], F.col("length"), F.lit(live), F.lit(average))
+            return counted.select("doc", rank.alias("rank")).orderBy("rank", "doc").limit(limit)
+
+        last = max(r["last"] for r in sums.values())
+        depth, reached = 1, None
+        while depth <= last:
+            row = ranked(blocks.where(F.col("block") < depth)).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("worst")).first()
+            if row["n"] == limit:
+                reached = -row["worst"]
+                break
+            depth *= 8
+        if reached is None:
+            self.last_read["read"] = self.last_read["postings"]
+            return ranked(blocks)
+        # A block counts if with the most that other terms may give it can reach what so many documents reach.
+        slack = 1e-9 * max(1.0, reached)
+        need = {t: (reached - slack - (sum(most.values()) - most[t])) / weight[t] for t in terms}
+        able = functools.reduce(lambda x, y: x | y, [(F.col("term") == t) & (bound >= need[t]) for t in terms])
+        ends = {r["term"]: r for r in blocks.where(able).groupBy("term").agg(F.max("block").alias("last"), F.sum("n").alias("n")).collect()}
+        self.last_read["read"] = sum(r["n"] for r in ends.values())
+        # Blocks are sorted by number, so that the first condition lets Parquet skip what follows.
+        return ranked(blocks.where(functools.reduce(lambda x, y: x | y, [(F.col("term") == t) & (F.col("block") <= r["last"]) for t, r in ends.items()]) & able))
+
+    def _lost(self, state: dict, terms: list[str]) -> dict[str, int]:
+        """How many postings of each term stand in segments in vain."""
+        names = [s["name"] for s in state["segments"]]
+        paths = [f"{self.path}/{g['lost']}" for g in state.get("gone", [])]
+        if not paths:
+            return {}
+        rows = functools.reduce(DataFrame.unionByName, map(self.spark.read.parquet, paths)).where(F.col("term").isin(*terms) & F.col("segment").isin(*names))
+        return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def idf(documents: int, containing: int) -> float:

@@ -28,6 +28,18 @@ def series_gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", F.array_join("missing", ",").alias("missing"))
 
 
+@query("""
+  WITH v AS (SELECT DISTINCT CASE WHEN l_suppkey % 10 = 0 THEN 0 ELSE l_suppkey END AS series, l_partkey * 100000 % 2000000011 AS n FROM lineitem),
+  g AS (SELECT series, n + 1 AS first, lead(n) OVER (PARTITION BY series ORDER BY n) - 1 AS last FROM v)
+  SELECT series, first, last FROM g WHERE first <= last""")
+def series_gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers up to two billion, and a series with a tenth of all rows."""
+    volumes = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_suppkey") % 10 == 0, 0).otherwise(F.col("l_suppkey")).alias("series"), (F.col("l_partkey") * 100000 % 2000000011).cast("string").alias("number")
+    )
+    return series.gap_ranges(volumes, "series", "number")
+
+
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     n = (k % 7).cast("string")
@@ -49,7 +61,7 @@ _NUMBERS = """
 
 @query(f"SELECT c_custkey, volume_number FROM (SELECT c_custkey, unnest({_NUMBERS}) AS volume_number FROM {_SPECS})")
 def volume_spec_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _specs(spark, sf_dir).select("c_custkey", F.explode(series.volume_numbers(F.col("spec"))).alias("volume_number"))
+    return series.volume_rows(_specs(spark, sf_dir))
 
 
 @query(f"""

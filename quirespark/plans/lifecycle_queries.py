@@ -57,6 +57,28 @@ def index_remove_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_index(spark, sf_dir).remove(table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")))
 
 
+@query(_hits_sql("""
+  SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'version licensed again' WHEN doc_id % 7 = 0 THEN 'licensed version' ELSE text END AS text
+  FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 11 = 0"""))
+def index_three_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are edited, removed, and some of either edited again, from handles that know nothing of each other."""
+    docs, index = table(spark, sf_dir, "documents"), _index(spark, sf_dir)
+    other, text_of = search.SearchIndex(spark, index.path), {"text": F.col("text")}
+    other.replace(docs.where("doc_id % 7 = 0").select("doc_id", F.lit("licensed version").alias("text")), "doc_id", text_of)
+    index.remove(docs.where("doc_id % 5 = 0").select("doc_id"))
+    other.replace(docs.where("doc_id % 11 = 0").select("doc_id", F.lit("version licensed again").alias("text")), "doc_id", text_of)
+    return _hits(index)
+
+
+@query(sql_text.bm25(
+    "SELECT doc_id, len(terms) AS length, len(list_filter(terms, lambda t: t = 'licensed')) AS f0 "
+    f"FROM (SELECT doc_id, {sql_text.terms(sql_text.cleaned('text'))} AS terms FROM documents)", ["f0"], "doc_id", 50
+))
+def index_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty by a word that many documents hold; blocks that can't reach them aren't read."""
+    return _hits(_index(spark, sf_dir), "licensed")
+
+
 @query(_hits_sql("SELECT doc_id, text FROM documents"))
 def search_unbalanced_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote that isn't closed parts words like any other mark."""

@@ -1,13 +1,19 @@
 """Operators on small tables."""
 
+import math
+import random
+import re
 import sqlite3
 from datetime import datetime
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quirespark import schemas
 from quirespark.operators import authority, cascade, catalog, covers, ingest, quality, search, series
+from quirespark.sources.versions import Conflict, Versions
 
 
 @pytest.fixture(scope="module")
@@ -145,10 +151,114 @@ def test_joined_names(spark):
 
 def test_postings_reads_only_needed_buckets(spark, docs, tmp_path):
     index = search.SearchIndex(spark, f"{tmp_path}/index", 4).build(docs, "record_id", columns())
-    plan = index.search("torah")._jdf.queryExecution().executedPlan().toString()
+    plan = index.search("old book-old")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan and "PushedFilters" in plan
 
 
+def brute_bm25(rows, terms, limit=50):
+    """(doc, rank) of documents, a dict, that hold all terms."""
+    lists = {i: re.findall(r"\w+", t.lower()) for i, t in rows.items()}
+    average = sum(map(len, lists.values())) / len(lists)
+    out = []
+    for i, words in lists.items():
+        total = 0.0
+        for t in terms:
+            n = sum(t in w for w in lists.values())
+            f = words.count(t)
+            total += search.idf(len(lists), n) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / average)) if f else -math.inf
+        out.append((i, -total))
+    return [(i, round(r, 6)) for i, r in sorted((x for x in out if x[1] < math.inf), key=lambda x: (round(x[1], 13), x[0]))[:limit]]
+
+
+def shown_hits(hits):
+    return [(r.doc, round(r["rank"], 6)) for r in hits.collect()]
+
+
+@pytest.fixture(scope="module")
+def many():
+    rng = random.Random(5)
+    return {i: " ".join(rng.choice(["rare", "often", "often", *(f"w{k}" for k in range(30))]) for _ in range(rng.randrange(1, 60))) if i % 3 else f"filler {i}" for i in range(2000)}
+
+
+def test_early_stop_reads_few_blocks_and_gives_the_whole_ranking(spark, many, tmp_path, monkeypatch):
+    monkeypatch.setattr(search.SearchIndex, "BLOCK", 8)
+    index = search.SearchIndex(spark, f"{tmp_path}/index", 4).build(spark.createDataFrame(list(many.items()), "id long, t string"), "id", {"t": F.col("t")})
+    for asked, limit in (("rare", 10), ("often rare", 10), ("w3 w4 w4", 5), ("often", 5000)):
+        assert shown_hits(index.search(asked, limit)) == brute_bm25(many, asked.split(), limit), asked
+        if asked == "rare":
+            assert 0 < index.last_read["read"] < index.last_read["postings"] / 4
+    assert index.search("often nowhere").collect() == [] and index.search("").collect() == []
+
+
+def test_index_after_changes_in_any_order_from_any_handle(spark, many, tmp_path, monkeypatch):
+    monkeypatch.setattr(search.SearchIndex, "BLOCK", 8)
+    monkeypatch.setattr(search.SearchIndex, "SEGMENTS", 3)
+    rng, held = random.Random(6), dict(list(many.items())[:300])
+    frame = lambda items: spark.createDataFrame(list(items), "id long, t string")
+    path, columns_ = f"{tmp_path}/index", {"t": F.col("t")}
+    first = search.SearchIndex(spark, path, 4).build(frame(held.items()), "id", columns_)
+    handles = [first, search.SearchIndex(spark, path, 4)]
+    handles[0].versions.kept = handles[1].versions.kept = 2
+    for step in range(5):
+        index = handles[step % 2]
+        if step % 2:
+            ids = rng.sample(sorted(held), 20)
+            index.remove(spark.createDataFrame([(i,) for i in [*ids, 10**6]], "id long"))
+            held = {i: t for i, t in held.items() if i not in ids}
+        else:
+            changed = {i: f"often rare w{i % 30} " * (1 + step) for i in [*rng.sample(sorted(held), 15), 5000 + step]}
+            index.replace(frame(changed.items()), "id", columns_)
+            held |= changed
+        asked = ("often", "rare w3")[step % 2]
+        assert shown_hits(handles[1 - step % 2].search(asked, 20)) == brute_bm25(held, asked.split(), 20), (step, asked)
+    fresh = search.SearchIndex(spark, f"{tmp_path}/fresh", 4).build(frame(held.items()), "id", columns_)
+    assert shown_hits(first.search("often-rare", 500)) == shown_hits(fresh.search("often-rare", 500))
+    assert rows(first.lengths()) == rows(fresh.lengths()) and rows(first.postings()) == rows(fresh.postings())
+    number, state = first.versions.current()
+    assert len(state["segments"]) <= 4 and number >= 6  # merges are versions, too
+    for segment in state["segments"]:
+        for file in Path(path, segment["name"], "postings").rglob("*.parquet"):
+            terms = pq.read_table(file, columns=["term"])["term"].to_pylist()
+            assert terms == sorted(terms, key=str.encode)
+    before = first.vacuum(0)
+    assert before > 0 and shown_hits(first.search("often")) == brute_bm25(held, ["often"])
+
+
+def test_a_small_change_writes_little(spark, many, tmp_path):
+    path = f"{tmp_path}/index"
+    index = search.SearchIndex(spark, path, 4).build(spark.createDataFrame(list(many.items()), "id long, t string"), "id", {"t": F.col("t")})
+    size = lambda: sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+    built = size()
+    index.replace(spark.createDataFrame([(4, "quite new")], "id long, t string"), "id", {"t": F.col("t")})
+    assert size() - built < built / 5
+    assert shown_hits(index.search("quite new"))[0][0] == 4
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    versions = Versions(spark, f"{tmp_path}/v")
+
+    def add(k):
+        return Versions(spark, f"{tmp_path}/v").change(lambda state: {"seen": [*state.get("seen", []), k]}, tries=60)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(8)))
+    number, state = versions.current()
+    assert number == 8 and sorted(state["seen"]) == list(range(8))
+    with pytest.raises(Conflict):
+        versions.publish(8, {})
+
+
+def test_index_of_documents_without_terms(spark, tmp_path):
+    index = search.SearchIndex(spark, f"{tmp_path}/index").build(spark.createDataFrame([(1, ""), (2, None)], "id long, t string"), "id", {"t": F.col("t")})
+    assert index.search("word").collect() == [] and index.lengths().count() == 2
+    index.replace(spark.createDataFrame([(2, "word")], "id long, t string"), "id", {"t": F.col("t")})
+    assert [r.doc for r in index.search("word").collect()] == [2]
+    index.remove(spark.createDataFrame([(1,), (2,)], "id long"))
+    assert index.search("word").collect() == []
+
+
 # --- Authority ------------------------------------------------------------------------------------
 
 
@@ -182,9 +292,23 @@ def test_text_matches_equal_all_pairs(spark):
     t = spark.createDataFrame(texts, "text_id long, text string")
     every = q.crossJoin(t).where(text_matches(F.col("text"), F.col("query"))).select("query_id", "text_id")
     assert rows(authority.text_match_pairs(q, t)) == rows(every)
+    assert rows(authority.text_match_pairs(q, t, automaton_bytes=0)) == rows(every)
     assert len(list(itertools.product(queries, texts))) == 2400
 
 
+def test_containment_without_queries_or_with_hot_runs(spark):
+    from quirespark.functions.authority_xml import text_matches
+
+    schema = "query_id long, query string"
+    texts = spark.createDataFrame([(i, f"a {i % 7}" if i % 3 else "the same heading") for i in range(900)], "text_id long, text string")
+    for asked in ([], [(1, "")], [(1, "."), (2, None)]):
+        queries = spark.createDataFrame(asked, schema)
+        assert authority.text_match_pairs(queries, texts).count() == authority.text_match_pairs(queries, texts, 0).count() == 0
+    queries = spark.createDataFrame([(1, "a"), (2, "same"), (3, "heading the"), (4, "a 3 and more")], schema)
+    every = queries.crossJoin(texts).where(text_matches(F.col("text"), F.col("query"))).select("query_id", "text_id")
+    assert rows(authority.text_match_pairs(queries, texts)) == rows(authority.text_match_pairs(queries, texts, 0)) == rows(every)
+
+
 # --- Cascades -------------------------------------------------------------------------------------
 
 
@@ -219,6 +343,28 @@ def test_first_hits_and_union(spark):
 # --- Series and ingest ----------------------------------------------------------------------------
 
 
+def test_wide_gaps_are_ranges(spark):
+    v = spark.createDataFrame([(1, "1"), (1, "2000000000"), (1, "x"), (2, "-3"), (2, "+1"), (2, "4096"), (2, "4096"), (3, "7"), (4, "99999999999")], "series_pk int, volume_number string")
+    assert rows(series.gap_ranges(v)) == [(1, 2, 1999999999), (2, -2, 0), (2, 2, 4095)]
+    assert rows(series.gaps(v, most=4097)) == [(1, None), (2, [-2, -1, 0, *range(2, 4096)])]
+
+
+def test_gaps_of_a_hot_series(spark):
+    rng = random.Random(8)
+    held = {k: sorted({rng.randrange(-50_000, 50_000) for _ in range(n)}) for k, n in ((1, 20_000), (2, 50), (3, 1))}
+    v = spark.createDataFrame([(k, str(n)) for k, ns in held.items() for n in ns], "series_pk int, volume_number string").repartition(6)
+    want = [(k, x + 1, y - 1) for k, ns in held.items() for x, y in zip(ns, ns[1:], strict=False) if y - x > 1]
+    assert rows(series.gap_ranges(v)) == sorted(want, key=str)
+
+
+def test_wide_specs(spark):
+    specs = spark.createDataFrame([(1, "5-30004"), (2, "1-2"), (3, "9-2"), (4, "a,b"), (5, None), (6, "1-2000000000")], "series_pk int, spec string")
+    got = series.volume_rows(specs.where("series_pk < 6"))
+    assert rows(got.groupBy("series_pk").agg(F.count("volume_number"), F.countDistinct("volume_number"))) == [(1, 30000, 30000), (2, 2, 2), (4, 2, 2)]
+    assert series.volume_rows(specs.where("series_pk = 6")).limit(3).count() == 3  # no array holds them
+    assert specs.select(series.volume_numbers(F.col("spec")).alias("n")).where("n IS NULL").count() == 2
+
+
 def test_gaps(spark):
     v = spark.createDataFrame([(1, "1"), (1, "4"), (1, "supplement"), (2, "1"), (2, "2"), (3, "x"), (1, "2.")], "series_pk long, volume_number string")
     assert rows(series.gaps(v)) == [(1, [2, 3])]
