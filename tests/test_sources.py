@@ -174,3 +174,87 @@ def test_staging(spark, tmp_path):
     images = spark.createDataFrame([("a.JPG", b"1"), ("b.png", b"2"), ("c.jpg", b"1")], "name string, content binary")
     placed = {r.name: r.image for r in tables.stage_images(images, str(tmp_path)).collect()}
     assert placed["a.JPG"] == placed["c.jpg"] != placed["b.png"] and placed["b.png"].endswith(".png")
+
+
+# --- Tables that change together ------------------------------------------------------------------
+
+
+@pytest.fixture
+def shelves(spark, tmp_path, monkeypatch):
+    from quirespark.sources import catalogue
+
+    monkeypatch.setattr(catalogue, "BUCKET_ROWS", 10)
+    made = catalogue.Catalogue(spark, f"{tmp_path}/catalogue")
+
+    def fill(draft):
+        draft.create("record", spark.createDataFrame([(i, f"t{i}", None) for i in range(40)], "record_pk long, title string, note string"), "record_pk")
+        draft.create("identifier", spark.createDataFrame([(100 + i, i % 40) for i in range(60)], "pk long, record_pk long"), "pk")
+        draft.create("image", spark.createDataFrame([(i, i) for i in range(40)], "pk long, record_pk long"), "pk")
+        draft.create("author", spark.createDataFrame([(1, "Ann"), (2, "Bob")], "pk long, name string"), "name", "pk")
+
+    made.change(fill)
+    return made
+
+
+def test_a_delete_is_published_over_all_tables_at_once(spark, shelves):
+    ids = spark.createDataFrame([(3,), (39,), (77,)], "id long")
+    shelves.delete_records(ids, {"record": "record_pk", "identifier": "record_pk"}, {"image": "record_pk"})
+    assert shelves.read("record").count() == 38 and shelves.read("identifier").where("record_pk IN (3, 39)").count() == 0
+    assert rows(shelves.read("image").where("record_pk IS NULL").select("pk")) == [(3,), (39,)] and shelves.read("image").count() == 40
+
+
+def test_a_failure_between_tables_leaves_the_old_state(spark, shelves):
+    before = {n: rows(shelves.read(n)) for n in ("record", "identifier", "image", "author")}
+    number = shelves.versions.current()[0]
+
+    def fails_midway(draft):
+        draft.delete("record", spark.createDataFrame([(1,), (2,)], "id long"))
+        assert draft.read("record").count() == 38
+        raise RuntimeError("between two tables")
+
+    with pytest.raises(RuntimeError):
+        shelves.change(fails_midway)
+    assert shelves.versions.current()[0] == number and {n: rows(shelves.read(n)) for n in before} == before
+
+
+def test_edits_touch_only_their_buckets(spark, shelves):
+    folders = shelves.versions.current()[1]["tables"]["record"]["folders"]
+    shelves.change(lambda draft: draft.upsert("record", spark.createDataFrame([(5, "new")], "record_pk long, title string")))
+    now = shelves.versions.current()[1]["tables"]["record"]["folders"]
+    assert sum(a != b for a, b in zip(folders, now, strict=True)) == 1
+    assert shelves.read("record").where("record_pk = 5").first().title == "new" and shelves.read("record").count() == 40
+    shelves.change(lambda draft: draft.upsert("record", spark.createDataFrame([(500, "added", "n")], "record_pk long, title string, note string")))
+    assert shelves.read("record").count() == 41
+
+
+def test_two_runs_at_once_create_each_name_once(spark, shelves):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(names):
+        incoming = spark.createDataFrame([(n,) for n in names], "name string")
+        shelves.change(lambda draft: draft.get_or_create("author", incoming))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(run, (["Ann", "Cid", "Dot", "Eve"], ["Dot", "Eve", "Fay", ""])))
+    found = rows(shelves.read("author").select("name", "pk"))
+    assert [n for n, _ in found] == ["Ann", "Bob", "Cid", "Dot", "Eve", "Fay"] and sorted(k for _, k in found) == [1, 2, 3, 4, 5, 6]
+    assert shelves.vacuum(0) >= 0 and shelves.read("author").count() == 6
+
+
+def test_the_cache_is_merged_when_its_tail_is_long(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(response_cache.ResponseCache, "TAIL", 3)
+    cache, t = response_cache.ResponseCache(spark, f"{tmp_path}/cache", 4), datetime(2024, 1, 1)
+    for k in range(9):
+        cache.put(spark.createDataFrame([("same", f"v{k}"), (f"k{k}", "x")], "cache_key string, data string"), t + timedelta(minutes=k))
+    cache.invalidate(spark.createDataFrame([("k2",)], "cache_key string"), t + timedelta(hours=1))
+    state = cache.versions.current()[1]
+    assert len(state["tail"]) <= 3 and cache._log(state).count() <= 10 + 2 * 3 + 1
+    want = sorted([("same", "v8"), *((f"k{k}", "x") for k in range(9) if k != 2)])
+    assert rows(cache.entries(t + timedelta(hours=2))) == want
+    cache.compact(t + timedelta(hours=2))
+    assert rows(cache.entries(t + timedelta(hours=2))) == want and cache.versions.current()[1]["tail"] == []
+    asked = spark.createDataFrame([("same",), ("k2",), ("new",)], "cache_key string")
+    assert rows(cache.misses(asked, t + timedelta(hours=2))) == [("k2",), ("new",)]
+    cache.put(spark.createDataFrame([("same", "late")], "cache_key string, data string"), t + timedelta(minutes=8))
+    assert ("same", "late") in rows(cache.entries(t + timedelta(hours=2)))  # stored last, at the same time
+    assert cache.vacuum(0) >= 0
