@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from quirespark.durable import scratch_path
 from quirespark.functions import authority_xml, json_text, marc, text
 from quirespark.operators import authority, cascade, catalog, covers, ingest, quality, search, series
 from quirespark.sources import demo, response_cache, sru, tables, vision
+from quirespark.sources.catalogue import Catalogue
+from quirespark.streaming import retention, scan_queue
 
 from . import sql_text
 from .catalog_queries import volumes
@@ -447,6 +449,75 @@ def record_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts_[0].unionByName(parts_[1]).unionByName(parts_[2])
 
 
+@query("""
+  SELECT 'supplier' AS table_name, s_suppkey AS pk, s_nationkey AS link, CASE WHEN s_suppkey % 5 = 0 THEN upper(s_name) ELSE s_name END AS what
+    FROM supplier WHERE s_suppkey % 4 <> 1
+  UNION ALL SELECT DISTINCT 'line', l_orderkey * 10 + l_linenumber, l_suppkey, l_shipmode FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) WHERE l_suppkey % 4 <> 1
+  UNION ALL SELECT 'part', p_partkey, CASE WHEN p_partkey % 100 % 4 <> 1 THEN p_partkey % 100 END, p_brand FROM part""")
+def catalogue_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are deleted with their lines, parts lose their link to them, and others are edited, in two
+    changes each of which is published over all three tables at once."""
+    rows = {
+        "supplier": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pk"), F.col("s_nationkey").cast("long").alias("link"), F.col("s_name").alias("what")),
+        "line": table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk"), F.col("l_suppkey").alias("link"), F.col("l_returnflag").alias("what")).distinct(),
+        "part": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), (F.col("p_partkey") % 100).alias("link"), F.col("p_brand").alias("what")),
+    }
+    held = Catalogue(spark, scratch_path(spark, "catalogue"))
+
+    def fill(draft) -> None:
+        for name, df in rows.items():
+            draft.create(name, df, "pk")
+
+    held.change(fill)
+    held.delete_records(rows["supplier"].where("pk % 4 = 1").select("pk"), {"supplier": "pk", "line": "link"}, {"part": "link"})
+    held.change(lambda draft: draft.upsert("supplier", draft.read("supplier").where("pk % 5 = 0").select("pk", F.upper("what").alias("what"))))
+    parts = [held.read(name).select(F.lit(name).alias("table_name"), "pk", "link", "what") for name in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+  WITH first AS (SELECT name, row_number() OVER (ORDER BY name) AS pk FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_partkey % 2 = 0)),
+  later AS (SELECT name, (SELECT count(*) FROM first) + row_number() OVER (ORDER BY name) AS pk
+            FROM (SELECT p_brand AS name FROM part UNION SELECT p_type FROM part) WHERE name NOT IN (SELECT name FROM first))
+  SELECT name, pk FROM first UNION ALL SELECT name, pk FROM later""")
+def name_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are claimed by two runs that share some; each has one number in the end."""
+    parts = table(spark, sf_dir, "part")
+    held = Catalogue(spark, scratch_path(spark, "registry"))
+    held.change(lambda draft: draft.create("name", spark.createDataFrame([], "name string, pk long"), "name", "pk"))
+    held.change(lambda draft: draft.get_or_create("name", parts.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("name"))) and None)
+    held.change(lambda draft: draft.get_or_create("name", parts.select(F.explode(F.array("p_brand", "p_type")).alias("name"))) and None)
+    return held.read("name").select("name", "pk")
+
+
+_HELD_FOR = "INTERVAL 5 DAY"
+
+
+@query(f"""
+  WITH e AS (SELECT event_id // 7 AS scan_id, event_id, ts,
+                    CASE WHEN event_id % 5 = 0 THEN 'discarded' WHEN event_id % 3 = 0 THEN 'confirmed' ELSE 'pending' END AS status FROM events),
+  a AS (SELECT * FROM e WHERE event_id % 4 <> 3), b AS (SELECT * FROM e WHERE event_id % 4 = 3),
+  mark AS (SELECT (SELECT max(ts) FROM a) - INTERVAL 1 HOUR AS before, (SELECT max(ts) FROM e) - INTERVAL 1 HOUR AS after),
+  first AS (SELECT scan_id, status, ts FROM a QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ts DESC, status DESC) = 1),
+  kept AS (SELECT scan_id, status, ts FROM first, mark WHERE NOT (status = 'discarded' AND ts + {_HELD_FOR} <= before)
+           UNION ALL SELECT scan_id, status, ts FROM b, mark WHERE ts > before),
+  last AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ts DESC, status DESC) = 1)
+  SELECT scan_id, status FROM last, mark WHERE NOT (status = 'discarded' AND ts + {_HELD_FOR} <= after)""")
+def scan_retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discarded scans go five days after, by timers on the stream's state; a quarter of the events come in
+    a second run, most of them too late."""
+    n = F.col("event_id")
+    status = F.when(n % 5 == 0, "discarded").when(n % 3 == 0, "confirmed").otherwise("pending")
+    root = scratch_path(spark, "retention")
+    events = table(spark, sf_dir, "events").select(n, F.floor(n / 7).alias("scan_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    for part in (events.where(n % 4 != 3), events.where(n % 4 == 3)):
+        part.drop("event_id").write.mode("append").parquet(f"{root}/events")
+        stream = spark.readStream.schema("scan_id long, status string, ts timestamp").parquet(f"{root}/events")
+        states = retention.expiring_states(stream, timedelta(days=5))
+        scan_queue.write_changes(states, f"{root}/states", f"{root}/progress", gone="expired").awaitTermination()
+    return scan_queue.current_states(spark, f"{root}/states", gone="expired").select("scan_id", "status")
+
+
 @query("""
   SELECT CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS key, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1""")
 def uniqueness_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

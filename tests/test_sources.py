@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quirespark import schemas
 from quirespark.operators import quality
 from quirespark.sources import response_cache, sru, tables, vision
-from quirespark.streaming import scan_queue
+from quirespark.sources.versions import Versions
+from quirespark.streaming import retention, scan_queue
 
 
 def rows(df):
@@ -129,7 +130,7 @@ EVENTS = [(1, "pending", 1), (2, "pending", 1), (1, "confirmed", 3), (3, "discar
 
 def _write_events(spark, path, events):
     df = spark.createDataFrame(events, "scan_id long, status string, s int")
-    df.select("scan_id", "status", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    df.select("scan_id", "status", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts")).coalesce(1).write.mode("append").parquet(path)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -137,7 +138,8 @@ def test_stream_equals_batch(spark, tmp_path):
     _write_events(spark, path, EVENTS)
     batch = scan_queue.latest_status(spark.read.parquet(path))
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    scan_queue.run_to_memory(scan_queue.latest_status(stream), "states", f"{tmp_path}/cp").awaitTermination()
+    query = scan_queue.latest_status(stream).writeStream.outputMode("complete").format("memory").queryName("states")
+    query.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("states").select("scan_id", "status")) == rows(batch.select("scan_id", "status")) == [(1, "confirmed"), (2, "pending"), (3, "discarded")]
 
 
@@ -151,6 +153,47 @@ def test_states_are_kept_across_batches(spark, tmp_path):
     assert rows(scan_queue.current_states(spark, out).select("scan_id", "status")) == [(1, "confirmed"), (2, "confirmed"), (3, "discarded")]
 
 
+def test_a_batch_writes_only_what_it_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan_queue, "BATCHES", 3)
+    path, out = f"{tmp_path}/events", f"{tmp_path}/states"
+
+    def run():
+        stream = spark.readStream.schema("scan_id long, status string, ts timestamp").parquet(path)
+        scan_queue.upsert_states(stream, out, f"{tmp_path}/cp").awaitTermination()
+
+    _write_events(spark, path, [(i, "pending", i) for i in range(500)])
+    run()
+    for k in range(5):  # each from the checkpoint, in a query of its own
+        _write_events(spark, path, [(i, "confirmed", 1000 + k) for i in range(10 * k, 10 * k + 10)])
+        run()
+        state = Versions(spark, out).current()[1]
+        if state["batches"]:
+            assert spark.read.parquet(f"{out}/{state['batches'][-1]}").count() == 10
+    assert len(state["batches"]) <= 3 and state["base"]
+    found = scan_queue.current_states(spark, out)
+    assert found.count() == 500 and found.where("status = 'confirmed'").count() == 50
+
+
+def test_discarded_scans_expire_by_event_time(spark, tmp_path):
+    path, out = f"{tmp_path}/events", f"{tmp_path}/states"
+    hour = 3600
+
+    def run(events):
+        _write_events(spark, path, events)
+        stream = spark.readStream.schema("scan_id long, status string, ts timestamp").parquet(path)
+        states = retention.expiring_states(stream, timedelta(hours=10), delay="1 hour")
+        scan_queue.write_changes(states, out, f"{tmp_path}/cp", gone="expired").awaitTermination()
+        return {r.scan_id: r.status for r in scan_queue.current_states(spark, out).collect()}
+
+    first = [(1, "pending", 0), (1, "discarded", hour), (2, "discarded", hour), (2, "pending", 2 * hour), (3, "discarded", 9 * hour), (4, "confirmed", 0), (None, "discarded", 0)]
+    assert run(first) == {1: "discarded", 2: "pending", 3: "discarded", 4: "confirmed"}
+    # The watermark comes to 12 h: the first has been discarded for more than 10; the second moved on in time.
+    assert run([(5, "pending", 13 * hour)]) == {1: "expired", 2: "pending", 3: "discarded", 4: "confirmed", 5: "pending"}
+    # Late for any scan: dropped.  In time: a scan that expired begins anew.
+    assert run([(4, "discarded", 11 * hour), (1, "pending", 13 * hour), (6, "pending", 30 * hour)]) == {1: "pending", 2: "pending", 3: "expired", 4: "confirmed", 5: "pending", 6: "pending"}
+    assert scan_queue.current_states(spark, out, gone="expired").count() == 5
+
+
 @pytest.mark.parametrize("status", schemas.SCAN_STATUSES)
 def test_statuses(status):
     assert status in ("pending", "confirmed", "discarded")
