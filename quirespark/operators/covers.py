@@ -29,8 +29,12 @@ def without_cover(records: DataFrame, identifiers: DataFrame, record: str = "rec
     return records.where(F.col("cover_url") == "").join(identifiers.select(record), record, "left_semi")
 
 
+def wanted_covers(records: DataFrame, identifiers: DataFrame, record: str = "record_pk", base_url: str = "https://covers.example.org/b") -> DataFrame:
+    """Candidates of the records without a cover, for ``sources.sru.first_covers``."""
+    wanting = without_cover(records, identifiers, record).select(record)
+    return cover_candidates(identifiers.join(wanting, record, "left_semi"), record, base_url)
+
+
 def backfill(records: DataFrame, identifiers: DataFrame, sizes: DataFrame, record: str = "record_pk", base_url: str = "https://covers.example.org/b") -> DataFrame:
     """``record, cover_url`` that records without a cover would get: a report, and the changes for an upsert."""
-    wanting = without_cover(records, identifiers, record).select(record)
-    candidates = cover_candidates(identifiers.join(wanting, record, "left_semi"), record, base_url)
-    return best_covers(candidates, sizes, record)
+    return best_covers(wanted_covers(records, identifiers, record, base_url), sizes, record)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.error
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -540,7 +541,28 @@ def cover_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise TimeoutError
         return 99 + (len(url) + 1) % 2
 
-    return covers.backfill(records, found, sru.cover_sizes(covers.cover_candidates(found), fetch))
+    return sru.first_covers(covers.wanted_covers(records, found), fetch, delay=0)  # the stand-in needs no pause
+
+
+@query("""
+  SELECT n_nationkey, catalog, query, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'HTTP error: <urlopen error refused>' END AS error,
+         CASE WHEN n_nationkey % 3 = 0 THEN CASE catalog WHEN 'VIAF' THEN '<r>maximumRecords,query,recordSchema=VIAF</r>'
+           ELSE '<r>maximumRecords,operation,query,recordSchema,version=marcxml</r>' END ELSE '' END AS data
+  FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'VIAF' ELSE 'LC' END AS catalog, 'local.names all ' || n_name AS query FROM nation)""")
+def sru_over_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of requests to two catalogues, asked by tasks that take turns; the answers tell the parameters."""
+    nations = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "VIAF").otherwise("LC").alias("catalog"), F.concat(F.lit("local.names all "), "n_name").alias("query")
+    )
+    refused = {r.query for r in nations.where("n_nationkey % 3 <> 0").select("query").collect()}  # of a row for each nation
+
+    def answer(base_url: str, params: dict[str, str]) -> str:
+        if params["query"] in refused:
+            raise urllib.error.URLError("refused")
+        return f"<r>{','.join(sorted(params))}={params['recordSchema']}</r>"
+
+    asked = sru.requests(nations, sru.endpoints(spark)).repartition(4)
+    return sru.fetched(asked, delay=0.01, get=answer).select("n_nationkey", "catalog", "query", "error", "data")
 
 
 @query("""

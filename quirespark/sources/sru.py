@@ -18,11 +18,17 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quirespark.durable import written
 from quirespark.functions.text import cache_key, quote_cql_values
+from quirespark.shipping import ship
+
+from .turns import Queue, serve
 
 TIMEOUT, DELAY = 30.0, 3.0
 RESULT = "query string, success boolean, data string, error string"
@@ -31,8 +37,10 @@ ENDPOINTS = (
     ("NLI", "https://nli.alma.exlibrisgroup.com/view/sru/972NNL_INST", "1.2", True, "marcxml", 20),
     ("LC", "http://lx2.loc.gov:210/LCDB", "1.1", False, "marcxml", 20),
     ("DNB", "https://services.dnb.de/sru/dnb", "1.1", False, "MARC21-xml", 20),
-    ("VIAF", "https://viaf.org/viaf/search", "1.1", False, "", 10),
+    ("VIAF", "https://viaf.org/viaf/search", "", False, "VIAF", 10),
 )
+#: What requests say of themselves.
+HEADERS = {"Accept": "application/xml", "User-Agent": "quirespark (library catalogue; gentle)"}
 
 
 def endpoints(spark: SparkSession) -> DataFrame:
@@ -43,12 +51,13 @@ def endpoints(spark: SparkSession) -> DataFrame:
 
 
 def parameters(query: Column, version: Column | str = "1.1", max_records: Column | int = 20, record_schema: Column | str = "marcxml") -> Column:
-    """The parameters of a request, as a map."""
+    """The parameters of a request, as a map; a catalogue without a version, VIAF, gets neither version nor operation."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.create_map(
+    every = F.create_map(
         F.lit("operation"), F.lit("searchRetrieve"), F.lit("version"), as_column(version), F.lit("query"), query,
         F.lit("maximumRecords"), as_column(max_records).cast("string"), F.lit("recordSchema"), as_column(record_schema),
     )
+    return F.when(as_column(version) != "", every).otherwise(F.map_filter(every, lambda k, _: ~k.isin("operation", "version")))
 
 
 def requests(queries: DataFrame, catalogs: DataFrame) -> DataFrame:
@@ -76,6 +85,43 @@ def outcome(get: Callable[[], str]) -> tuple[bool, str, str]:
     return True, text, ""
 
 
+def http_text(base_url: str, params: dict[str, str], timeout: float = TIMEOUT) -> str:
+    """What an address answers."""
+    asked = urllib.request.Request(f"{base_url}?{urllib.parse.urlencode(params)}", headers=HEADERS)
+    with urllib.request.urlopen(asked, timeout=timeout) as reply:
+        return reply.read().decode("utf-8", "replace")
+
+
+def fetched(requested: DataFrame, delay: float | None = None, get: Callable[[str, dict[str, str]], str] = http_text) -> DataFrame:
+    """A table of requests (see ``requests``) with ``success, data, error`` of each answer.
+
+    Requests are asked where they are, by however many tasks; for each address they take turns, ``delay``
+    seconds apart (by default ``SRU_REQUEST_DELAY`` or 3).  Answers are written down, so that nothing that
+    follows asks again.  What goes wrong is data, so that one catalogue's failure doesn't stop another's job.
+    """
+    spark = requested.sparkSession
+    delay = float(os.environ.get("SRU_REQUEST_DELAY", DELAY)) if delay is None else delay
+    at = serve(spark) if delay > 0 else None
+    names = ["success", "data", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                base_url, params = one.column("base_url")[0].as_py(), dict(one.column("params")[0].as_py() or [])
+                if at:
+                    turns = turns or Queue(at)
+                    turns.wait(base_url, delay)
+                answer = outcome(lambda u=base_url, p=params: get(u, p))
+                yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x]) for x in answer)], names=[*one.schema.names, *names])
+
+    ship(spark)
+    kinds = (T.BooleanType(), T.StringType(), T.StringType())
+    schema = T.StructType([*requested.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+    return written(requested.mapInArrow(run, schema), "answers")
+
+
 _LAST: dict[str, float] = {}
 
 
@@ -110,13 +156,10 @@ class SruReader(DataSourceReader):
                 raise urllib.error.URLError("no stored answer")
             return answers[query]
         wait(o["base_url"], sharing * float(o.get("delay", os.environ.get("SRU_REQUEST_DELAY", DELAY))))
-        params = {
-            "operation": "searchRetrieve", "version": o.get("version", "1.1"), "query": query,
-            "maximumRecords": o.get("max_records", "20"), "recordSchema": o.get("record_schema", "marcxml"),
-        }
-        url = f"{o['base_url']}?{urllib.parse.urlencode(params)}"
-        with urllib.request.urlopen(url, timeout=float(o.get("timeout", TIMEOUT))) as reply:
-            return reply.read().decode("utf-8", "replace")
+        params = {"query": query, "maximumRecords": o.get("max_records", "20"), "recordSchema": o.get("record_schema", "marcxml")}
+        if version := o.get("version", "1.1"):
+            params = {"operation": "searchRetrieve", "version": version} | params
+        return http_text(o["base_url"], params, float(o.get("timeout", TIMEOUT)))
 
     def read(self, partition: _One) -> Iterator[tuple]:
         for query in partition.queries:
@@ -148,24 +191,59 @@ def replayed(requested: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select(*requested.columns, good.alias("success"), F.when(good, text).otherwise("").alias("data"), error.alias("error"))
 
 
+#: Bytes from which on an image isn't a blank; no more are read.
+LEAST_BYTES = 100
+
+
 def http_size(url: str, timeout: float = 5.0) -> int:
-    """How many bytes the address answers with."""
-    with urllib.request.urlopen(url, timeout=timeout) as reply:
-        return len(reply.read())
+    """How many bytes the address answers with, of those that tell an image from a blank."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": HEADERS["User-Agent"]}), timeout=timeout) as reply:
+        return len(reply.read(LEAST_BYTES + 1))
 
 
 def cover_sizes(candidates: DataFrame, fetch: Callable[[str], int] = http_size) -> DataFrame:
-    """``url, body_size`` of candidates' images, by ``fetch``, which gives the number of bytes; failures are 0."""
-    from pyspark.sql.functions import pandas_udf
+    """``url, body_size`` of candidates' images, by ``fetch``, which gives the number of bytes; failures are 0.
 
-    @pandas_udf("long")
+    Sizes are written down, so that nothing that follows asks again.
+    """
+
+    @F.pandas_udf("long")
     def size(urls):
-        def one(url: str) -> int:
-            try:
-                return int(fetch(url))
-            except Exception:  # a source's failure is data here
-                return 0
+        return urls.map(lambda url: _size(url, fetch)).astype("int64")
+
+    ship(candidates.sparkSession)
+    return written(candidates.select("url").distinct().withColumn("body_size", size("url")), "sizes")
 
-        return urls.map(one).astype("int64")
 
-    return candidates.select("url").distinct().withColumn("body_size", size("url"))
+def _size(url: str, fetch: Callable[[str], int]) -> int:
+    try:
+        return int(fetch(url))
+    except Exception:  # a source's failure is data here
+        return 0
+
+
+def first_covers(candidates: DataFrame, fetch: Callable[[str], int] = http_size, delay: float = 0.5, record: str = "record_pk") -> DataFrame:
+    """``record, cover_url``: of each record's candidates (``record, priority, url``) the first whose image is
+    large enough; later ones are asked only where earlier ones failed.
+
+    All tasks together begin a record every ``delay`` seconds.  Answers are written down.
+    """
+    spark = candidates.sparkSession
+    at = serve(spark) if delay > 0 else None
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("priority", "url"))), lambda c: c["url"])
+    asked = candidates.groupBy(record).agg(ranked.alias("__urls"))  # three of a record at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = None
+        for batch in batches:
+            found = []
+            for urls in batch.column("__urls"):
+                if at:
+                    turns = turns or Queue(at)
+                    turns.wait("covers", delay)
+                found.append(next((url for url in urls.as_py() if _size(url, fetch) >= LEAST_BYTES), None))
+            yield pa.RecordBatch.from_arrays([batch.column(record), pa.array(found, pa.string())], names=[record, "cover_url"])
+
+    ship(spark)
+    schema = T.StructType([asked.schema[record], T.StructField("cover_url", T.StringType())])
+    return written(asked.mapInArrow(run, schema), "covers").where("cover_url IS NOT NULL")

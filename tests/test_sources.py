@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark import schemas
-from quirespark.operators import quality
-from quirespark.sources import response_cache, sru, tables, vision
+from quirespark.operators import covers, quality
+from quirespark.sources import response_cache, sru, tables, turns, vision
 from quirespark.sources.versions import Versions
 from quirespark.streaming import retention, scan_queue
 
@@ -219,6 +219,68 @@ def test_staging(spark, tmp_path):
     assert placed["a.JPG"] == placed["c.jpg"] != placed["b.png"] and placed["b.png"].endswith(".png")
 
 
+def test_requests_of_all_tasks_keep_their_distance(spark, tmp_path):
+    """Two partitions, one of whose tasks fails once, after it has asked: no two requests are nearer than the delay."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def get(base_url, params):
+        import os
+        import time
+        from pathlib import Path
+
+        name = f"{params['query']}-{os.getpid()}-{time.time_ns()}"
+        Path(log, name).write_text(str(time.time()))
+        return f"<r>{params['query']}</r>"
+
+    asked = spark.createDataFrame([("a", f"q{k}") for k in range(6)], "base_url string, q string").repartition(2)
+    asked = asked.select("base_url", F.create_map(F.lit("query"), "q").alias("params"), "q")
+    found = sru.fetched(asked, 0.2, get)
+    assert rows(found.select("q", "success", "data")) == [(f"q{k}", True, f"<r>q{k}</r>") for k in range(6)]
+    found = sru.fetched(asked, 0.2, get)  # all of it again, as after a failure
+    found.count()
+    times = sorted(float(f.read_text()) for f in log.iterdir())
+    assert len(times) == 12 and min(y - x for x, y in zip(times, times[1:], strict=False)) > 0.15
+
+
+def test_turns():
+    now = [0.0]
+    line = turns.Turns(lambda: now[0])
+    assert [line.take("a", 3), line.take("a", 3), line.take("b", 3)] == [0, 3, 0]
+    now[0] = 100.0
+    assert [line.take("a", 3), line.take("a", 0.5), line.take("a", 1)] == [0, 3, 3.5]
+
+
+def test_covers_stop_at_the_first_image(spark, tmp_path):
+    log = tmp_path / "fetched"
+    log.mkdir()
+
+    def fetch(url):
+        import time
+        from pathlib import Path
+
+        Path(log, f"{url.replace('/', '_')}-{time.time_ns()}").touch()
+        if "bad" in url:
+            raise TimeoutError
+        return 43 if "blank" in url else 101
+
+    ids = spark.createDataFrame(
+        [(1, "ISBN", "good"), (1, "OCLC", "x"), (2, "ISBN", "blank"), (2, "OCLC", "bad"), (2, "LCCN", "z"), (3, "ISBN", "bad"), (4, "ISBN", "had")],
+        "record_pk long, identifier_type string, value string",
+    )
+    records = spark.createDataFrame([(1, ""), (2, ""), (3, ""), (4, "one"), (5, "")], "record_pk long, cover_url string")
+    found = sru.first_covers(covers.wanted_covers(records, ids, base_url="b"), fetch, delay=0.05)
+    assert rows(found) == rows(found) == [(1, "b/isbn/good-M.jpg"), (2, "b/lccn/z-M.jpg")]
+    assert sorted(f.name.split("-M")[0] for f in log.iterdir()) == ["b_isbn_bad", "b_isbn_blank", "b_isbn_good", "b_lccn_z", "b_oclc_bad"]
+
+
+def test_viaf_requests(spark):
+    asked = spark.createDataFrame([("VIAF", "q"), ("LC", "q")], "catalog string, query string")
+    found = {r.catalog: r.params for r in sru.requests(asked, sru.endpoints(spark)).collect()}
+    assert found["VIAF"] == {"query": "q", "maximumRecords": "10", "recordSchema": "VIAF"}
+    assert found["LC"]["operation"] == "searchRetrieve" and found["LC"]["recordSchema"] == "marcxml"
+
+
 # --- Tables that change together ------------------------------------------------------------------
 
 
