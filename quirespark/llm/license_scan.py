@@ -1,10 +1,12 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-A file's segments are its lines, runs of two to four lines, as wrapped headers are, and the sentences of
+A file's own licence is what its identifier lines say, by exact match of each identifier, or else that of the
+nearest template.  A file's segments are its lines, runs of two to four lines, as wrapped headers are, and the sentences of
 these; a licence file as a whole is one, too.  Each is a vector over terms (runs of a-z and 0-9 in lower
 case, so that comment marks are no matter), weighted by how rarely documents hold a term; a term that
 fewer than one in ``RAREST`` hold weighs as if so many did, so that verdicts don't move with the number of
-documents.  Terms that no template has lengthen a vector as the rarest would.  The nearest template, from
+documents.  Terms that no template has lengthen a vector as the rarest would.  A template is out of the
+question for a segment that states versions, but not the template's, or that states none where there are several.  The nearest template, from
 ``threshold`` on, is the segment's licence; the nearest segment gives the file's.  A directory has the
 licence of its licence file; a file without a notice of its own takes that of the nearest directory above
 it that has one.
@@ -37,16 +39,36 @@ NOTICES = (
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0"),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0"),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("ISC", "ISC License"),
     ("ISC", "Released under the ISC License"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MIT", "MIT License"),
@@ -58,9 +80,20 @@ NOTICES = (
     ("Proprietary", "Copyright. All rights reserved"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: The notice that sources under a licence of the GNU family bear, and which say which.
+_GNU = (
+    ("AGPL-3.0", "GNU Affero General Public License", "3"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+)
+_GNU_NOTICES = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software"
+    " Foundation, either version {} of the License, or (at your option) any later version",
+    "under the terms of the {} as published by the Free Software Foundation, either version {} of the License",
+    "you can redistribute it and/or modify it under the terms of the {} version {} as published by the Free Software Foundation",
+)
 IDENTIFIERS = (
-    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0",
-    "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense",
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense",
 )
 #: Licence texts, for licence files as a whole.
 _REDISTRIBUTION = (
@@ -108,14 +141,18 @@ TEXTS = (
 )
 
 
-def _identifier_notices(names=IDENTIFIERS) -> tuple[tuple[str, str], ...]:
-    """Header lines with a licence's identifier; those of the GNU licences may say "only" or "or later"."""
-    suffixes = lambda n: ("", "-only", "-or-later") if "GPL" in n else ("",)
-    return tuple((n, f"SPDX-License-Identifier: {n}{s}") for n in names for s in suffixes(n))
+def _gnu_notices() -> tuple[tuple[str, str], ...]:
+    return tuple((name, wording.format(title, version)) for name, title, version in _GNU for wording in _GNU_NOTICES)
 
 
 #: Templates for segments, then those for licence files as a whole.
-TEMPLATES = (NOTICES + _identifier_notices(), TEXTS)
+TEMPLATES = (NOTICES + _gnu_notices(), TEXTS)
+#: A line with identifiers, which are taken as they are written, not compared by terms.
+IDENTIFIER_LINE = "(?i)SPDX-License-Identifier:[ \\t]*([^\\r\\n]*)"
+#: Numbers that are versions, and what there may be after a known identifier.
+VERSIONS, LATER = r"(?:version|v\.?) *[0-9]+(?:\.[0-9]+)?|[0-9]+\.[0-9]+", r"(-only|-or-later|\+)$"
+#: A notice of three clauses holds that of two.
+WIDER, NARROWER = "BSD-2-Clause", "BSD-3-Clause"
 THRESHOLD = 0.8
 RAREST = 1000
 WINDOW = 4  # lines of the longest run
@@ -201,7 +238,38 @@ def segments_of(text: Column, notice: str) -> Column:
 
     with_sentences = lambda found: F.concat(found, F.flatten(F.transform(found, lambda run: F.split(run, SENTENCE_END))))
     every = _with(_with(_with(F.split(text, "\n"), marked), runs), with_sentences)
-    return F.filter(F.array_distinct(every), lambda segment: segment.rlike(notice))
+    return F.filter(F.array_distinct(every), lambda segment: segment.rlike(notice) & ~segment.rlike(IDENTIFIER_LINE))
+
+
+def _versions(segment: Column) -> Column:
+    """The versions that a segment states, each with one point at least."""
+    stated = F.regexp_extract_all(F.translate(segment, UPPER, LOWER), F.lit(VERSIONS), F.lit(0))
+    plain = F.transform(stated, lambda v: F.regexp_extract(v, r"[0-9.]*[0-9]$", 0))
+    return F.transform(plain, lambda v: F.when(F.contains(v, F.lit(".")), v).otherwise(F.concat(v, F.lit(".0"))))
+
+
+def _version_of(name: str) -> str | None:
+    last = name.rpartition("-")[2]
+    return last if last.replace(".", "").isdigit() else None
+
+
+def _several(templates) -> set[str]:
+    """Licences of which the templates know several versions, so that a segment must state its own."""
+    names = {name for kind in templates for name, _ in kind if _version_of(name)}
+    kinds = [name.rpartition("-")[0] for name in names]
+    return {name for name in names if kinds.count(name.rpartition("-")[0]) > 1}
+
+
+def _identified(text: Column) -> Column:
+    """A licence for each identifier line of a text that has known ones: in order of name, with what stands between."""
+    known = F.array(*map(F.lit, IDENTIFIERS))
+
+    def licence(line: Column) -> Column:
+        named = F.transform(F.regexp_extract_all(line, F.lit("[A-Za-z0-9.+-]+"), F.lit(0)), lambda t: F.regexp_replace(t, LATER, ""))
+        names = F.array_sort(F.array_intersect(named, known))
+        return F.when(line.rlike(r"\bOR\b"), F.array_join(names, " OR ")).otherwise(F.array_join(names, " AND "))
+
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER_LINE), F.lit(1)), licence), lambda name: name != "")
 
 
 def _directory(path: Column) -> Column:
@@ -213,7 +281,8 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
          templates=TEMPLATES) -> DataFrame:
     """``doc_id, path, license, score, origin, inherited_from`` for each row of ``files``.
 
-    ``origin`` is ``notice`` (the file's own, ``score`` its cosine), ``inherited`` or ``none``.  Of
+    ``origin`` is ``notice`` (the file's own, ``score`` its cosine, or 1 of an identifier), ``inherited`` or ``none``.
+    An identifier line with several gives them all (``Apache-2.0 OR MIT``); unknown ones are left out.  Of
     equally near templates the first by name, of several licence files of a directory the nearest, then
     the first by path, counts; a licence file's text as a whole counts as a segment, too.  Null texts
     count as empty; rows without a path have no licence; repeated rows, and rows of one path, share
@@ -226,20 +295,31 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
     space = Space(*document_frequency(rows, templates), templates)
     notice, whole = space.needed(threshold, 0), space.needed(threshold, 1)
     noticed, licensed_as_a_whole = F.col("text").rlike(notice), F.col("path").rlike(LICENCE_FILE) & F.col("text").rlike(whole)
+    stated = F.col("text").rlike(IDENTIFIER_LINE)
     segments = F.array_union(
         F.when(F.col("noticed"), segments_of(F.col("text"), notice)).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("path").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("path").rlike(LICENCE_FILE) & ~F.col("stated"), F.array("text")).otherwise(F.array().cast("array<string>")),
+    )
+    near = rows.where(F.col("path").isNotNull()).withColumns({"noticed": noticed, "stated": stated}).where(F.col("noticed") | F.col("stated") | licensed_as_a_whole)
+    whole_names = F.when(F.col("stated"), _identified(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    # An identifier's segment is its licence, of score 1.
+    both_kinds = F.concat(
+        F.transform(segments, lambda x: F.struct(x.alias("segment"), F.lit(None).cast("string").alias("license"))),
+        F.transform(whole_names, lambda x: F.struct(F.lit(None).cast("string").alias("segment"), x.alias("license"))),
     )
-    near = rows.where(F.col("path").isNotNull()).withColumn("noticed", noticed).where(F.col("noticed") | licensed_as_a_whole)
-    cut = near.select("path", F.explode(segments).alias("segment")).distinct().withColumn("number", F.monotonically_increasing_id())
+    cut = near.select("path", F.inline(both_kinds)).distinct().withColumn("number", F.monotonically_increasing_id())
     cut = materialize(cut, "segments")
 
     # Few segments are left; their terms are counted and weighed.  Rows carry a segment's number, not its text.
     weights = _table(spark, [{"term": t, "weight": w} for t, w in sorted(space.weight.items())], "term string, weight double")
+    several = _several(templates)
     vectors = _table(
         spark,
-        [{"term": t, "template": number, "license": name, "value": v} for kind in space.vectors for number, name, vector in kind for t, v in vector.items()],
-        "term string, template int, license string, value double",
+        [
+            {"term": t, "template": number, "license": name, "version": _version_of(name), "several": name in several, "narrows": kind == 0 and name == NARROWER, "value": v}
+            for kind, found in enumerate(space.vectors) for number, name, vector in found for t, v in vector.items()
+        ],
+        "term string, template int, license string, version string, several boolean, narrows boolean, value double",
     )
     counted = (
         cut.select("number", F.explode(terms_of(F.col("segment"))).alias("term")).where("term <> ''")
@@ -248,11 +328,17 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
         .select("number", "term", (F.col("n") * F.coalesce("weight", F.lit(space.unseen))).alias("w"))
     )
     lengths = counted.groupBy("number").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = counted.join(F.broadcast(vectors), "term").groupBy("number", "template", "license").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
-    placed = cut.select("number", "path")
-    cosines = dots.join(lengths, "number").join(placed, "number").select("path", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
-    best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license")))
-    own = materialize(cosines.where(F.col("score") >= threshold).groupBy("path").agg(best.alias("own")), "own")
+    dots = counted.join(F.broadcast(vectors), "term").groupBy("number", "template", "license", "version", "several", "narrows").agg(F.sum(F.col("w") * F.col("value")).alias("dot"))
+    placed = cut.where("segment is not null").select("number", "path", _versions(F.col("segment")).alias("versions"))
+    fits = F.col("version").isNull() | (F.size("versions") == 0) & ~F.col("several") | F.array_contains("versions", F.col("version"))
+    cosines = dots.join(lengths, "number").join(placed, "number").where(fits).select("path", "license", "narrows", F.round(F.col("dot") / F.col("length"), 6).alias("score"))
+    said = cut.where("license is not null").select("path", "license", (F.col("license") == NARROWER).alias("narrows"), F.lit(1.0).alias("score"))
+    found = cosines.where(F.col("score") >= threshold).unionByName(said)
+    order = F.struct(-F.col("score"), F.col("license"))
+    best = F.min_by(F.struct("license", "score"), order)
+    narrow = F.min_by(F.struct("license", "score"), F.when(F.col("license") != WIDER, order))  # rows without an order are passed over
+    own = F.when(F.max("narrows"), narrow).otherwise(best)
+    own = materialize(found.groupBy("path").agg(own.alias("own")), "own")
 
     # Directories: those with a licence file, and for every directory with files the nearest of them above.
     licence_files = own.where(F.col("path").rlike(LICENCE_FILE)).withColumn("directory", _directory(F.col("path")))
@@ -291,6 +377,7 @@ def oracle_sql(files: str, threshold: float = THRESHOLD, templates=TEMPLATES) ->
     quoted = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(both))
     terms = lambda x: f"regexp_split_to_array(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+')"
     file_like = LICENCE_FILE
+    identifiers, several = (", ".join(f"'{i}'" for i in names) for names in (IDENTIFIERS, sorted(_several(templates))))
     return f"""
 WITH files AS ({files}),
 templates(template, license, wording) AS (VALUES {quoted}),
@@ -321,6 +408,14 @@ segments AS (
     SELECT path, unnest(list_prepend(run, regexp_split_to_array(run, '{SENTENCE_END}'))) AS segment FROM runs
     UNION ALL
     SELECT path, coalesce(text, '') FROM files WHERE regexp_matches(path, '{file_like}')
+  ) WHERE path IS NOT NULL AND (segment = '' OR NOT regexp_matches(segment, '{IDENTIFIER_LINE}') OR path IN (SELECT path FROM files WHERE text = segment))
+),
+stated AS (
+  SELECT DISTINCT path, CASE WHEN regexp_matches(line, '(^|[^A-Za-z0-9_])OR([^A-Za-z0-9_]|$)') THEN array_to_string(names, ' OR ') ELSE array_to_string(names, ' AND ') END AS license
+  FROM (
+    SELECT path, line, list_sort(list_distinct(list_filter(
+      list_transform(regexp_extract_all(line, '[A-Za-z0-9.+-]+'), lambda t: regexp_replace(t, '{LATER}', '')), lambda t: list_contains([{identifiers}], t)))) AS names
+    FROM (SELECT path, unnest(regexp_extract_all(text, '{IDENTIFIER_LINE}', 1)) AS line FROM files WHERE path IS NOT NULL)
   )
 ),
 counted AS (
@@ -335,12 +430,22 @@ lengths AS (SELECT path, segment, sqrt(sum(w * w)) AS length FROM weighed GROUP
 dots AS (
   SELECT path, segment, template, license, sum(w * value) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL
 ),
+versions AS (
+  SELECT path, segment, list_transform(regexp_extract_all(translate(segment, '{UPPER}', '{LOWER}'), '{VERSIONS}'),
+    lambda v: CASE WHEN contains(v, '.') AND regexp_matches(v, '[0-9][.][0-9]+$') THEN regexp_extract(v, '[0-9]+[.][0-9]+$') ELSE regexp_extract(v, '[0-9]+$') || '.0' END) AS versions
+  FROM segments
+),
 cosines AS (
-  SELECT path, license, round(dot / length, 6) AS score FROM dots JOIN lengths USING (path, segment)
+  SELECT path, license, template < {len(templates[0])} AND license = '{NARROWER}' AS narrows, round(dot / length, 6) AS score
+  FROM dots JOIN lengths USING (path, segment) JOIN versions USING (path, segment)
   WHERE round(dot / length, 6) >= {threshold}
+    AND (NOT regexp_matches(license, '-[0-9.]+$') OR len(versions) = 0 AND NOT list_contains([{several}], license)
+         OR list_contains(versions, regexp_extract(license, '-([0-9.]+)$', 1)))
+  UNION ALL SELECT path, license, license = '{NARROWER}', 1.0 FROM stated WHERE license <> ''
 ),
 own AS (
-  SELECT path, license, score FROM cosines
+  SELECT path, license, score FROM (SELECT *, bool_or(narrows) OVER (PARTITION BY path) AS narrow FROM cosines)
+  WHERE NOT (narrow AND license = '{WIDER}')
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
 ),
 licensed AS (

@@ -52,6 +52,16 @@ def test_sql_gives_the_same_rows(files):
     assert got == sorted(map(str, want.fetchall()))
 
 
+def test_sql_gives_the_same_rows_for_headers(spark):
+    rows = [(k, f"d{k % 7}/{'LICENSE' if k % 5 == 0 else f'code{k}.c'}", text) for k, (text, _) in enumerate(HEADERS)] + [(900, None, "// SPDX-License-Identifier: MIT"), (901, "x/y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = sorted(map(str, map(tuple, license_scan.scan(df).select("doc_id", "path", "license", "score", "origin", "inherited_from").collect())))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (doc_id BIGINT, path VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO f VALUES (?, ?, ?)", rows)
+    assert got == sorted(map(str, con.sql(license_scan.oracle_sql("SELECT * FROM f")).fetchall()))
+
+
 def test_empty_table(files):
     assert license_scan.scan(files.where("false")).count() == 0
 
@@ -73,6 +83,60 @@ HEADERS = [
     ("                                 Apache License\n                           Version 2.0, January 2004\n", "Apache-2.0"),
     ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
     ("words about a license and the public, but no notice", None),
+    ("Licensed under CC BY-SA 3.0", "CC-BY-SA-3.0"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("Licensed under CC BY-NC 2.0", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "CC-BY-3.0"),
+    ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    ("GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+    ("licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991", "LGPL-2.1"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "AGPL-3.0"),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0 OR MIT"),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) */", "BSD-3-Clause OR GPL-2.0"),
+    ("// SPDX-License-Identifier: MIT AND CC-BY-4.0", "CC-BY-4.0 AND MIT"),
+    ("// SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    ("// SPDX-License-Identifier: GPL-3.0+", "GPL-3.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0"),
+    ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("// SPDX-License-Identifier: MPL-1.1", None),
+    ("// SPDX-License-Identifier:", None),
+    (
+        "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */", "GPL-3.0",
+    ),
+    (
+        "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.", "GPL-2.0",
+    ),
+    (
+        " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n"
+        " * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1",
+    ),
+    (
+        "// it under the terms of the GNU Affero General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n", "AGPL-3.0",
+    ),
+    ("modify it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.", "GPL-2.0"),
+    ("// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.", "BSD-3-Clause"),
+    ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:", "BSD-2-Clause"),
+    (
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n"
+        "# 3. Neither the name of the copyright holder nor the names of its\n#    contributors may be used to endorse or promote products derived from\n"
+        "#    this software without specific prior written permission.", "BSD-3-Clause",
+    ),
+    ("//  Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Eclipse Public License - v 2.0", "EPL-2.0"),
+    ("Eclipse Public License - v 1.0", None),
+    ("licensed under the Apache License, Version 1.1", None),
+    ("Mozilla Public License Version 1.1", None),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0"),
+    ("CC0 1.0 Universal, dedicated to the public domain", "CC0-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("ran on Python 3.8 and was Released under the MIT License in time", None),
+    ("Released under the MIT License.", "MIT"),
     ("she had all the rights of a citizen and reserved a table", None),
 ]
 
