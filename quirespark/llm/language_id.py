@@ -7,7 +7,9 @@ temperature fitted on documents set aside calibrates the probabilities.
 
 A text is rejected by the share of its subwords that no training text of any language holds, so that the
 number of languages doesn't matter and a text in several of them stays.  What share a language's own texts
-reach is measured on its training documents, each against all the others.
+reach is measured on its training documents, each against all the others.  As these share a vocabulary, a
+text of other words would be beyond that share: one that is no more than a third unseen stays, too, if what
+is seen speaks plainly for a language, by the best logit, which strange texts keep near zero.
 
 For scoring, embeddings and layer are multiplied out to one number per subword and language, so that a
 text's logits are means over its words, which are memoised.
@@ -37,6 +39,9 @@ FINE = 1 << 24
 MARGIN, BEYOND, LEAST = 2.0, 0.005, 0.02
 #: Short texts may be beyond the limit by so many standard deviations, a word being about so many subwords.
 DEVIATIONS, A_WORD = 2.0, 8.0
+#: A text of new words may have so large a share of unseen subwords if its best logit is at least this, less
+#: so much by the root of its number of subwords, as means over few vary.
+STRANGEST, PLAIN, VARIES = 1 / 3, 2.5, 11.0
 _MEMO, _SLICE = 250_000, 10_000  # words remembered, and looked up at once
 
 
@@ -109,12 +114,14 @@ class Model:
             return np.zeros(len(fine), bool)
         return (self.seen[fine >> 3] >> (7 - (fine & 7))) & 1 == 0
 
-    def familiar(self, best: np.ndarray, unseen: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Whether texts, likeliest in languages ``best``, keep to these languages' limits."""
+    def familiar(self, best: np.ndarray, unseen: np.ndarray, counts: np.ndarray, logit: np.ndarray) -> np.ndarray:
+        """Whether texts, likeliest in languages ``best`` by a ``logit``, keep to these languages' limits, or are
+        plainly in one though of new words."""
         if self.limits is None:
             return np.ones(len(best), bool)
         limit, n = self.limits[best], np.maximum(counts, 1)
-        return unseen / n <= limit + DEVIATIONS * np.sqrt(limit * (1 - limit) * A_WORD / n)
+        within = unseen / n <= limit + DEVIATIONS * np.sqrt(limit * (1 - limit) * A_WORD / n)
+        return within | (unseen / n <= STRANGEST) & (logit >= PLAIN - VARIES / np.sqrt(n))
 
     def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
         logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
@@ -295,7 +302,8 @@ class Scorer:
         p = self.model.probabilities(sums[:, :-2], counts)
         best = p.argmax(axis=1)
         names = [self.model.languages[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
-        known = (counts > 0) & self.model.familiar(best, sums[:, -2], counts)
+        logit = (sums[:, :-2] / np.maximum(counts, 1)[:, None] + self.model.bias).max(axis=1, initial=-np.inf)
+        known = (counts > 0) & self.model.familiar(best, sums[:, -2], counts, logit)
         return names, np.where(counts > 0, p.max(axis=1), 0.0), known
 
 
@@ -328,7 +336,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't rejected: it has a letter and hardly more subwords
-    unseen in training than documents of its likeliest language have.  A narrow map: texts aren't shuffled."""
+    unseen in training than documents of its likeliest language have (a text of n subwords may be beyond the
+    limit by ``DEVIATIONS`` deviations of n / ``A_WORD`` words), or at most ``STRANGEST`` unseen ones and a logit
+    that is plain (see ``PLAIN``).  Null and empty texts go; repeated rows stay or go together; an empty table gives no rows.  A
+    narrow map: texts aren't shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cell: dict[str, Scorer] = {}
 
