@@ -458,7 +458,7 @@ def record_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'supplier' AS table_name, s_suppkey AS pk, s_nationkey AS link, CASE WHEN s_suppkey % 5 = 0 THEN upper(s_name) ELSE s_name END AS what
     FROM supplier WHERE s_suppkey % 4 <> 1
   UNION ALL SELECT DISTINCT 'line', l_orderkey * 10 + l_linenumber, l_suppkey, l_shipmode FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) WHERE l_suppkey % 4 <> 1
-  UNION ALL SELECT 'part', p_partkey, CASE WHEN p_partkey % 100 % 4 <> 1 THEN p_partkey % 100 END, p_brand FROM part""")
+  UNION ALL SELECT 'part', p_partkey, CASE WHEN p_partkey % 100 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 1) THEN p_partkey % 100 END, p_brand FROM part""")
 def catalogue_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers are deleted with their lines, parts lose their link to them, and others are edited, in two
     changes each of which is published over all three tables at once."""
