@@ -94,7 +94,7 @@ def test_run_gives_the_last_stage(spark, folder):
 
 def test_stage_names_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "toxicity", "exact dedup", "near dedup", "packing"]
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
