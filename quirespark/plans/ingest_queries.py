@@ -523,9 +523,9 @@ def viaf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM part""")
 def sru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to a catalogue, answered from stored responses."""
-    asked = table(spark, sf_dir, "part").select("p_partkey", F.lit("NLI").alias("catalog"), F.concat(F.lit("alma.isbn="), F.col("p_partkey").cast("string")).alias("query"))
-    requested = sru.requests(asked, sru.endpoints(spark))
-    answers = requested.select("p_partkey", "cache_key").join(_responses(spark, sf_dir), "p_partkey").select("cache_key", "data")
+    catalogs, query = sru.endpoints(spark), F.concat(F.lit("alma.isbn="), F.col("p_partkey").cast("string")).alias("query")
+    requested = sru.requests(table(spark, sf_dir, "part").select("p_partkey", F.lit("NLI").alias("catalog"), query), catalogs)
+    answers = sru.requests(_responses(spark, sf_dir).select("data", F.lit("NLI").alias("catalog"), query), catalogs)
     return sru.replayed(requested, answers).select("p_partkey", "success", "error")
 
 

@@ -183,12 +183,16 @@ def register(spark: SparkSession) -> None:
 
 
 def replayed(requested: DataFrame, answers: DataFrame) -> DataFrame:
-    """Requests (see ``requests``) with stored answers (``cache_key, data``); one without an answer failed."""
-    joined = requested.join(answers.select("cache_key", "data"), "cache_key", "left")
-    text = F.coalesce("data", F.lit(""))
-    good = F.ltrim(text).startswith("<")
-    error = F.when(F.col("data").isNull(), "HTTP error: no stored answer").when(~good, "Response does not appear to be XML").otherwise("")
-    return joined.select(*requested.columns, good.alias("success"), F.when(good, text).otherwise("").alias("data"), error.alias("error"))
+    """Requests (see ``requests``) with stored answers (``cache_key, data``); one without an answer failed.
+
+    Answers are judged where they are, so that their texts are shuffled only if what follows uses them; and they
+    are merged, as a plan takes texts that it makes for far shorter than they are and would broadcast them all.
+    """
+    judged = answers.select("cache_key", "data", F.coalesce(F.ltrim("data").startswith("<"), F.lit(False)).alias("__good"), F.col("data").isNotNull().alias("__held"))
+    joined = requested.join(judged.hint("merge"), "cache_key", "left")
+    good = F.coalesce("__good", F.lit(False))
+    error = F.when(~F.coalesce("__held", F.lit(False)), "HTTP error: no stored answer").when(~good, "Response does not appear to be XML").otherwise("")
+    return joined.select(*requested.columns, good.alias("success"), F.when(good, F.col("data")).otherwise("").alias("data"), error.alias("error"))
 
 
 #: Bytes from which on an image isn't a blank; no more are read.

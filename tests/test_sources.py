@@ -18,6 +18,18 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+def test_stored_answers_are_not_broadcast(spark):
+    """Their texts may be far longer than a plan takes them for."""
+    requested = spark.createDataFrame([(k, f"k{k}") for k in range(4)], "n int, cache_key string")
+    answers = spark.createDataFrame([("k0", " <a/>"), ("k1", "oops"), ("k2", None)], "cache_key string, data string")
+    found = sru.replayed(requested, answers)
+    assert rows(found.select("n", "success", "data", "error")) == [
+        (0, True, " <a/>", ""), (1, False, "", "Response does not appear to be XML"),
+        (2, False, "", "HTTP error: no stored answer"), (3, False, "", "HTTP error: no stored answer"),
+    ]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_outcomes_are_data():
     def fails(error):
         def get():
