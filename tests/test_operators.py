@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark import schemas
-from quirespark.operators import authority, cascade, catalog, covers, ingest, quality, search, series
+from quirespark.operators import authority, cascade, catalog, covers, ingest, joins, quality, search, series
 from quirespark.sources.versions import Conflict, Versions
 
 
@@ -514,3 +514,26 @@ def test_related_of_a_hot_member(spark):
         mine = {x for o, rs in members.items() if i in rs for x in rs} - {i}
         want += [(i, x, k + 1) for k, x in enumerate(sorted(mine, key=lambda x: (-(x % 7), x))[:5])]
     assert rows(got) == sorted(want, key=str)
+
+
+def test_join_in_blocks(spark):
+    """Keys of many rows on either side, on one only, and nulls, as a plain join has them."""
+    left = spark.range(300).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "left").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    left = left.unionByName(spark.createDataFrame([(None, 1), ("hot", 0)], "k string, id long"))
+    right = left.where("k IS NULL OR k <> 'left'").withColumnRenamed("id", "other")
+    want = rows(left.join(right, "k"))
+    assert rows(joins.join_blocks(left, right, ["k"], 7)) == want == rows(joins.join_blocks(left, right, ["k"]))
+
+
+def test_author_matches_shuffle_no_pairs(spark):
+    """A name that many share; each pair once, and only shuffled together again if ids repeat."""
+    authors = spark.range(40).select(
+        F.col("id").alias("pk"), F.when(F.col("id") % 2 == 0, "Same").alias("name"), F.lit("Rom").alias("name_romanized"),
+        F.array(F.lit("Rom."), F.lit("same"), F.lit(None).cast("string")).alias("variant_names"),
+    )
+    queries = spark.createDataFrame([(1, "Same", "Rom"), (2, "SAME,", "rom"), (3, None, "Rom")], "query_id int, name string, name_romanized string")
+    found = authority.author_matches(queries, authors)
+    kind = lambda q, k: "variant" if q == 2 else "exact" if q == 1 and k % 2 == 0 else "romanized"
+    assert rows(found) == sorted(((q, k, kind(q, k)) for q in (1, 2, 3) for k in range(40)), key=str)
+    assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(authority.author_matches(queries.withColumn("query_id", F.lit(1)), authors)) == sorted(((1, k, "romanized" if k % 2 else "exact") for k in range(40)), key=str)
