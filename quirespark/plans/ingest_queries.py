@@ -172,12 +172,8 @@ def cascade_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     size = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
     queries = parts.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), "p_brand", "p_type", size.alias("p_size"))
-    found = None
-    for step, on in enumerate((["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_type"])):
-        hits = queries.select("query_id", *on).join(parts.select(F.col("p_partkey").alias("hit"), *on), on).where("hit <> query_id")
-        hits = hits.select("query_id", "hit", F.lit(step).alias("step"))
-        found = hits if found is None else found.unionByName(hits)
-    return cascade.first_hits(found, step="step").select("query_id", "hit", "step")
+    held = parts.withColumnRenamed("p_partkey", "hit")
+    return cascade.first_equal(queries, held, [["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_type"]])
 
 
 @query("""

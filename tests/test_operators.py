@@ -537,3 +537,14 @@ def test_author_matches_shuffle_no_pairs(spark):
     assert rows(found) == sorted(((q, k, kind(q, k)) for q in (1, 2, 3) for k in range(40)), key=str)
     assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert rows(authority.author_matches(queries.withColumn("query_id", F.lit(1)), authors)) == sorted(((1, k, "romanized" if k % 2 else "exact") for k in range(40)), key=str)
+
+
+def test_first_equal_steps(spark):
+    """Steps of which each counts only for queries without a hit so far; a row is no hit of its own."""
+    held = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 2), (4, "b", None), (5, "b", 3), (6, "c", 4)], "hit int, x string, y int")
+    queries = held.withColumnRenamed("hit", "query_id")
+    found = cascade.first_equal(queries, held, [["x", "y"], ["x"]])
+    assert rows(found) == [(1, 2, 0), (2, 1, 0), (3, 1, 1), (3, 2, 1), (4, 5, 1), (5, 4, 1)]
+    # An id in two rows, of which one has a hit in the first step.
+    again = cascade.first_equal(queries.where("query_id IN (1, 5)").withColumn("query_id", F.lit(1)), held, [["x", "y"], ["x"]])
+    assert rows(again) == [(1, 2, 0), (1, 5, 0)]
