@@ -34,10 +34,13 @@ def envelope(xml: Column) -> Column:
     A missing count is 0; record data without a MARC record is passed over; a text that isn't XML gives
     0 and no records.
     """
-    parsed = F.from_xml(xml, ENVELOPE, _XML)
-    all_ = F.coalesce(F.transform(parsed["records"]["record"], lambda r: r["recordData"]["record"]), F.array().cast(T.ArrayType(MARC_RECORD)))
-    held = F.filter(all_, lambda r: r.isNotNull() & (r["datafield"].isNotNull() | r["controlfield"].isNotNull()))
-    return F.struct(F.coalesce(parsed["numberOfRecords"], F.lit(0)).alias("numberOfRecords"), held.alias("records"))
+
+    def of(parsed: Column) -> Column:
+        all_ = F.coalesce(F.transform(parsed["records"]["record"], lambda r: r["recordData"]["record"]), F.array().cast(T.ArrayType(MARC_RECORD)))
+        held = F.filter(all_, lambda r: r.isNotNull() & (r["datafield"].isNotNull() | r["controlfield"].isNotNull()))
+        return F.struct(F.coalesce(parsed["numberOfRecords"], F.lit(0)).alias("numberOfRecords"), held.alias("records"))
+
+    return F.get(F.transform(F.array(F.from_xml(xml, ENVELOPE, _XML)), of), F.lit(0))  # bound to a name, so that it is parsed once
 
 
 def records(responses: DataFrame, xml_col: str = "data") -> DataFrame:

@@ -13,7 +13,7 @@ from quirespark.streaming import scan_queue
 
 from . import sql_text
 from .catalog_queries import bridge
-from .registry import query, table
+from .registry import query, spread, table
 
 # --- Series ---------------------------------------------------------------------------------------
 
@@ -459,7 +459,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<zs:searchRetrieveResponse xmlns:zs="http://www.loc.gov/zing/srw/"><zs:numberOfRecords>'), F.col("p_partkey").cast("string"),
         F.lit("</zs:numberOfRecords><zs:records><zs:record><zs:recordData>"), record, F.lit("</zs:recordData></zs:record></zs:records></zs:searchRetrieveResponse>"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "down for repairs").otherwise(body).alias("data"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "down for repairs").otherwise(body).alias("data"))
 
 
 _P = "FROM part WHERE p_partkey % 10 <> 0"

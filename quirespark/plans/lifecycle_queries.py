@@ -19,7 +19,7 @@ from quirespark.streaming import retention, scan_queue
 from . import sql_text
 from .catalog_queries import volumes
 from .ingest_queries import _element, _IDENTIFIERS, _identified, _LATEST, _latest
-from .registry import query, table
+from .registry import query, spread, table
 
 # --- The written index ----------------------------------------------------------------------------
 
@@ -217,7 +217,7 @@ def _full_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<searchRetrieveResponse xmlns="http://www.loc.gov/zing/srw/"><numberOfRecords>1</numberOfRecords><records><record><recordData>'), record,
         F.lit("</recordData></record></records></searchRetrieveResponse>"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", body.alias("data"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", body.alias("data"))
 
 
 @query("""

@@ -23,3 +23,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to as many tasks as a shuffle has, for work that is long for the few bytes that it is about: a
+    small file would else be one task's, and adaptive execution would merge small parts again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -64,3 +64,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = queries.queries()["exists_semi"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_acctbal), LessThan(c_acctbal,0.0)" in plan
     assert "ReadSchema: struct<o_custkey:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["sru_envelope", "marc_parse", "marc_parse_all_keys", "marc_json_rows"])
+def test_answers_are_parsed_once_and_by_many_tasks(spark, name):
+    """Of a table of one small file, too."""
+    found = queries.queries()[name](spark, SF)
+    assert found._jdf.queryExecution().executedPlan().toString().count("from_xml") == 1
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
