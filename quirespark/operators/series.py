@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.durable import written
 from quirespark.functions.text import blank_if_null, trimmed
 
 
@@ -97,12 +98,15 @@ def new_volumes(specs: DataFrame, existing: DataFrame, records: DataFrame | None
     volume_number, record_pk of records that are at hand, of which the smallest counts.  A volume with a
     record is held.
     """
-    asked = volume_rows(specs.select("series_pk", "spec")).distinct()
+    # Written, as the plan would else hold every existing volume and record against the specifications' patterns.
+    asked = written(volume_rows(specs.select("series_pk", "spec")).distinct(), "asked")
     new = asked.join(existing.select("series_pk", "volume_number"), ["series_pk", "volume_number"], "left_anti")
     if records is None:
         new = new.withColumn("record_pk", F.lit(None).cast("long"))
     else:
-        new = new.join(records.groupBy("series_pk", "volume_number").agg(F.min("record_pk").alias("record_pk")), ["series_pk", "volume_number"], "left")
+        # The smallest is taken of what was asked for only, which may be far less than all records.
+        at_hand = records.select("series_pk", "volume_number", "record_pk")
+        new = new.join(at_hand, ["series_pk", "volume_number"], "left").groupBy("series_pk", "volume_number").agg(F.min("record_pk").alias("record_pk"))
     return new.withColumn("held", F.col("record_pk").isNotNull())
 
 

@@ -76,7 +76,7 @@ def volume_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("series_pk"), F.col("l_linenumber").cast("string").alias("volume_number"), F.col("l_partkey").alias("record_pk"), "l_returnflag"
     )
-    at_hand = lines.where("l_returnflag <> 'R'").groupBy("series_pk", "volume_number").agg(F.min("record_pk").alias("record_pk"))
+    at_hand = lines.where("l_returnflag <> 'R'")
     specs = _specs(spark, sf_dir).withColumnRenamed("c_custkey", "series_pk")
     return series.new_volumes(specs, lines.where("l_returnflag = 'R'"), at_hand)
 

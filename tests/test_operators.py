@@ -563,3 +563,12 @@ def test_postings_are_dealt_by_document(spark, tmp_path):
     assert rows(index.postings().select("term", "doc", "length", "positions")) == sorted(want, key=str)
     _, held = index._texts(docs, "doc", {"a": F.col("text")})
     assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_new_volumes_read_no_patterns_into_what_is_held(spark):
+    """Volumes that exist aren't held against the patterns that part specifications."""
+    specs = spark.range(3).select(F.col("id").alias("series_pk"), F.concat(F.lit("1-"), (F.col("id") % 3).cast("string")).alias("spec"))
+    held = spark.range(4).select((F.col("id") % 3).alias("series_pk"), F.lit("1").alias("volume_number"), F.col("id").alias("record_pk"))
+    found = series.new_volumes(specs, held.where("series_pk = 1"), held)
+    assert rows(found) == [(2, "1", 2, True), (2, "2", None, False)]
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
