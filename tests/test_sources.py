@@ -4,8 +4,11 @@ import json
 import urllib.error
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from quirespark import schemas
 from quirespark.operators import covers, quality
