@@ -209,6 +209,76 @@ def test_discarded_scans_expire_by_event_time(spark, tmp_path):
     assert scan_queue.current_states(spark, out, gone="expired").count() == 5
 
 
+class _Handle:
+    """Stands in for a stream's state of one bucket, and counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_states_of_a_bucket_share_their_calls():
+    """A thousand scans of a bucket cost no more calls of the state than one, and have one timer."""
+    handle = _Handle()
+    processor = retention._Expiring(T.StructField("scan_id", T.LongType()), 1000, frozenset(["discarded"]), "gone")
+    processor.init(handle)
+    second = 1_000_000
+    discarded = pd.DataFrame({"scan_id": range(1000), "status": "discarded", "at": [n % 3 * second for n in range(1000)]})
+    halves = iter([discarded[:500], discarded[500:]])
+    assert len(pd.concat(processor.handleInputRows((0,), halves, TimerValues(0, 0)))) == 1000
+    assert handle.calls <= 3 and handle.timers == {1000}
+    assert list(processor.handleInputRows((0,), iter([discarded]), TimerValues(0, 0))) == []  # nothing new
+    gone = pd.concat(processor.handleExpiredTimer((0,), TimerValues(0, 2500), ExpiredTimerInfo(1000)))
+    assert len(gone) == 667 and set(gone.status) == {"gone"} and handle.timers == {1000, 3000}
+    moved = pd.DataFrame({"scan_id": range(1000), "status": "pending", "at": 2 * second + 1})
+    assert len(pd.concat(processor.handleInputRows((0,), iter([moved]), TimerValues(0, 2500)))) == 1000
+    assert handle.timers == {1000} and len(handle.value[0]) == 1000 and handle.value[3] is None
+
+
+def test_buckets_hold_many_scans_over_batches(spark, tmp_path):
+    """Two buckets of many scans, in three runs: scans go one after another, move on and begin anew, as one by one."""
+    path, out = f"{tmp_path}/events", f"{tmp_path}/states"
+    hour = 3600
+
+    def run(events):
+        _write_events(spark, path, events)
+        stream = spark.readStream.schema("scan_id long, status string, ts timestamp").parquet(path)
+        states = retention.expiring_states(stream, timedelta(hours=10), delay="1 hour", buckets=2)
+        scan_queue.write_changes(states, out, f"{tmp_path}/cp", gone="expired").awaitTermination()
+        return {r.scan_id: r.status for r in scan_queue.current_states(spark, out).collect()}
+
+    scans = range(60)
+    assert run([(i, "discarded", i % 3 * hour) for i in scans]) == dict.fromkeys(scans, "discarded")
+    # The watermark comes to 11 h and a half: a third went at 10 h, a third at 11 h; the last third stays till 12 h.
+    want = {i: "expired" if i % 3 < 2 else "discarded" for i in scans}
+    assert run([(99, "pending", 12 * hour + 1800)]) == want | {99: "pending"}
+    # Some that went begin anew, some that stayed move on; the others of the last third go.
+    later = {i: "pending" for i in scans if i % 5 == 0}
+    want = {i: later.get(i, "expired") for i in scans}
+    assert run([(i, "pending", 14 * hour) for i in later]) == want | {99: "pending"}
+
+
 @pytest.mark.parametrize("status", schemas.SCAN_STATUSES)
 def test_statuses(status):
     assert status in ("pending", "confirmed", "discarded")
