@@ -564,6 +564,41 @@ def test_author_matches_shuffle_no_pairs(spark):
     assert rows(authority.author_matches(queries.withColumn("query_id", F.lit(1)), authors)) == sorted(((1, k, "romanized" if k % 2 else "exact") for k in range(40)), key=str)
 
 
+def test_pairs_have_tasks(spark, monkeypatch):
+    """Adaptive execution would give the few bytes of keys that make many pairs to one task."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000, raising=False)
+    left = spark.range(120).select(F.when(F.col("id") >= 0, "hot").alias("k"), "id")
+    found = joins.join_blocks(left, left.withColumnRenamed("id", "other"), ["k"], 10)
+    sizes = sorted(r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    assert sum(sizes) == 120 * 120 and len(sizes) >= 8 and sizes[-1] < sum(sizes) // 2
+
+
+def test_author_matches_list_authors(spark, monkeypatch):
+    """Pairs come from arrays, those of two authors apart only where an earlier kind of match tells them apart."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100, raising=False)
+    monkeypatch.setattr(authority, "dealt_blocks", lambda asked, held, on: joins.dealt_blocks(asked, held, on, 10), raising=False)
+    name = F.concat(F.lit("n"), (F.col("id") % 7).cast("string"))
+    variants = F.when(F.col("id") % 5 > 0, F.array(F.concat(F.lit("V. "), name), F.when(F.col("id") % 2 == 0, "Rom."), F.lit("-")))
+    authors = spark.range(90).select(
+        F.when(F.col("id") < 89, F.col("id")).alias("pk"), F.when(F.col("id") % 11 > 0, name).alias("name"), F.when(F.col("id") % 3 > 0, "Rom").alias("name_romanized"),
+        variants.alias("variant_names"),
+    )
+    asked = [(None, "n1", "Rom"), (2, "v n2", "Rom"), (3, None, "Rom"), (4, "rom", "ROM"), (5, "n3", None), (6, "V n4", "v, n4"), (7, "", ""), (8, "Rom", "V n5")]
+    found = authority.author_matches(spark.createDataFrame(asked, "query_id int, name string, name_romanized string"), authors)
+
+    def kind(a, n, r):
+        forms = {"".join(c for c in v.lower() if c not in ".-,").strip() for v in a.variant_names or [] if v} - {""}
+        form = lambda x: "".join(c for c in (x or "").lower() if c not in ".-,").strip()
+        if n and a.name == n:
+            return "exact"
+        return "romanized" if r and a.name_romanized == r else "variant" if {form(n), form(r)} & forms else None
+
+    want = [(q, a.pk, kind(a, n, r)) for q, n, r in asked for a in authors.collect() if kind(a, n, r)]
+    assert rows(found) == sorted(want, key=str) and {k for *_, k in want} == {"exact", "romanized", "variant"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(pks") < plan.index("Join Inner") and "Union" not in plan
+
+
 def test_first_equal_steps(spark):
     """Steps of which each counts only for queries without a hit so far; a row is no hit of its own."""
     held = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 2), (4, "b", None), (5, "b", 3), (6, "c", 4)], "hit int, x string, y int")
